@@ -1,11 +1,14 @@
 """The queries of this subpackage and their SQL, by the names of the entry module."""
 
-from . import decontamination, mixing, sharding
+from . import decontamination, langid, media, mixing, quality, sharding
 
 QUERIES = {
     "op1_rake_and_sample": mixing.op1_rake_and_sample,
+    "op5_text_png": media.op5_text_png,
     "op6_byte_shards": sharding.op6_byte_shards,
+    "op8_quality_crf": quality.op8_quality_crf,
     "op9_decontaminate": decontamination.op9_decontaminate,
+    "op10_byte_cnn": langid.op10_byte_cnn,
 }
 
 ORACLE = {
