@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL, by the names of the entry module."""
 
-from . import decontamination, langid, media, mixing, quality, sharding
+from . import decontamination, langid, media, mixing, pseudonyms, quality, sharding, warc
 
 QUERIES = {
     "op1_rake_and_sample": mixing.op1_rake_and_sample,
+    "op3_warc_chunks": warc.op3_warc_chunks,
+    "op4_feistel_pseudonyms": pseudonyms.op4_feistel_pseudonyms,
     "op5_text_png": media.op5_text_png,
     "op6_byte_shards": sharding.op6_byte_shards,
     "op8_quality_crf": quality.op8_quality_crf,
@@ -13,6 +15,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_rake_and_sample": mixing.OP1_SQL,
+    "op3_warc_chunks": warc.OP3_SQL,
     "op6_byte_shards": sharding.OP6_SQL,
     "op9_decontaminate": decontamination.OP9_SQL,
 }
