@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, by the names of the entry module."""
 
-from . import decontamination, langid, media, mixing, pseudonyms, quality, sharding, warc
+from . import decontamination, langid, media, mixing, neardup, pseudonyms, quality, sharding, warc
 
 QUERIES = {
     "op1_rake_and_sample": mixing.op1_rake_and_sample,
+    "op2_chosen_path": neardup.op2_chosen_path,
     "op3_warc_chunks": warc.op3_warc_chunks,
     "op4_feistel_pseudonyms": pseudonyms.op4_feistel_pseudonyms,
     "op5_text_png": media.op5_text_png,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_rake_and_sample": mixing.OP1_SQL,
+    "op2_chosen_path": neardup.OP2_SQL,
     "op3_warc_chunks": warc.OP3_SQL,
     "op6_byte_shards": sharding.OP6_SQL,
     "op9_decontaminate": decontamination.OP9_SQL,
