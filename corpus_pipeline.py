@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsejobs.llm.decontamination import decontaminate_stage
 from pulsejobs.llm.mixing import mixing_stage
+from pulsejobs.llm.neardup import near_duplicate_stage
+from pulsejobs.llm.quality import quality_stage
 from pulsejobs.llm.sharding import shard_stage
 from pulsejobs.llm.shared import stage
 
 STAGES = [
+    ("quality", quality_stage),
+    ("near-duplicates", near_duplicate_stage),
     ("decontamination", decontaminate_stage),
     ("mixing", mixing_stage),
     ("sharding", shard_stage),
