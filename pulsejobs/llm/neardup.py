@@ -26,14 +26,15 @@ from .shared import flat, mix, slices, span_hashes, spans, stage, table
 WORDS, LEAST = 5, 80
 #: Minwise tokens of a signature, each 4 bytes.
 TOKENS = 64
-#: Trees. A pair of similarity s shares the root token of a tree with probability s, so ten trees miss one pair of similarity 0.8 in ten million.
-TREES = 10
+#: Trees. A pair of similarity s shares the root token of a tree with probability s, so eight trees miss three pairs of similarity 0.8 in a million.
+TREES = 8
 #: Classes of a node that is compared at once; larger nodes branch, each class by so many tokens, so many times.
 SMALL, BRANCHES, DEPTH = 64, 3, 3
-#: Signature places (of 64) in which a pair must agree to be looked at. A pair of similarity 0.8 agrees in fewer with probability below 1e-8.
-SCREEN = 30
-#: Rounds in which a large node is compared in random parts.
-PART_ROUNDS = 2
+#: A sketch has the low 4 bits of each token. Pairs that agree in fewer places are not looked at: of 64, a pair of
+#: similarity 0.8 agrees in 52 on average, in fewer than 36 with a probability of about one in a million.
+SCREEN = 36
+#: Class ids (24 bytes each) that are broadcast to pick the texts of classes; more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,6 +75,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketches(tokens: np.ndarray) -> np.ndarray:
+    """(sets, TOKENS / 2) bytes: the low 4 bits of each token, two to a byte."""
+    low = (tokens & np.uint32(15)).astype(np.uint8)
+    return (low[:, ::2] << 4) | low[:, 1::2]
+
+
 def _class_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -84,11 +91,11 @@ def _profiles(words: int):
             sets = shingle_sets(batch.column("text"), words)
             some = [i for i, s in enumerate(sets) if len(s)]
             sig = signatures([sets[i] for i in some])
-            cid, tokens = [None] * len(sets), [None] * len(sets)
-            for i, row in zip(some, sig, strict=True):
-                cid[i], tokens[i] = _class_id(sets[i]), row.tobytes()
+            cid, tokens, sketch = ([None] * len(sets) for _ in range(3))
+            for i, row, low in zip(some, sig, sketches(sig), strict=True):
+                cid[i], tokens[i], sketch[i] = _class_id(sets[i]), row.tobytes(), low.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "n_shingles", "cid", "sig"]
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.binary()) for x in (cid, tokens, sketch)]], names=["doc_id", "n_shingles", "cid", "sig", "sketch"]
             )
 
     return run
@@ -126,16 +133,28 @@ def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         yield held | {"node": node}
 
 
+def _labels(group: dict) -> np.ndarray:
+    return np.unique(np.array([x.hex() for x in group["lab"]]), return_inverse=True)[1]
+
+
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of each node that agree with another one, of another component, in SCREEN places of the signature."""
+    """The members of each group that agree with another one, of another component, in SCREEN places of the sketch."""
+    node, cid, lab = [], [], []
     for group in _by_node(batches):
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, TOKENS)
-        near = (sig[:, None] == sig[None]).sum(axis=2) >= SCREEN
-        _, lab = np.unique(np.array([x.hex() for x in group["lab"]]), return_inverse=True)
-        near &= lab[:, None] != lab[None]
-        keep = np.flatnonzero(near.any(axis=1)).tolist()
-        if keep:
-            yield pa.RecordBatch.from_arrays([pa.array([int(group["node"])] * len(keep), pa.int64()), pa.array([group["cid"][i] for i in keep], pa.binary())], names=["node", "cid"])
+        if len(group["cid"]) < 2:
+            continue
+        pairs = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(-1, TOKENS // 2)
+        differ = pairs[:, None] ^ pairs[None]
+        near = ((differ & 15) == 0).sum(axis=2) + ((differ & 240) == 0).sum(axis=2) >= SCREEN
+        of = _labels(group)
+        keep = np.flatnonzero((near & (of[:, None] != of[None])).any(axis=1)).tolist()
+        node += [int(group["node"])] * len(keep)
+        cid += [group["cid"][i] for i in keep]
+        lab += [group["lab"][i] for i in keep]
+        if len(node) > 20000:
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(cid, pa.binary()), pa.array(lab, pa.binary())], names=["node", "cid", "lab"])
+            node, cid, lab = [], [], []
+    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(cid, pa.binary()), pa.array(lab, pa.binary())], names=["node", "cid", "lab"])
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -180,20 +199,19 @@ def _heads(linked: np.ndarray) -> np.ndarray:
 
 
 def _compare(least: int):
+    """Links between components (a, b), as few as join what a group's exhaustive comparison joins."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        found: set[tuple[bytes, bytes]] = set()
         for group in _by_node(batches):
             if len(group["cid"]) > 1:
-                order = sorted(range(len(group["cid"])), key=group["cid"].__getitem__)
-                sets = [np.frombuffer(group["tokens"][i], np.uint64) for i in order]
-                for i, h in enumerate(_heads(links(sets, least))):
-                    if h != i:
-                        a.append(group["cid"][order[i]])
-                        b.append(group["cid"][order[h]])
-            if len(a) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                of = _labels(group)
+                linked = links([np.frombuffer(t, np.uint64) for t in group["tokens"]], least)
+                # members of one component count as linked: only what joins components goes out
+                for i, h in enumerate(_heads(linked | (of[:, None] == of[None]))):
+                    if of[i] != of[h]:
+                        found.add((group["lab"][i], group["lab"][h]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in range(2)], names=["a", "b"])
 
     return run
 
@@ -221,96 +239,103 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """One run of the join: the class table, the sets fetched so far, the links found so far."""
+    """One run of the join: the class table, the labels (class, component) and the sets fetched so far."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, words: int, least: int, small: int):
         self.docs, self.classes, self.words, self.least, self.small = docs, classes, words, least, small
-        self.spark = docs.sparkSession
-        self.labels = self.sets = self.edges = None
-
-    def live(self, nodes: DataFrame) -> DataFrame:
-        """Nodes (node, cid) that hold more than one component, with lab and the node's size n."""
-        labelled = nodes.withColumn("lab", F.col("cid"))
+        self.labels = self.sets = None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows with lab, the component of cid: itself, unless links have been found."""
+        if self.labels is None:
+            return rows.withColumn("lab", F.col("cid"))
+        return rows.join(self.labels, "cid", "left").withColumn("lab", F.coalesce("lab", "cid"))
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """(node, cid, lab, sketch, n): members of the nodes that hold more than one component, with the node's size."""
+        sizes = stage(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("lab").alias("low"), F.max("lab").alias("high")).where("low <> high").select("node", "n"), "node-sizes")
+        return stage(rows.select("node", "cid", "lab", "sketch").join(sizes, "node"), "nodes")
+
+    def roots(self, trees: range) -> DataFrame:
+        """The root's children in the given trees: each class goes to the node of the tree's own token."""
+        held = self.labelled(self.classes.select("cid", "sig", "sketch"))
         if self.labels is not None:
-            labelled = nodes.join(self.labels, "cid", "left").withColumn("lab", F.coalesce("lab", "cid")).select("node", "cid", "lab")
-            labelled = stage(labelled, "labelled")
-        sizes = stage(labelled.groupBy("node").agg(F.count("*").alias("n"), F.min("lab").alias("low"), F.max("lab").alias("high")).where("low <> high").select("node", "n"), "node-sizes")
-        return stage(labelled.join(sizes, "node"), "nodes")
+            held = stage(held, "labelled")
+        tree = F.explode(F.array(*[F.lit(t) for t in trees]))
+        return held.select("cid", "lab", "sketch", "sig", tree.alias("tree")).select(F.xxhash64("tree", F.substring("sig", F.col("tree") * 4 + 1, F.lit(4))).alias("node"), "cid", "lab", "sketch")
 
-    def screened(self, nodes: DataFrame) -> DataFrame:
-        """Members of small nodes that are similar to another one by signature."""
-        rows = nodes.select("node", "cid", "lab").join(self.classes.select("cid", "sig"), "cid").repartition("node").sortWithinPartitions("node")
-        return rows.mapInArrow(_screen, "node long, cid binary")
-
-    def fetch(self, cids: DataFrame) -> None:
-        """Sets of classes, from one text of each class."""
-        wanted = stage(cids.distinct().join(self.classes.select("cid", "head"), "cid").select(F.col("head").alias("doc_id"), "cid"), "wanted")
-        found = self.docs.join(wanted, self.docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(wanted["cid"], "text")
-        self.sets = stage(found.mapInArrow(_sets(self.words), "cid binary, tokens binary").dropDuplicates(["cid"]), "sets")
-
-    def compare(self, groups: DataFrame) -> None:
-        """Exhaustive comparison inside groups (node, cid) of bounded size; the links join those found before."""
-        rows = groups.select("node", "cid").join(self.sets, "cid").repartition("node").sortWithinPartitions("node")
-        found = stage(rows.mapInArrow(_compare(self.least), "a binary, b binary"), "edges")
-        self.edges = found if self.edges is None else self.edges.union(found)
-        self.labels = connected(self.edges)
+    def children(self, large: DataFrame) -> DataFrame:
+        """Large nodes branched: each member goes to the children named by tokens at places that the node chooses."""
+        rows = large.select("node", "cid", "lab").join(self.classes.select("cid", "sig", "sketch"), "cid").withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
+        place = F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS)).cast("int")
+        return stage(rows.select(F.xxhash64("node", place, F.substring("sig", place * 4 + 1, F.lit(4))).alias("node"), "cid", "lab", "sketch"), "children")
 
-    def parts(self, nodes: DataFrame, round_no: int) -> DataFrame:
+    def parts(self, large: DataFrame, depth: int) -> DataFrame:
         """Large nodes cut into random parts of about ``small`` members."""
-        part = F.pmod(F.xxhash64("cid", F.lit(round_no)), F.ceil(F.col("n") / self.small))
-        return nodes.select(F.xxhash64("node", F.lit(f"part{round_no}"), part).alias("node"), "cid", "lab")
+        part = F.pmod(F.xxhash64("cid", F.lit(depth)), F.ceil(F.col("n") / self.small))
+        return large.select(F.xxhash64("node", F.lit(f"part{depth}"), part).alias("node"), "cid", "lab", "sketch")
 
-    def children(self, nodes: DataFrame) -> DataFrame:
-        """Large nodes branched: each member goes to the children named by tokens at places that the node chooses."""
-        rows = nodes.select("node", "cid").join(self.classes.select("cid", "sig"), "cid").withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
-        place = F.pmod(F.xxhash64("node", "branch"), F.lit(TOKENS)).cast("int")
-        return rows.select(F.xxhash64("node", place, F.substring("sig", place * 4 + 1, F.lit(4))).alias("node"), "cid")
+    def blocks(self, large: DataFrame) -> DataFrame:
+        """What is left of large nodes: members outside the largest component against all, block by block.
 
-    def blocks(self, nodes: DataFrame) -> DataFrame:
-        """What is left of large nodes: members outside the largest component against all, block by block."""
+        Every pair of members of different components meets in a group of at
+        most about ``small`` members.
+        """
         half = max(1, self.small // 2)
-        per = nodes.groupBy("node", "lab").count()
-        top = stage(per.groupBy("node").agg(F.max(F.struct("count", "lab")).alias("top")).select("node", F.col("top.lab").alias("main")), "main")
-        rows = stage(nodes.join(top, "node").withColumn("block", F.pmod(F.xxhash64("cid", F.lit("block")), F.ceil(F.col("n") / half))).withColumn("rest", F.col("lab") != F.col("main")), "blocks")
-        # one group for each block of the rest and each block of all: every pair across components meets once
-        many = rows.where("rest").groupBy("node").agg(F.count("*").alias("m"))
-        rows = rows.join(many, "node").withColumn("rest_blocks", F.ceil(F.col("m") / half))
-        mine = rows.where("rest").withColumn("r", F.pmod(F.xxhash64("cid", F.lit("rest")), F.col("rest_blocks"))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / half) - 1)))
-        other = rows.withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rest_blocks") - 1))).withColumn("b", F.col("block"))
-        pick = [F.xxhash64("node", F.lit("block"), "r", "b").alias("node"), F.col("cid")]
-        return mine.select(*pick).union(other.select(*pick)).distinct()
+        per = large.groupBy("node", "lab").count()
+        top = per.groupBy("node").agg(F.max(F.struct("count", "lab"))["lab"].alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+        top = stage(top.select("node", "main", F.ceil((F.col("all") - F.col("most")) / half).alias("rest_blocks"), F.ceil(F.col("all") / half).alias("all_blocks")), "main")
+        rows = stage(large.join(top, "node"), "blocks")
+        own = lambda name, n: F.pmod(F.xxhash64("cid", F.lit(name)), F.col(n))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1))
+        rest = rows.where("lab <> main").withColumn("r", own("rest", "rest_blocks")).withColumn("b", each("all_blocks"))
+        every = rows.withColumn("b", own("all", "all_blocks")).withColumn("r", each("rest_blocks"))
+        pick = [F.xxhash64("node", F.lit("block"), "r", "b").alias("node"), F.col("cid"), F.col("lab"), F.col("sketch")]
+        return rest.select(*pick).union(every.select(*pick)).dropDuplicates(["node", "cid"])
 
-    def run(self, trees: int) -> None:
-        tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-        roots = self.classes.select("cid", "sig", tree.alias("tree")).select("tree", F.xxhash64("tree", F.substring("sig", F.col("tree") * 4 + 1, F.lit(4))).alias("node"), "cid")
-        first = stage(roots, "roots")
-        nodes = self.live(first.select("node", "cid"))
-        small, large = nodes.where(f"n <= {self.small}"), nodes.where(f"n > {self.small}")
-        close = stage(self.screened(small), "close")
-        if close.isEmpty() and large.isEmpty():
+    def fetch(self, cids: DataFrame) -> None:
+        """Sets of classes, from one text of each class."""
+        wanted = cids.distinct() if self.sets is None else cids.distinct().join(self.sets.select("cid"), "cid", "left_anti")
+        wanted = stage(wanted.join(self.classes.select("cid", "head"), "cid"), "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        found = self.docs.join(F.broadcast(wanted) if few else wanted, self.docs["doc_id"].eqNullSafe(wanted["head"])).select("cid", "text")
+        sets = stage(found.mapInArrow(_sets(self.words), "cid binary, tokens binary").dropDuplicates(["cid"]), "sets")
+        self.sets = sets if self.sets is None else self.sets.union(sets)
+
+    def compare(self, groups: DataFrame) -> None:
+        """Exhaustive comparison inside groups of bounded size: first of sketches, then of full sets; components are joined."""
+        close = stage(groups.select("node", "cid", "lab", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(_screen, "node long, cid binary, lab binary"), "close")
+        if close.isEmpty():
+            return
+        self.fetch(close.select("cid"))
+        rows = close.join(self.sets, "cid").repartition("node").sortWithinPartitions("node")
+        edges = stage(rows.mapInArrow(_compare(self.least), "a binary, b binary"), "edges")
+        if edges.isEmpty():
             return
-        self.fetch(close.select("cid").union(large.select("cid")))
-        # the first tree finds most links; in the others only what they left apart is compared
-        in_first = first.where("tree = 0").select("node").distinct()
-        self.compare(close.join(in_first, "node", "left_semi").union(self.parts(large.join(in_first, "node", "left_semi"), 0).select("node", "cid")))
-        for depth in range(DEPTH + 1):
-            nodes = self.live((close if depth == 0 else nodes.where(f"n <= {self.small}")).select("node", "cid").union(large.select("node", "cid")))
-            # a node's size counts all its members, also those that the signature screen left out
-            groups, large = nodes.where(f"n <= {self.small}").select("node", "cid"), nodes.where(f"n > {self.small}")
-            crowd = not large.isEmpty()
-            if not crowd and groups.isEmpty():
-                return
-            self.compare(groups.union(self.parts(large, 1 + depth).select("node", "cid")) if crowd else groups)
-            if not crowd:
-                return
-            large = self.live(large.select("node", "cid"))
-            if large.isEmpty():
-                return
-            if depth == DEPTH:
-                self.compare(self.blocks(large))
-                return
-            nodes = self.live(stage(self.children(large), "children"))
-            large = nodes.where(f"n > {self.small}")
+        joined = connected(edges)
+        if self.labels is None:
+            self.labels = joined
+            return
+        moved = self.labels.join(joined.select(F.col("cid").alias("lab"), F.col("lab").alias("top")), "lab", "left").select("cid", F.coalesce("top", "lab").alias("lab"))
+        self.labels = stage(moved.union(joined.join(self.labels.select("cid"), "cid", "left_anti")), "labels")
+
+    def run(self, trees: int) -> None:
+        """The first tree finds most links; in the others only what it left apart is looked at."""
+        for some in (range(1), range(1, trees)):
+            nodes = self.live(self.roots(some))
+            for depth in range(DEPTH + 1):
+                small, large = nodes.where(f"n <= {self.small}"), nodes.where(f"n > {self.small}")
+                crowd = not large.isEmpty()
+                self.compare(small.drop("n").union(self.parts(large, depth)) if crowd else small)
+                if not crowd:
+                    break
+                large = self.live(self.labelled(large.select("node", "cid", "sketch")))
+                if large.isEmpty():
+                    break
+                if depth == DEPTH:
+                    self.compare(self.blocks(large))
+                else:
+                    nodes = self.live(self.children(large))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES, small: int = SMALL) -> DataFrame:
@@ -331,8 +356,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, tre
     doc_id and text are ignored. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    rows = stage(docs.mapInArrow(_profiles(words), "doc_id long, n_shingles long, cid binary, sig binary"), "profiles")
-    classes = stage(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("head"), F.min("sig").alias("sig")), "classes")
+    rows = stage(docs.mapInArrow(_profiles(words), "doc_id long, n_shingles long, cid binary, sig binary, sketch binary"), "profiles")
+    classes = stage(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("head"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch")), "classes")
     join = _Join(docs, classes, words, least, small)
     join.run(trees)
     if join.labels is None:
