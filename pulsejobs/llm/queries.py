@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by the names of the entry module."""
 
-from . import decontamination, langid, media, mixing, neardup, pseudonyms, quality, sharding, warc
+from . import decontamination, langid, media, mixing, neardup, pseudonyms, quality, repeats, sharding, warc
 
 QUERIES = {
     "op1_rake_and_sample": mixing.op1_rake_and_sample,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_feistel_pseudonyms": pseudonyms.op4_feistel_pseudonyms,
     "op5_text_png": media.op5_text_png,
     "op6_byte_shards": sharding.op6_byte_shards,
+    "op7_run_length_index": repeats.op7_run_length_index,
     "op8_quality_crf": quality.op8_quality_crf,
     "op9_decontaminate": decontamination.op9_decontaminate,
     "op10_byte_cnn": langid.op10_byte_cnn,
