@@ -83,7 +83,8 @@ def normed_cycles(cycles: Column, length: int = MEAN_LENGTH) -> Column:
 
 def median_cycle(cycles: str, length: int = MEAN_LENGTH) -> Column:
     """Median over the cycles, position by position; null without a cycle."""
-    return F.when(F.size(cycles) > 0, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: A.median(F.transform(cycles, lambda c: A.at(c, i)))))
+    whole = lambda cs: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: A.median(F.transform(cs, lambda c: A.at(c, i))))
+    return A.let(A.col(cycles), lambda cs: F.when(F.size(cs) > 0, whole(cs)))
 
 
 def mean_near_max(a: str, around: int = 5) -> Column:
@@ -94,27 +95,25 @@ def mean_near_max(a: str, around: int = 5) -> Column:
 
 def density(a: str | Column, bins: int) -> Column:
     """Histogram on [0, 1] as densities: counts / (samples inside * bin width). No sample inside: null in every bin."""
-    inside = F.filter(A.col(a), lambda x: (x >= 0) & (x <= 1))
-    at = F.transform(inside, lambda x: F.least(F.floor(x * bins), F.lit(bins - 1)))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.try_divide(F.size(F.filter(at, lambda x: x == b)) * F.lit(float(bins)), F.size(inside)))
+    at = F.transform(F.filter(A.col(a), lambda x: (x >= 0) & (x <= 1)), lambda x: F.least(F.floor(x * bins), F.lit(bins - 1)))
+    share = lambda v: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.try_divide(F.size(F.filter(v, lambda x: x == b)) * F.lit(float(bins)), F.size(v)))
+    return A.let(at, share)
 
 
 def _blocks(curve: Column, stop: Column, width: int = 3) -> Column:
     """Means of consecutive blocks that end before the last sample."""
-    n = F.size(curve)
-    starts = F.filter(F.sequence(F.lit(0), stop - 1, F.lit(width)), lambda i: i + width < n)
-    return F.transform(starts, lambda i: A.mean(A.cut(curve, i, i + width)))
+    starts = lambda v: F.filter(F.sequence(F.lit(0), stop - 1, F.lit(width)), lambda i: i + width < F.size(v))
+    return A.let(curve, lambda v: F.transform(starts(v), lambda i: A.mean(F.slice(v, i + 1, F.lit(width)))))
 
 
 def _deviation(c: Column) -> Column:
     """Distance of each sample from the line between the first and the last, in the form of the published curve."""
     last = F.size(c) - 1
-    rise = A.at(c, last) - A.at(c, 0)
-    return F.transform(c, lambda x, i: (x * rise * i - x * last + A.at(c, 0) * last) / F.sqrt(rise * rise + last * last))
+    return A.let(A.at(c, last) - A.at(c, 0), lambda rise: F.transform(c, lambda x, i: (x * rise * i - x * last + A.at(c, 0) * last) / F.sqrt(rise * rise + last * last)))
 
 
 def _mean_of_lists(lists: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: A.mean(F.transform(lists, lambda v: A.at(v, i))))
+    return A.let(lists, lambda vs: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: A.mean(F.transform(vs, lambda v: A.at(v, i)))))
 
 
 def slope_deviation(df: DataFrame, cycles: str, length: int = MEAN_LENGTH) -> DataFrame:
