@@ -20,5 +20,6 @@ ORACLE = {
     "op2_chosen_path": neardup.OP2_SQL,
     "op3_warc_chunks": warc.OP3_SQL,
     "op6_byte_shards": sharding.OP6_SQL,
+    "op7_run_length_index": repeats.OP7_SQL,
     "op9_decontaminate": decontamination.OP9_SQL,
 }
