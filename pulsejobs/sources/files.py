@@ -20,11 +20,17 @@ def _whole(spark: SparkSession, glob: str) -> DataFrame:
 def read_column_csv(spark: SparkSession, glob: str, columns: dict[str, str]) -> DataFrame:
     """CSV files with a header, one column a channel, one line a sample: (name, id, one array for each of ``columns``).
 
-    ``columns`` maps header names to channel names. id is the number in the file name.
+    ``columns`` maps header names to channel names. id is the number in the file
+    name. A cell that is no number is null, the word nan stays NaN.
     """
     rows = _whole(spark, glob).withColumn("_lines", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""))
     rows = rows.withColumns({"_head": F.transform(F.split(F.get("_lines", F.lit(0)), ","), lambda x: F.trim(x)), "_cells": F.transform(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0))), lambda x: F.split(x, ","))})
-    out = {new: F.transform("_cells", lambda c, old=old: F.get(c, (F.array_position("_head", old) - 1).cast("int")).try_cast("double")) for old, new in columns.items()}
+
+    def channel(name: str) -> Column:
+        at = (F.array_position("_head", F.lit(name)) - 1).cast("int")
+        return A.let(at, lambda i: F.transform("_cells", lambda c: F.get(c, i).try_cast("double")))
+
+    out = {new: channel(old) for old, new in columns.items()}
     return rows.select("name", F.regexp_extract("name", r"(\d+)", 1).try_cast("int").alias("id"), *[v.alias(k) for k, v in out.items()])
 
 
