@@ -37,14 +37,19 @@ def with_extrema(df: DataFrame, wave: str, prefix: str, fs: int, remove_ends: bo
     return out.withColumnsRenamed({"flag1": f"{prefix}_f1", "flag2": f"{prefix}_f2"})
 
 
-def cleaned(windows: DataFrame, c: CleanConfig) -> tuple[DataFrame, list[DataFrame]]:
+def cleaned(windows: DataFrame, c: CleanConfig, path: str) -> tuple[DataFrame, list[DataFrame]]:
     """Clean labelled windows with extrema, cycles and statistics, and the audit tables of the rules, in order.
 
-    All of it stays in the window's row: no shuffle.
+    All of it stays in the window's row: no shuffle. The rows before each rule
+    are written under ``path``, so that extrema are computed once and serve
+    the rule and its audit; plans stay short.
     """
     audits, df = [], windows.withColumns(quality.naive_labels())
 
     def step(df: DataFrame, name: str, rules: dict) -> DataFrame:
+        at = f"{path}/{name.replace(' ', '_')}"
+        files.write_windows(df, at)
+        df = df.sparkSession.read.schema(df.schema).parquet(at)
         audits.append(quality.audit(df, name, rules))
         return quality.keep(df, rules)
 
@@ -106,7 +111,7 @@ def run(spark: SparkSession, records: DataFrame, out: str, c: CleanConfig, featu
         raise ValueError("give a split of features or of signals")
     path = {n: f"{out}/{n}" for n in ("segmented", "cleaned", "audit", "features", "feature_folds", "signal_folds")}
     files.write_windows(segmented(records, c), path["segmented"])
-    clean, audits = cleaned(spark.read.parquet(path["segmented"]), c)
+    clean, audits = cleaned(spark.read.parquet(path["segmented"]), c, f"{out}/steps")
     files.write_windows(clean, path["cleaned"])
     for a in audits:
         files.append_audit(a, path["audit"])

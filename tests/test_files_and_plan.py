@@ -92,7 +92,7 @@ def test_whole_job(spark, tmp_path):
     c = process.CleanConfig(window=WindowSpec.of(125, win_sec=5), align=False, skew_over=-9)
     windows = process.segmented(records, c)
     assert windows.count() == 32
-    clean, audits = process.cleaned(windows, c)
+    clean, audits = process.cleaned(windows, c, f"{tmp_path}/steps")
     assert clean.count() > 0 and len(audits) == 10
     with pytest.raises(ValueError):
         process.run(spark, records, str(tmp_path), c, None, None)
