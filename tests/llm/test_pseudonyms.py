@@ -120,3 +120,47 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id int, text string")
     plan = P.pseudonymise(df, KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def changed(spark, texts):
+    rows = P.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), KEY).orderBy("doc_id").collect()
+    return [(r.text, [(m.kind, m.value) for m in r.found]) for r in rows]
+
+
+def test_telephone_layouts(spark):
+    texts = ["+1 (555) 123-4567", "(555) 123-4567", "555-123-4567", "555.123.4567", "1-555-123-4567", "+15551234567", "+49 30 1234567", "+49301234567", "+353 (1) 234-5678", "12-123-4567", "+1234"]
+    out = changed(spark, texts)
+    for old, (text, found) in zip(texts[:9], out, strict=False):
+        assert found == [("phone", text)] and text != old
+        assert re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", old)
+    d = [re.sub("[^0-9]", "", text) for text, _ in out]
+    assert {x[-10:] for x in d[:6]} == {d[0][1:]}  # one number in six layouts stays one number
+    x, y = permute(55512, 34567, 10**5, 10**5, "phone")
+    assert d[1] == f"{x:05}{y:05}"
+    x, y = permute(3012, 34567, 10**4, 10**5, "phone")
+    assert d[6] == d[7] == f"49{x:04}{y:05}"
+    assert d[8].startswith("353")
+    assert [out[i] for i in (9, 10)] == [(texts[i], []) for i in (9, 10)]
+
+
+def test_cards_beside_other_digits(spark):
+    card, new = "4539 1488 0343 6467", new_value("4539 1488 0343 6467")
+    around = [("", " 124"), ("", " 1"), ("12 ", ""), ("123 ", " 45"), ("9999 ", ""), ("", " 12/25"), ("", " 123-45-6789"), ("card ", " 12ab"), ("7 7 7 7 7 7 ", " 8888 8888 1"), (card + " ", ""), ("", " 2024-01-15")]
+    out = changed(spark, [a + card + b for a, b in around])
+    for (a, b), (text, found) in zip(around, out, strict=True):
+        assert ("card", new) in found and card not in text
+        assert re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", a + card + b)
+    assert [text for text, _ in out[:6]] == [a + new + b for a, b in around[:6]]
+    assert [k for k, _ in out[6][1]] == ["card", "ssn"] and [k for k, _ in out[10][1]] == ["card", "iso_date"]
+    assert out[9][0] == f"{new} {new}"
+    figures = " ".join(str(i % 90 + 10) for i in range(20000))  # long, and no card after its first group
+    assert changed(spark, ["7 " + figures])[0][0][60:] == ("7 " + figures)[60:]
+
+
+def test_dates_in_timestamps_and_month_first(spark):
+    texts = ["2024-01-15T10:00", "2024-01-15T10:00:00Z", "2024-01-15", "01/15/2024", "15/01/2024", "13/13/2024", "02/30/2024", "2024-01-15Tx"]
+    out = changed(spark, texts)
+    iso = new_value("2024-01-15")
+    y, m, d = iso.split("-")
+    assert [text for text, _ in out] == [iso + "T10:00", iso + "T10:00:00Z", iso, f"{m}/{d}/{y}", f"{d}/{m}/{y}", *texts[5:]]
+    assert [[k for k, _ in found] for _, found in out] == [["iso_date"]] * 3 + [["month_first"], ["day_first"], [], [], []]
