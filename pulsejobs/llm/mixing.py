@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from itertools import chain
 
 import numpy as np
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
+log = logging.getLogger(__name__)
+
 ROUNDS = 25
+#: Rounds at most of the bounded fit, and the error, as a share of the sample, at which it ends.
+BOUNDED_ROUNDS, CLOSE = 2000, 1e-6
 #: Categories of one dimension at most; rarer ones must be folded by the caller.
 MAX_CATEGORIES = 2000
 SEED = "mix-1"
@@ -61,6 +66,49 @@ def rake(cells: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) ->
     return factors
 
 
+def _bounded(cells: np.ndarray, targets: list[np.ndarray], rounds: int) -> tuple[list[np.ndarray], float]:
+    """Factors for which ``cells * min(1, product)`` has the target sums, and the largest error left, as a share of all targets."""
+    factors = [np.ones(n) for n in cells.shape]
+    share, other, error = np.ones(cells.shape), [tuple(i for i in range(cells.ndim) if i != axis) for axis in range(cells.ndim)], np.inf
+    for _ in range(rounds):
+        for axis, target in enumerate(targets):
+            sums = (cells * np.minimum(1, share)).sum(axis=other[axis])
+            step = np.divide(target, sums, out=np.ones_like(sums), where=sums > 0)
+            factors[axis] = np.minimum(factors[axis] * step, 1e30)
+            share = np.einsum("i,j,k->ijk", *factors)
+        kept = cells * np.minimum(1, share)
+        error = max(np.abs(kept.sum(axis=other[axis]) - target).max() for axis, target in enumerate(targets)) / targets[0].sum()
+        if error < CLOSE:
+            break
+    return factors, error
+
+
+def calibrate(cells: np.ndarray, targets: list[np.ndarray], keep_share: float, rounds: int = BOUNDED_ROUNDS) -> tuple[list[np.ndarray], float, float]:
+    """Factors whose product, cut at 1, is the sampling probability of a cell; the share of all tokens that is kept, and the error left.
+
+    The sums of the expected sample are ``targets`` (sums over all tokens) times
+    the kept share. That is ``keep_share`` if the cells have enough tokens for
+    it, else the largest share for which they have, to a thousandth.
+    """
+    at = lambda b: _bounded(cells, [t * b for t in targets], rounds)
+    factors, error = at(keep_share)
+    if error < CLOSE:
+        return factors, keep_share, error
+    # no cell is cut at this share, so raking alone decides
+    whole = rake(cells, targets, rounds)
+    low = min(keep_share, 1.0 / max(np.einsum("i,j,k->ijk", *whole)[cells > 0].max(), 1e-12))
+    high, (factors, error) = keep_share, at(low)
+    kept = low
+    while high - low > 1e-3 * high:
+        middle = (low + high) / 2
+        found = at(middle)
+        if found[1] < max(CLOSE, error):
+            low, kept, (factors, _) = middle, middle, found
+        else:
+            high = middle
+    return factors, kept, error
+
+
 def with_dimensions(docs: DataFrame) -> DataFrame:
     """doc columns and mix_source, mix_lang, mix_topic, mix_tokens (white-space words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -78,7 +126,7 @@ def _lookup(values: list[str], factors: np.ndarray, c: str) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(v), F.lit(float(x))) for v, x in zip(values, factors, strict=True)))[F.col(c)]
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep_share: float = 0.5, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep_share: float = 0.5, rounds: int = ROUNDS, seed: str = SEED, bounded: bool = False) -> DataFrame:
     """All columns of ``docs`` and: topic, tokens, weight, probability, kept.
 
     ``targets`` maps source, lang or topic to the wanted shares of tokens;
@@ -90,7 +138,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
     token in the cell: 1 means as common as in the corpus. The sampling
     probability is ``min(1, k * weight)``, with k calibrated so that
     ``keep_share`` of all tokens is expected; a document is kept if a fixed
-    hash of its doc_id and ``seed`` lies below that.
+    hash of its doc_id and ``seed`` lies below that. Where that cuts at 1, the
+    expected sample misses the targets. With ``bounded`` it meets them: the
+    cells are fitted as they are cut, and if they have too few tokens for
+    ``keep_share``, fewer tokens are kept, which is logged.
 
     Null sources and languages are categories of their own. Documents without
     words have weight by their cell (1 if the cell has no tokens). Repeated
@@ -120,10 +171,16 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
         left = sum(share[v] for v in names if v not in given)
         inside = sum(x for v, x in given.items() if share.get(v, 0) > 0)
         wanted.append(np.array([0 if share[v] <= 0 else share[v] if v not in given else given[v] / inside * (1 - left) for v in names]) * total)
-    factors = rake(cells, wanted, rounds)
+    factors, high = rake(cells, wanted, rounds), 1.0
+    if bounded:
+        factors, high, error = calibrate(cells, wanted, keep_share)
+        if high < keep_share or error > CLOSE:
+            log.warning("mix: %.4f of the tokens are kept, %.4f were asked for; largest error of a share %.1e", high, keep_share, error)
+        factors = [factors[0] / high, *factors[1:]]
     weight = np.einsum("i,j,k->ijk", *factors)
-    low, high = 0.0, 1.0 / max(weight[cells > 0].min(), 1e-12)
-    for _ in range(60):
+    if not bounded:
+        low, high = 0.0, 1.0 / max(weight[cells > 0].min(), 1e-12)
+    for _ in range(0 if bounded else 60):
         k = (low + high) / 2
         low, high = (k, high) if (cells * np.minimum(1, k * weight)).sum() < keep_share * total else (low, k)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32)
@@ -146,8 +203,8 @@ def op1_rake_and_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: a sample of nine tenths of the tokens, moved towards the target shares."""
-    return mix(docs, power=0.9, keep_share=0.9).where("kept").select(*docs.columns)
+    """Pipeline stage: a sample that meets the target shares, of nine tenths of the tokens or as many as the targets leave."""
+    return mix(docs, TARGETS, power=0.9, keep_share=0.9, bounded=True).where("kept").select(*docs.columns)
 
 
 def _raked_sql() -> str:

@@ -55,6 +55,31 @@ def test_mix_small(spark):
     assert mixing.mix(docs(spark).where("text IS NULL")).first().kept
 
 
+@pytest.mark.parametrize("keep_share", [0.3, 0.6, 0.95])
+def test_bounded_fit_meets_the_targets(keep_share):
+    cells = np.random.default_rng(0).integers(1, 100, (3, 4, 5)).astype(float)
+    cells[0, 1, 2] = 0
+    others = [tuple(i for i in range(3) if i != axis) for axis in range(3)]
+    targets = [(lambda x: x / x.sum() * cells.sum())(cells.sum(axis=o) ** 0.5) for o in others]
+    factors, kept, error = mixing.calibrate(cells, targets, keep_share)
+    sample = cells * np.minimum(1, np.einsum("i,j,k->ijk", *factors))
+    assert sample.sum() == pytest.approx(kept * cells.sum(), rel=1e-4) and error < 1e-5
+    for o, t in zip(others, targets, strict=True):
+        assert sample.sum(axis=o) / sample.sum() == pytest.approx(t / t.sum(), abs=1e-5)
+    assert kept == keep_share if keep_share == 0.3 else 0.3 < kept <= keep_share
+
+
+def test_mixing_stage_meets_the_targets(spark):
+    rows = [(i, "ab"[i % 5 == 0], ["en", "en", "en", "de", "fr", "es"][i % 6], "word " * (3 + i % 7 * 60)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    out = mixing.mix(df, mixing.TARGETS, power=0.9, keep_share=0.9, bounded=True)
+    got = {r.lang: r.n for r in out.groupBy("lang").agg(F.sum(F.col("tokens") * F.col("probability")).alias("n")).collect()}
+    for k, x in mixing.TARGETS["lang"].items():
+        assert got[k] / sum(got.values()) == pytest.approx(x, abs=1e-4)
+    want = {r.doc_id for r in out.where("kept").collect()}
+    assert {r.doc_id for r in mixing.mixing_stage(spark, df, "").collect()} == want
+
+
 def test_warc_round_trip(spark):
     long = "päge " * 40000
     rows = [(3, "http://a\r\nX: y", long), (1, "http://b", long), (2, None, None), (5, "u", "short"), (6, "u", "short"), (None, "u", long), (7, "u", "z" * 65536), (7, "u", "z" * 65536)]
