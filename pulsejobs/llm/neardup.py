@@ -85,7 +85,7 @@ def _class_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _profiles(words: int):
+def _profiles(words: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text"), words)
@@ -95,7 +95,7 @@ def _profiles(words: int):
             for i, row, low in zip(some, sig, sketches(sig), strict=True):
                 cid[i], tokens[i], sketch[i] = _class_id(sets[i]), row[:WHOLE].tobytes(), low.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.binary()) for x in (cid, tokens, sketch)]], names=["doc_id", "n_shingles", "cid", "sig", "sketch"]
+                [*[batch.column(c) for c in keys], pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.binary()) for x in (cid, tokens, sketch)]], names=[*keys, "n_shingles", "cid", "sig", "sketch"]
             )
 
     return run
@@ -400,21 +400,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, tre
     null and the row is kept. One row out for each row in; columns other than
     doc_id and text are ignored. An empty table gives an empty result.
     """
+    return _linked(docs.select("doc_id", "text"), words, least, trees, small).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _linked(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES, small: int = SMALL) -> DataFrame:
+    """``near_duplicates`` with the columns of ``docs`` besides the text (doc_id, binary keys), and lab, the component itself: null without shingles."""
+    keys = [c for c in docs.columns if c != "text"]
+    schema = ", ".join("doc_id long" if c == "doc_id" else f"{c} binary" for c in keys)
+    rows = stage(docs.select(*keys, "text").mapInArrow(_profiles(words, keys), f"{schema}, n_shingles long, cid binary, sig binary, sketch binary"), "profiles")
     docs = docs.select("doc_id", "text")
-    rows = stage(docs.mapInArrow(_profiles(words), "doc_id long, n_shingles long, cid binary, sig binary, sketch binary"), "profiles")
     classes = stage(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("head"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch")), "classes")
     join = _Join(docs, classes, words, least, small)
     join.run(trees)
     if join.labels is None:
-        where = classes.select("cid", F.col("head").alias("component_id"))
+        where = classes.select("cid", F.col("cid").alias("lab"), F.col("head").alias("component_id"))
     else:
         placed = stage(classes.select("cid", "head").join(join.labels, "cid", "left").withColumn("lab", F.coalesce("lab", "cid")), "placed")
         tops = stage(placed.groupBy("lab").agg(F.min("head").alias("component_id")), "tops")
-        where = placed.join(tops, "lab").select("cid", "component_id")
+        where = placed.join(tops, "lab").select("cid", "lab", "component_id")
     where = stage(where, "components")
-    out = rows.select("doc_id", "n_shingles", "cid").join(where, "cid", "left")
+    out = rows.select(*keys, "n_shingles", "cid").join(where, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(*keys, "n_shingles", "lab", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,11 +429,18 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays; one row of it, if rows repeat."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    held = stage(kept, "kept")
-    found = docs.join(held, docs["doc_id"].eqNullSafe(held["doc_id"]), "left_semi")
-    return found.select(*docs.columns).dropDuplicates(["doc_id"])
+    """Pipeline stage: of each component the document with the smallest id stays; one row of it, if rows repeat.
+
+    Rows are told apart by doc_id and a digest of the text: different texts
+    under one id, or without an id, are documents of their own, unless they
+    are in one component.
+    """
+    keyed = docs.withColumn("text_key", F.when(F.col("text").isNotNull(), F.unhex(F.md5(F.col("text").cast("binary")))).otherwise(F.lit(b"")))
+    kept = _linked(keyed.select("doc_id", "text_key", "text")).where("kept")
+    held = stage(kept.groupBy("doc_id", F.coalesce("lab", "text_key").alias("lab")).agg(F.min("text_key").alias("text_key")), "kept")
+    same = keyed["doc_id"].eqNullSafe(held["doc_id"]) & (keyed["text_key"] == held["text_key"])
+    found = keyed.join(held, same, "left_semi")
+    return found.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
 
 
 OP2_SQL = r"""

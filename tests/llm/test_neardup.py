@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from pulsejobs.llm.neardup import near_duplicates
+from pulsejobs.llm.neardup import near_duplicate_stage, near_duplicates
 
 
 def shingles(text, words):
@@ -74,3 +74,15 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stage_keeps_unrelated_texts_under_one_id_or_none(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    rows = [(1, text["a"]), (1, text["b"]), (1, text["a"]), (2, text["a"]), (3, text["c"]), (None, text["d"]), (None, text["e"]), (None, text["e"]), (None, text["c"])]
+    rows += [(1, None), (1, ""), (None, None), (4, text["f"] + " x"), (4, text["f"] + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r.doc_id, r.text) for r in near_duplicate_stage(spark, df, "").collect()]
+    want = [(1, text["a"]), (1, text["b"]), (3, text["c"]), (None, text["d"]), (None, text["e"]), (1, None), (1, ""), (None, None)]
+    four = [x for x in out if x[0] == 4]
+    assert len(four) == 1 and four[0] in rows  # two near copies under one id: one row stays
+    assert sorted(map(repr, out)) == sorted(map(repr, want + four))
