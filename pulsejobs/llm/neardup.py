@@ -30,11 +30,14 @@ TOKENS, WHOLE = 128, 64
 TREES = 8
 #: Classes of a node that is compared at once; larger nodes branch, each class by so many tokens, so many times.
 SMALL, BRANCHES, DEPTH = 4096, 3, 3
+#: Shingles that count as one more class where the size of a node is bounded: long documents fill a node sooner.
+HEAVY = 2048
 #: Pairs whose sketches agree in fewer of the 128 places are not looked at. A pair of similarity 0.8 agrees in 104 on
-#: average (deviation 4.4), in fewer than 85 with a probability of about one in a hundred thousand.
+#: average (deviation 4.4), in fewer than 85 with a probability of about one in a hundred thousand. With 0 all
+#: pairs of a node are compared on their full sets.
 SCREEN = 85
-#: Class ids (24 bytes each) that are broadcast to pick the texts of classes; more of them are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Keys of rows (about 60 bytes each) that are broadcast to pick texts; more of them are joined by a shuffle.
+BROADCAST_IDS = 300_000
 
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,10 +150,14 @@ def _near(sketch: np.ndarray, rows: slice) -> np.ndarray:
     return out
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _screen(least: int):
+    return lambda batches: _screened(batches, least)
+
+
+def _screened(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The members of each group that must be compared with another one.
 
-    That is one of another component, with a sketch that agrees in SCREEN
+    That is one of another component, with a sketch that agrees in ``least``
     places, and not met before: a pair is compared in the first tree in whose
     root it shares a small node. ``met`` holds the root tokens (4 bytes each) of
     the earlier trees in which the node was small, zeros elsewhere.
@@ -165,7 +172,9 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(len(of), bool)
         for a in range(0, len(of), 256):
             rows = slice(a, a + 256)
-            near = (_near(sketch, rows) >= SCREEN) & (of[rows, None] != of[None])
+            near = of[rows, None] != of[None]
+            if least > 0:
+                near &= _near(sketch, rows) >= least
             for k in range(met.shape[1]):
                 near &= (met[rows, k, None] != met[None, :, k]) | (met[rows, k, None] == 0)
             keep[rows] |= near.any(axis=1)
@@ -271,8 +280,8 @@ def connected(edges: DataFrame) -> DataFrame:
 class _Join:
     """One run of the join: the class table, the labels (class, component) and the sets fetched so far."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, least: int, small: int):
-        self.docs, self.classes, self.words, self.least, self.small = docs, classes, words, least, small
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, least: int, small: int, screen: int):
+        self.docs, self.classes, self.words, self.least, self.small, self.screen = docs, classes, words, least, small, screen
         self.labels = self.sets = None
 
     def labelled(self, rows: DataFrame) -> DataFrame:
@@ -282,37 +291,37 @@ class _Join:
         return rows.join(self.labels.hint("merge"), "cid", "left").withColumn("lab", F.coalesce("lab", "cid"))
 
     def live(self, rows: DataFrame) -> DataFrame:
-        """Members of the nodes that hold more than one component, with the node's size n."""
-        sizes = stage(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("lab").alias("low"), F.max("lab").alias("high")).where("low <> high").select("node", "n"), "node-sizes")
-        return stage(rows.select("node", "cid", "lab", "sketch", "met").join(sizes.hint("merge"), "node"), "nodes")
+        """Members of the nodes that hold more than one component, with the node's size n (the sum of its weights)."""
+        sizes = stage(rows.groupBy("node").agg(F.sum("weight").alias("n"), F.min("lab").alias("low"), F.max("lab").alias("high")).where("low <> high").select("node", "n"), "node-sizes")
+        return stage(rows.select("node", "cid", "weight", "lab", "sketch", "met").join(sizes.hint("merge"), "node"), "nodes")
 
     def roots(self, trees: int) -> DataFrame:
-        """(tree, node, cid): each class goes to a node of each tree, named by the tree's own token."""
+        """(tree, node, cid, weight): each class goes to a node of each tree, named by the tree's own token."""
         tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-        rows = self.classes.select("cid", "sig", tree.alias("tree"))
-        return rows.select("tree", F.xxhash64("tree", F.substring("sig", F.col("tree") * 4 + 1, F.lit(4))).alias("node"), "cid")
+        rows = self.classes.select("cid", "weight", "sig", tree.alias("tree"))
+        return rows.select("tree", F.xxhash64("tree", F.substring("sig", F.col("tree") * 4 + 1, F.lit(4))).alias("node"), "cid", "weight")
 
     def root_nodes(self, trees: int) -> DataFrame:
         """(tree, node, cid, n): the members of all root nodes of two classes and more."""
         roots = self.roots(trees)
-        sizes = stage(roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node-sizes")
-        return stage(roots.join(sizes.hint("merge"), "node"), "roots")
+        sizes = stage(roots.groupBy("node").agg(F.sum("weight").alias("n"), F.count("*").alias("members")).where("members > 1").select("node", "n"), "node-sizes")
+        return stage(roots.drop("weight").join(sizes.hint("merge"), "node"), "roots")
 
     def members(self, found: DataFrame, trees: range) -> DataFrame:
-        """(node, cid, lab, sketch, met) of some trees; met has the earlier trees' root tokens where the nodes were small."""
+        """(node, cid, weight, lab, sketch, met) of some trees; met has the earlier trees' root tokens where the nodes were small."""
         bits = found.groupBy("cid").agg(F.bit_or(F.expr(f"case when n <= {self.small} then shiftleft(1L, tree) else 0L end")).alias("bits"))
-        held = self.classes.select("cid", "sig", "sketch").join(bits.hint("merge"), "cid")
+        held = self.classes.select("cid", "weight", "sig", "sketch").join(bits.hint("merge"), "cid")
         held = stage(self.labelled(held), "labelled")
         tree = F.explode(F.array(*[F.lit(t) for t in trees]))
         root = lambda t: F.xxhash64(t, F.substring("sig", t * 4 + 1, F.lit(4)))
         earlier = [F.when((F.lit(t) < F.col("tree")) & (F.expr(f"(bits >> {t}) & 1") == 1), F.substring("sig", 4 * t + 1, 4)).otherwise(F.lit(bytes(4))) for t in range(max(trees))] or [F.lit(bytes(4))]
-        return held.withColumn("tree", tree).select(root(F.col("tree")).alias("node"), "cid", "lab", "sketch", F.concat(*earlier).alias("met"))
+        return held.withColumn("tree", tree).select(root(F.col("tree")).alias("node"), "cid", "weight", "lab", "sketch", F.concat(*earlier).alias("met"))
 
     def children(self, large: DataFrame) -> DataFrame:
         """Large nodes branched: each member goes to the children named by tokens at places that the node chooses."""
-        rows = large.select("node", "cid", "lab", "sketch", "met").join(self.classes.select("cid", "sig").hint("merge"), "cid").withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
+        rows = large.select("node", "cid", "weight", "lab", "sketch", "met").join(self.classes.select("cid", "sig").hint("merge"), "cid").withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
         place = F.pmod(F.xxhash64("node", "branch"), F.lit(WHOLE)).cast("int")
-        return stage(rows.select(F.xxhash64("node", place, F.substring("sig", place * 4 + 1, F.lit(4))).alias("node"), "cid", "lab", "sketch", "met").dropDuplicates(["node", "cid"]), "children")
+        return stage(rows.select(F.xxhash64("node", place, F.substring("sig", place * 4 + 1, F.lit(4))).alias("node"), "cid", "weight", "lab", "sketch", "met").dropDuplicates(["node", "cid"]), "children")
 
     def parts(self, large: DataFrame, depth: int) -> DataFrame:
         """Large nodes cut into random parts of about ``small`` members."""
@@ -326,7 +335,7 @@ class _Join:
         most about ``small`` members.
         """
         half = max(1, self.small // 2)
-        per = large.groupBy("node", "lab").count()
+        per = large.groupBy("node", "lab").agg(F.sum("weight").alias("count"))
         top = per.groupBy("node").agg(F.max(F.struct("count", "lab"))["lab"].alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
         top = stage(top.select("node", "main", F.ceil((F.col("all") - F.col("most")) / half).alias("rest_blocks"), F.ceil(F.col("all") / half).alias("all_blocks")), "main")
         rows = stage(large.join(top.hint("merge"), "node"), "blocks")
@@ -348,7 +357,7 @@ class _Join:
 
     def compare(self, groups: DataFrame) -> None:
         """Exhaustive comparison inside groups of bounded size: first of sketches, then of full sets; components are joined."""
-        close = stage(groups.select("node", "cid", "lab", "sketch", "met").repartition("node").sortWithinPartitions("node").mapInArrow(_screen, "node long, cid binary, lab binary"), "close")
+        close = stage(groups.select("node", "cid", "lab", "sketch", "met").repartition("node").sortWithinPartitions("node").mapInArrow(_screen(self.screen), "node long, cid binary, lab binary"), "close")
         if close.isEmpty():
             return
         self.fetch(close.select("cid"))
@@ -371,10 +380,10 @@ class _Join:
             for depth in range(DEPTH + 1):
                 small, large = nodes.where(f"n <= {self.small}"), nodes.where(f"n > {self.small}")
                 crowd = not large.isEmpty()
-                self.compare(small.drop("n").union(self.parts(large, depth)) if crowd else small)
+                self.compare(small.drop("n", "weight").union(self.parts(large, depth)) if crowd else small)
                 if not crowd:
                     break
-                large = self.live(self.labelled(large.select("node", "cid", "sketch", "met")))
+                large = self.live(self.labelled(large.select("node", "cid", "weight", "sketch", "met")))
                 if large.isEmpty():
                     break
                 if depth == DEPTH:
@@ -383,7 +392,7 @@ class _Join:
                     nodes = self.live(self.children(large))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES, small: int = SMALL, screen: int = SCREEN) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: the components of documents linked by shingle similarity.
 
     Words are runs of other than ASCII white space, A-Z in lower case. A text's
@@ -391,8 +400,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, tre
     has fewer. Documents are linked if 100 * intersection >= ``least`` * union.
     component_id is the smallest doc_id that links reach; kept is true for that
     document. Every link that is used was confirmed on full sets; no node,
-    crowd or partner list is cut off. What the trees may miss is bounded by the
-    number of ``trees`` (see TREES).
+    crowd or partner list is cut off. What may be missed: by the trees, as their
+    number ``trees`` says (see TREES), and by the comparison of sketches that
+    comes before that of sets (see SCREEN); ``screen=0`` leaves the latter out.
+    A node is compared at once up to ``small`` classes, a class of long texts
+    counting for several, so a task's memory is bounded too.
 
     Texts that are null or have no word have no shingles and are linked with
     nothing. Repeated rows share a component, and all rows of its smallest id
@@ -400,17 +412,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, tre
     null and the row is kept. One row out for each row in; columns other than
     doc_id and text are ignored. An empty table gives an empty result.
     """
-    return _linked(docs.select("doc_id", "text"), words, least, trees, small).select("doc_id", "n_shingles", "component_id", "kept")
+    return _linked(docs.select("doc_id", "text"), words, least, trees, small, screen).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _linked(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES, small: int = SMALL) -> DataFrame:
+def _linked(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES, small: int = SMALL, screen: int = SCREEN) -> DataFrame:
     """``near_duplicates`` with the columns of ``docs`` besides the text (doc_id, binary keys), and lab, the component itself: null without shingles."""
     keys = [c for c in docs.columns if c != "text"]
     schema = ", ".join("doc_id long" if c == "doc_id" else f"{c} binary" for c in keys)
     rows = stage(docs.select(*keys, "text").mapInArrow(_profiles(words, keys), f"{schema}, n_shingles long, cid binary, sig binary, sketch binary"), "profiles")
     docs = docs.select("doc_id", "text")
-    classes = stage(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("head"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch")), "classes")
-    join = _Join(docs, classes, words, least, small)
+    classes = stage(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("head"), F.max(F.expr(f"greatest(1L, n_shingles div {HEAVY})")).alias("weight"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch")), "classes")
+    join = _Join(docs, classes, words, least, small, screen)
     join.run(trees)
     if join.labels is None:
         where = classes.select("cid", F.col("cid").alias("lab"), F.col("head").alias("component_id"))
@@ -435,12 +447,23 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     under one id, or without an id, are documents of their own, unless they
     are in one component.
     """
-    keyed = docs.withColumn("text_key", F.when(F.col("text").isNotNull(), F.unhex(F.md5(F.col("text").cast("binary")))).otherwise(F.lit(b"")))
-    kept = _linked(keyed.select("doc_id", "text_key", "text")).where("kept")
-    held = stage(kept.groupBy("doc_id", F.coalesce("lab", "text_key").alias("lab")).agg(F.min("text_key").alias("text_key")), "kept")
-    same = keyed["doc_id"].eqNullSafe(held["doc_id"]) & (keyed["text_key"] == held["text_key"])
-    found = keyed.join(held, same, "left_semi")
-    return found.dropDuplicates(["doc_id", "text_key"]).select(*docs.columns)
+    key = F.when(F.col("text").isNotNull(), F.unhex(F.md5(F.col("text").cast("binary")))).otherwise(F.lit(b""))
+    found = _linked(docs.select("doc_id", key.alias("text_key"), "text"))
+    each = stage(found.groupBy("doc_id", "text_key").agg(F.min(F.coalesce("lab", "text_key")).alias("lab"), F.max("kept").alias("kept"), F.count("*").alias("rows")), "each")
+    held = each.where("kept").groupBy(F.col("doc_id").alias("held_id"), F.col("lab").alias("held_lab")).agg(F.min("text_key").alias("held_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("lab") == F.col("held_lab")) & (F.col("text_key") == F.col("held_key"))
+    marked = each.join(held, same, "left").where("held_key IS NULL OR rows > 1")
+    # only rows that go or that repeat are looked up, so that texts stay where they lie
+    marked = stage(marked.select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"), F.col("held_key").isNull().alias("near_gone")), "marked")
+    few = marked.count() <= BROADCAST_IDS
+    name = next(n for n in (f"near_text_key{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    keyed = docs.withColumn(name, key)
+    out = keyed.join(F.broadcast(marked) if few else marked, keyed["doc_id"].eqNullSafe(marked["near_id"]) & (keyed[name] == marked["near_key"]), "left")
+    single = out.where("near_gone IS NULL").select(*[keyed[c] for c in docs.columns])
+    if marked.where("NOT near_gone").isEmpty():
+        return single
+    twins = out.where("NOT near_gone").select(*[keyed[c] for c in keyed.columns]).dropDuplicates(["doc_id", name])
+    return single.union(twins.select(*docs.columns))
 
 
 OP2_SQL = r"""
