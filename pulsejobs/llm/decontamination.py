@@ -1,7 +1,15 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all test items."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised texts of all test items.
+
+The automaton holds, for every item, seeds of five words at every ninth word:
+any 13 words that follow one another have a whole seed among them. Words are
+spelt with two letters of 6 bits of their hash, so the automaton has about one
+node for each word of the items. A text is scanned once; where a seed is found,
+the words to its left and right are compared with the item's own.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -10,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import flat, slices, spans, stage, table
+from .shared import flat, slices, span_hashes, spans, stage, table
 
-WINDOW = 13
-#: Bytes of item texts for one automaton; more items are scanned in further passes of as many bytes each.
-BLOCK_BYTES = 2_000_000
+WINDOW, SEED = 13, 5
+#: Bytes of item texts for one automaton (README gives its size); more items are scanned in further passes of as many bytes each.
+BLOCK_BYTES = 20_000_000
 
 _NORMAL = np.full(256, 32, np.uint8)
 _NORMAL[48:58] = np.arange(48, 58)
@@ -30,67 +38,145 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def windows(words: list[bytes], length: int = WINDOW) -> set[str]:
-    """Windows of ``length`` words, or the whole of a shorter item; each with a blank before and after."""
-    if not words:
-        return set()
-    n = max(1, len(words) - length + 1)
-    return {f" {b' '.join(words[i : i + length]).decode('latin-1')} " for i in range(n)}
-
-
-def automaton(items: list[tuple[str, bytes]], length: int = WINDOW) -> ahocorasick.Automaton:
-    """Each window with its number of words and the items that hold it."""
-    holders: dict[str, set[str]] = {}
-    for item, text in items:
-        for w in windows(normal_words(text), length):
-            holders.setdefault(w, set()).add(item)
-    found = ahocorasick.Automaton()
-    for w, ids in holders.items():
-        found.add_word(w, (w.count(" ") - 1, tuple(sorted(ids))))
-    if holders:
-        found.make_automaton()
-    return found
+class Items:
+    """The words of all items end to end, and the automaton over their seeds."""
+
+    def __init__(self, items: list[tuple[str, bytes]], length: int = WINDOW):
+        self.ids = [i for i, _ in items]
+        texts = [b" ".join(normal_words(t)) for _, t in items]
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
+        parts, k = [], 0
+        while k < len(texts):  # about a megabyte at once: hashing takes some forty times that
+            to = max(k + 1, int(np.searchsorted(offsets, offsets[k] + 1_000_000, "right")) - 1)
+            data = self.data[offsets[k] : offsets[to]]
+            starts, ends, at = spans(data, offsets[k : to + 1] - offsets[k], _APART)
+            parts.append((starts + offsets[k], ends + offsets[k], np.diff(at), span_hashes(data, starts, ends)))
+            k = to
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.starts, self.ends, words, self.hashes = (np.concatenate(x) for x in zip(*(parts or [none]), strict=True))
+        self.first = np.append(0, np.cumsum(words))
+        sizes = np.diff(self.first)
+        self.need = np.minimum(length, sizes)  # words of a window of the item
+        seed = np.minimum(min(SEED, length), sizes)
+        stride = length - min(SEED, length) + 1
+        count = np.where(sizes == 0, 0, np.where(sizes <= length, 1, (sizes - seed) // stride + 1))
+        self.item = np.repeat(np.arange(len(sizes)), count)
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        self.at = self.first[self.item] + step * stride
+        self.size = seed[self.item]
+        # seeds of the same words are one key
+        letters = spelt(self.hashes)
+        value = _seed_values(self.hashes, self.at, self.size)
+        order = np.argsort(value, kind="stable")
+        self.item, self.at, self.size = self.item[order], self.at[order], self.size[order]
+        new = np.flatnonzero(np.append(True, value[order][1:] != value[order][:-1])[: len(order)])
+        self.group = np.append(new, len(order))
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        held: dict[str, list[int]] = {}  # keys that are spelt alike though their words differ
+        for g, k in enumerate(new.tolist()):
+            key = letters[self.at[k] : self.at[k] + self.size[k]].tobytes().decode("latin-1")
+            if key in self.found:
+                held.setdefault(key, [self.found.get(key)]).append(g)
+            else:
+                self.found.add_word(key, g)
+        self.alike = {v[0]: v for v in held.values()}
+        if len(self.found):
+            self.found.make_automaton()
+
+    def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, word after the last, item) of the word runs of a batch of texts that hold a window of an item."""
+        none = (np.zeros(0, np.int64),) * 3
+        if not len(self.found) or not len(starts):
+            return none
+        hashes = span_hashes(data, starts, ends)
+        hits = [(end // 2 + 1, g) for end, v in self.found.iter(spelt(hashes).tobytes().decode("latin-1")) for g in self.alike.get(v, (v,))]
+        if not hits:
+            return none
+        end, g = np.array(hits, np.int64).T
+        count = self.group[g + 1] - self.group[g]
+        k = np.repeat(self.group[g], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        end, size, place, item = np.repeat(end, count), self.size[k], self.at[k], self.item[k]
+        begin = end - size
+        text = np.searchsorted(at, begin, "right") - 1
+        keep = (end <= at[text + 1]) & (_seed_values(hashes, begin, size) == _seed_values(self.hashes, place, size))
+        begin, end, place, item, size, text = (x[keep] for x in (begin, end, place, item, size, text))
+        left = _alike(hashes, begin - 1, at[text], self.hashes, place - 1, self.first[item], -1)
+        right = _alike(hashes, end, at[text + 1] - 1, self.hashes, place + size, self.first[item + 1] - 1, 1)
+        keep = left + size + right >= self.need[item]
+        begin, end, item, place = (begin - left)[keep], (end + right)[keep], item[keep], (place - left)[keep]
+        # equal hashes so far: now the words themselves
+        same = np.array([normal_words(data[starts[a] : ends[b - 1]].tobytes()) == self.data[self.starts[p] : self.ends[p + b - a - 1]].tobytes().split() for a, b, p in zip(begin, end, place, strict=True)], bool)
+        return begin[same], end[same], item[same]
+
+
+def spelt(hashes: np.ndarray) -> np.ndarray:
+    """(words, 2) letters: 6 bits of the hash each; the first letter is from another alphabet than the second."""
+    return np.stack([64 + (hashes & np.uint64(63)), hashes >> np.uint64(6) & np.uint64(63)], axis=1).astype(np.uint8)
+
+
+def _seed_values(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One hash for the ``size`` words from ``at`` on."""
+    out = size.astype(np.uint64)
+    for k in range(int(size.max(initial=0))):
+        out = np.where(k < size, (out ^ hashes[np.minimum(at + k, len(hashes) - 1)]) * np.uint64(0x9E3779B97F4A7C15), out)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _alike(a: np.ndarray, i: np.ndarray, i_end: np.ndarray, b: np.ndarray, j: np.ndarray, j_end: np.ndarray, step: int, most: int = WINDOW) -> np.ndarray:
+    """How many words from a[i] and b[j] on, in steps of 1 or -1, are equal up to the ends (``most`` at most: beyond are other seeds)."""
+    out, go = np.zeros(len(i), np.int64), np.arange(len(i))
+    for k in range(most):
+        x, y = i[go] + step * k, j[go] + step * k
+        inside = (step * x <= step * i_end[go]) & (step * y <= step * j_end[go])
+        go, x, y = go[inside], x[inside], y[inside]
+        go = go[a[x] == b[y]]
+        out[go] += 1
+        if not len(go):
+            break
+    return out
 
 
 _RUN = pa.struct([("word", pa.int64()), ("until", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 _RUN_SQL = "array<struct<word:bigint,until:bigint,start:bigint,end:bigint>>"
+_built: dict[str, Items] = {}
 
 
-def hit_words(text: str, found: ahocorasick.Automaton, n_words: int) -> tuple[np.ndarray, set[str]]:
-    """Which words of a normalised text are in an occurrence of a window, and the items of those windows."""
-    edges, items, blanks = None, set(), None
-    for end, (words, ids) in found.iter(text):
-        if edges is None:  # the number of blanks before the match's end is the number of words up to it
-            edges = np.zeros(n_words + 1, np.int64)
-            blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-        last = int(np.searchsorted(blanks, end))
-        edges[last - words] += 1
-        edges[last] -= 1
-        items.update(ids)
-    return (np.zeros(0, bool) if edges is None else np.cumsum(edges[:-1]) > 0), items
+def _items(held, length: int) -> Items:
+    """The automaton of a broadcast, built once in a worker process; an older one is let go."""
+    name, items = held.value
+    if name not in _built:
+        _built.clear()
+        _built[name] = Items(items, length)
+    return _built[name]
 
 
-def _scan(held, length: int, schema: pa.Schema):
+def _scan(held, length: int, schema: list[str]):
     """One pass over the texts with one automaton; adds to the runs and items of the passes before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(held.value, length)  # once a task
+        found = _items(held, length)
         for batch in slices(batches, "text"):
             data, offsets = flat(batch.column("text"))
             starts, ends, at = spans(data, offsets, _APART)
             counts = np.diff(at)
             runs, items = batch.column("matches").to_pylist(), batch.column("items").to_pylist()
-            for k in np.flatnonzero(counts) if len(found) else []:
-                text = f" {b' '.join(normal_words(data[offsets[k] : offsets[k + 1]].tobytes())).decode('latin-1')} "
-                hit, ids = hit_words(text, found, int(counts[k]))
-                if ids:
-                    for r in runs[k]:
-                        hit[r["word"] : r["until"]] = True
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                    first, until = edge[::2], edge[1::2]
-                    begin, stop = starts[at[k] + first] - offsets[k], ends[at[k] + until - 1] - offsets[k]
-                    runs[k] = [dict(zip(("word", "until", "start", "end"), x, strict=True)) for x in zip(first.tolist(), until.tolist(), begin.tolist(), stop.tolist(), strict=True)]
-                    items[k] = sorted(ids.union(items[k]))
+            begin, end, item = found.runs(data, starts, ends, at)
+            edges = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(edges, begin, 1)
+            np.add.at(edges, end, -1)
+            hits = np.cumsum(edges[:-1]) > 0
+            text = np.searchsorted(at, begin, "right") - 1
+            for k in np.unique(text).tolist():
+                hit = hits[at[k] : at[k + 1]].copy()
+                for r in runs[k]:
+                    hit[r["word"] : r["until"]] = True
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                first, until = edge[::2], edge[1::2]
+                begins, stops = starts[at[k] + first] - offsets[k], ends[at[k] + until - 1] - offsets[k]
+                runs[k] = [dict(zip(("word", "until", "start", "end"), x, strict=True)) for x in zip(first.tolist(), until.tolist(), begins.tolist(), stops.tolist(), strict=True)]
+                items[k] = sorted({found.ids[i] for i in item[text == k].tolist()}.union(items[k]))
             new = {"n_words": pa.array(counts, pa.int64()), "matches": pa.array(runs, pa.list_(_RUN)), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c) if c in batch.schema.names else None) for c in schema], names=schema)
 
@@ -119,9 +205,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, b
     contaminated if words are hit and they are a twentieth of its words at
     least.
 
-    Items are read in blocks of ``block_bytes``, so the automaton that goes to
-    the tasks has a fixed size bound; a text is scanned once, or once for each
-    block beyond 2 MB of items, with a written table between the passes.
+    Items are read in blocks of ``block_bytes``, so the automaton that each
+    worker process builds once has a fixed size bound; a text is scanned once, or
+    once for each block beyond 20 MB of items, with a written table between the passes.
     There is no join and no shuffle. Null and wordless texts and items have no
     words; a null item_id is written as an empty string; repeated rows give
     repeated rows; without items nothing is hit. Extra columns stay, those
@@ -133,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, b
     for k, block in enumerate(item_blocks(benchmark, block_bytes)):
         if k:
             out = stage(out, "scanned")
-        out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), length, out.columns), out.schema)
+        out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block)), length, out.columns), out.schema)
     hit = F.aggregate("matches", F.lit(0).cast("long"), lambda n, m: n + m["until"] - m["word"])
     return (
         out.withColumn("n_hit", hit)
