@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import flat, slices, table, text_crc
@@ -18,9 +18,9 @@ WIDTHS = (2, 3, 4)
 OVERLAP = max(WIDTHS) - 1
 FILTERS = 12
 EMBED = 8
-#: The fit takes at most so many labelled documents, and of each at most so many windows, evenly spread.
-FIT_DOCS = 2500
-FIT_WINDOWS = 3
+#: The fit takes at most so many labelled documents of each language, whole, and of those as many as have so many windows together.
+FIT_DOCS = 700
+FIT_WINDOWS = 4000
 EPOCHS = 6
 UNKNOWN = "und"
 
@@ -136,21 +136,41 @@ def fit(windows: np.ndarray, labels: np.ndarray, names: list[str], epochs: int =
 
 
 def _lowered(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` by number (c0, c1, ...), and lower, letters: so that no name can clash."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("_lower", F.encode(F.lower(text), "UTF-8")).withColumn("_letters", text.rlike(r"\p{L}"))
-
-
-def train(docs: DataFrame, n_docs: int = FIT_DOCS) -> ByteCnn:
-    """Fit on the text and lang of at most ``n_docs`` documents of ``docs``: those with the smallest hashes, so a fixed sample."""
-    sample = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = sample.orderBy(F.xxhash64("doc_id", F.lit("lang")), "doc_id").limit(n_docs)
-    # of a long text only as many windows as the fit takes leave the task
-    size, whole = F.octet_length("_lower"), WINDOW * FIT_WINDOWS
-    spread = [F.expr(f"substring(_lower, cast(({i} * (octet_length(_lower) - {WINDOW})) div {FIT_WINDOWS - 1} as int) + 1, {WINDOW})") for i in range(FIT_WINDOWS)]
-    rows = _lowered(sample).select("lang", F.when(size <= whole, F.col("_lower")).otherwise(F.concat(*spread)).alias("bytes")).collect()
-    names = sorted({r.lang for r in rows})
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.encode(F.lower(text), "UTF-8").alias("lower"), text.rlike(r"\p{L}").alias("letters"))
+
+
+def train(docs: DataFrame, n_docs: int = FIT_DOCS, n_windows: int = FIT_WINDOWS) -> ByteCnn:
+    """Fit on at most ``n_docs`` documents of each language: those with the smallest hashes, so a fixed sample.
+
+    The classes are all values of lang that a text with a letter has. Documents
+    are learned from whole: of the picked ones of a language those are taken, in
+    the order of their hashes, that have ``n_windows`` windows together; one that
+    does not fit in is passed over; of a language without any that does, the smallest is taken. Equal
+    rows count once. What is picked are hashes and sizes; only then are the picked texts read.
+    """
+    hash_ = F.xxhash64("doc_id", "text", F.lit("lang"))
+    able = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", hash_.alias("h"))
+    slim = able.select("lang", "h", F.greatest(F.lit(1), F.ceil((F.octet_length("text") - OVERLAP) / (WINDOW - OVERLAP))).cast("long").alias("n"))
+    counts = slim.groupBy("lang").agg(F.count("*").alias("rows"))
+    names = sorted(r.lang for r in counts.collect())
     if not names:
         return ByteCnn.fresh([UNKNOWN])
+    # about four times as many as needed of each language, so that no task ranks a whole language
+    near = slim.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(2**30)) / 2.0**30 < F.least(F.lit(1.0), F.lit(4.0 * n_docs) / F.col("rows")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(2**30)), "h"))
+    ranked = near.groupBy("lang", "h").agg(F.max("n").alias("n")).withColumn("place", place).where(F.col("place") <= n_docs).collect()
+    left, taken = dict.fromkeys(names, n_windows), []
+    smallest = {r.lang: (r.lang, r.h) for r in sorted(ranked, key=lambda r: (-r.n, -r.place))}
+    for r in sorted(ranked, key=lambda r: (r.lang, r.place)):
+        if r.n <= left[r.lang]:
+            left[r.lang] -= r.n
+            taken.append((r.lang, r.h))
+    taken += [smallest[k] for k, n in left.items() if n == n_windows and k in smallest]
+    chosen = docs.sparkSession.createDataFrame(taken, "lang string, h long")
+    rows = able.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", F.encode(F.lower("text"), "UTF-8").alias("bytes")).collect()
+    rows.sort(key=lambda r: (r.lang, r.h))  # the same order, whatever the partitions
     data = np.frombuffer(b"".join(bytes(r.bytes) for r in rows), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(r.bytes) for r in rows])])
     windows, owner, _ = windows_of(data, offsets)
@@ -161,32 +181,46 @@ def train(docs: DataFrame, n_docs: int = FIT_DOCS) -> ByteCnn:
 def _predict(held, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
-        for batch in slices(batches, "_lower", 500_000):
-            data, offsets = flat(batch.column("_lower"))
-            windows, owner, covered = windows_of(data, offsets)
-            p = net.predict(windows) * (covered[:, None] + 1e-3)
-            total = np.stack([np.bincount(owner, p[:, k], batch.num_rows) for k in range(p.shape[1])], axis=1)
+        for batch in slices(batches, "lower", 500_000):
+            data, offsets = flat(batch.column("lower"))
+            total = np.zeros((batch.num_rows, len(net.labels)))
+            # a long text is worked through in pieces of whole windows
+            for first, at in _pieces(offsets):
+                windows, owner, covered = windows_of(data[at[0] : at[-1]], at - at[0])
+                p = net.predict(windows).astype(np.float64) * (covered[:, None] + 1e-3)
+                for k in range(p.shape[1]):
+                    total[first : first + len(at) - 1, k] += np.bincount(owner, p[:, k], len(at) - 1)
             total /= total.sum(axis=1, keepdims=True)
             best = total.argmax(axis=1)
-            letters = np.array(batch.column("_letters").to_pylist(), bool)
+            letters = np.array(batch.column("letters").to_pylist(), bool)
             lang = [net.labels[b] if x else UNKNOWN for b, x in zip(best, letters, strict=True)]
-            score = np.where(letters, total[np.arange(len(best)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*names, "lang_pred", "score"])
+            score = np.where(letters, np.round(total[np.arange(len(best)), best], 6), 0.0)  # sums of floats differ in their last digits with the batch
+            yield pa.RecordBatch.from_arrays([*[batch.column(f"c{i}") for i in range(len(names))], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
 
+def _pieces(offsets: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the first text, offsets): all texts at once, or a single one longer than ``most`` in pieces that end where a window does."""
+    if len(offsets) != 2 or offsets[-1] - offsets[0] <= most:
+        yield 0, offsets
+        return
+    step = (WINDOW - OVERLAP) * (most // (WINDOW - OVERLAP))
+    for a in range(int(offsets[0]), max(int(offsets[0]) + 1, int(offsets[1]) - OVERLAP), step):
+        yield 0, np.array([a, min(a + step + OVERLAP, int(offsets[1]))])
+
+
 def predict(docs: DataFrame, net: ByteCnn) -> DataFrame:
     """All columns of ``docs`` and lang_pred, score.
 
     Every text is cut, whole, into windows of 256 bytes that share three; a
     text's probabilities are the mean over its windows, weighted by the bytes
     they cover. A null text or one without any letter is ``und`` with score 0.
-    Extra columns stay, older lang_pred and score are replaced. Rows are on
-    their own: no shuffle.
+    Scores have six decimals. Extra columns stay, whatever their names; older
+    lang_pred and score are replaced. Rows are on their own: no shuffle.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "_lower", "_letters")]
-    rows = _lowered(docs.select(*names))
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = _lowered(docs.select(*[F.col(f"`{c}`") for c in names]))
     columns = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(net), names), f"{columns}, lang_pred string, score double")
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .shared import flat, slices, span_hashes, spans, table, text_crc
 
-#: The fit takes at most so many labelled documents of each label, and the first so many lines of each.
+#: The fit takes at most so many labelled documents of each label, whole, and of those as many as have so many lines together.
 FIT_DOCS = 1500
-FIT_LINES = 200
+FIT_LINES = 200_000
 ITERATIONS = 150
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other
@@ -129,7 +129,7 @@ class Crf:
         if not pairs:
             return good, None
         joint = np.zeros((n, 2, 2))
-        joint[1:] = np.exp(forward[:-1, :, None] + t + (node + backward)[1:, None, :] - z[1:, None, None])
+        joint[1:] = np.exp(np.minimum(0, forward[:-1, :, None] + t + (node + backward)[1:, None, :] - z[1:, None, None]))  # lines of two texts give more; they are set to 0 next
         joint[first[:-1]] = 0
         return good, joint
 
@@ -195,21 +195,24 @@ def fit(x: np.ndarray, first: np.ndarray, weight: np.ndarray, labels: np.ndarray
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a document: its line features and weights as bytes, of the first FIT_LINES lines."""
-    for batch in slices(batches, "text"):
+    """One row a document: the features and weights of all its lines as bytes."""
+    for batch in slices(batches, "text", 500_000):
         x, first, weight = line_features(batch.column("text"))
-        cut = [slice(a, min(b, a + FIT_LINES)) for a, b in zip(first[:-1], first[1:], strict=True)]
+        cut = [slice(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("quality"), pa.array([x[c].tobytes() for c in cut], pa.binary()), pa.array([weight[c].astype(np.int64).tobytes() for c in cut], pa.binary())],
             names=["quality", "x", "weight"],
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, n_docs: int = FIT_DOCS) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, n_docs: int = FIT_DOCS, n_lines: int = FIT_LINES) -> Crf:
     """Fit on at most ``n_docs`` documents of either label (0, 1): those with the smallest hashes, so a fixed sample.
 
-    The label rows are picked first, so only the picked documents' features
-    (at most ``2 * n_docs * FIT_LINES`` lines) come to the driver. Without
+    Documents are learned from whole. Of the picked ones those are taken, in
+    the order of their hashes, that have ``n_lines`` lines of either label
+    together; one that does not fit in is passed over. So at most
+    ``2 * n_lines`` lines of 51 figures (4 bytes each, 8 while fitting) come to
+    the driver. Of different texts under one id one is learned from. Without
     documents of both labels all texts score a half.
     """
     rank = F.xxhash64("doc_id", F.lit("quality"))
@@ -217,7 +220,17 @@ def train(docs: DataFrame, labels: DataFrame, n_docs: int = FIT_DOCS) -> Crf:
     for q in (0, 1):
         some = labels.where(F.col("quality") == q).select("doc_id", F.lit(q).alias("quality")).distinct().orderBy(rank, "doc_id").limit(n_docs)
         picked = some if picked is None else picked.union(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", "text").mapInArrow(_features, "quality int, x binary, weight binary").collect()
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(picked), "doc_id")
+    lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    sizes = found.groupBy("quality", "doc_id", rank.alias("rank")).agg(F.min(F.struct("text_hash", F.coalesce(lines, F.lit(1)).alias("lines"))).alias("one")).collect()
+    taken, left = [], {0: n_lines, 1: n_lines}
+    for r in sorted(sizes, key=lambda r: (r["rank"], r.doc_id)):
+        if r.one.lines <= left[r.quality]:
+            left[r.quality] -= r.one.lines
+            taken.append((r.doc_id, r.one.text_hash, r.quality))
+    chosen = docs.sparkSession.createDataFrame(taken, "doc_id long, text_hash long, quality int")
+    one = found.drop("quality").join(F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "quality"])
+    rows = one.select("quality", "text").mapInArrow(_features, "quality int, x binary, weight binary").collect()
     rows.sort(key=lambda r: (r.quality, bytes(r.x)))  # sums in the same order, whatever the partitions
     y = np.array([r.quality for r in rows])
     if len(set(y)) < 2:
