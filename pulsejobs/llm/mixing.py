@@ -16,36 +16,53 @@ log = logging.getLogger(__name__)
 ROUNDS = 25
 #: Rounds at most of the bounded fit, and the error, as a share of the sample, at which it ends.
 BOUNDED_ROUNDS, CLOSE = 2000, 1e-6
-#: Categories of one dimension at most; rarer ones must be folded by the caller.
-MAX_CATEGORIES = 2000
+#: Categories of one dimension and cells of all three at most, since they reach the driver; rarer ones must be folded by the caller.
+MAX_CATEGORIES, MAX_CELLS = 2000, 200_000
+#: How often as common as in the corpus a category without a target of its own may become (about: shares are normalised after it).
+MOST = 2.0
 SEED = "mix-1"
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 
 
+#: Signs of code, tables and other markup.
+MARKS = "{}[]<>=;|#$%&*@\\^~_+/"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def topic_of(text: Column) -> Column:
-    """A coarse register used as topic: what the layout of the whole text says.
+    """A register used as topic: what the characters of the whole text say, by shares that hold for any corpus.
 
-    ``table`` (cells between bars), ``secret`` (an assignment to a quoted
-    value), ``shout`` (words with exclamation marks in capitals), ``brief``
-    (under 600 characters) or ``prose``. Fixed rules, so that a document has
-    the same topic in every corpus.
+    ``numbers`` (15 digits and more in a hundred characters), ``markup`` (4
+    signs of MARKS), ``capitals`` (25 capitals A-Z), ``lines`` (lines of under 40
+    characters on average), ``brief`` (under 600 characters, null and empty
+    texts too) or ``prose``, the first that fits. A fixed rule, so that a document has
+    the same topic in every corpus; a corpus with topics of its own has them in a column and needs none.
     """
     text = F.coalesce(text, F.lit(""))
+    n = F.length(text)
+    share = lambda of: (n - F.length(F.translate(text, of, ""))) * 100
+    some = n > 0
     return (
-        F.when(text.contains(" | "), "table")
-        .when(text.contains(' = "'), "secret")
-        .when(text.contains("!! "), "shout")
-        .when(F.length(text) < 600, "brief")
+        F.when(some & (share("0123456789") >= 15 * n), "numbers")
+        .when(some & (share(MARKS) >= 4 * n), "markup")
+        .when(some & (share(CAPITALS) >= 25 * n), "capitals")
+        .when(some & (share("\n") * 40 >= 100 * n), "lines")
+        .when(n < 600, "brief")
         .otherwise("prose")
     )
 
 
-def tempered(share: dict[str, float], power: float) -> dict[str, float]:
-    """Shares to the power ``power``, normalised: below 1, small categories gain."""
+def tempered(share: dict[str, float], power: float, most: float = MOST) -> dict[str, float]:
+    """Shares to the power ``power``, normalised: below 1, small categories gain, up to about ``most`` times their share.
+
+    Without that bound a category of a few documents sets how small the sample must be.
+    """
     raised = {k: v**power for k, v in share.items() if v > 0}
     total = sum(raised.values())
-    return {k: v / total for k, v in raised.items()}
+    cut = {k: min(v / total, most * share[k]) for k, v in raised.items()}
+    left = sum(cut.values())
+    return {k: v / left for k, v in cut.items()}
 
 
 def rake(cells: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -> list[np.ndarray]:
@@ -109,15 +126,15 @@ def calibrate(cells: np.ndarray, targets: list[np.ndarray], keep_share: float, r
     return factors, kept, error
 
 
-def with_dimensions(docs: DataFrame) -> DataFrame:
-    """doc columns and mix_source, mix_lang, mix_topic, mix_tokens (white-space words)."""
+def with_dimensions(docs: DataFrame, prefix: str = "mix") -> DataFrame:
+    """doc columns and, after ``prefix``, _source, _lang, _topic, _tokens (white-space words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumns(
         {
-            "mix_source": F.coalesce(F.col("source"), F.lit(NONE)),
-            "mix_lang": F.coalesce(F.col("lang"), F.lit(NONE)),
-            "mix_topic": topic_of(F.col("text")),
-            "mix_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
+            f"{prefix}_source": F.coalesce(F.col("source"), F.lit(NONE)),
+            f"{prefix}_lang": F.coalesce(F.col("lang"), F.lit(NONE)),
+            f"{prefix}_topic": topic_of(F.col("text")),
+            f"{prefix}_tokens": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
         }
     )
 
@@ -126,35 +143,40 @@ def _lookup(values: list[str], factors: np.ndarray, c: str) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(v), F.lit(float(x))) for v, x in zip(values, factors, strict=True)))[F.col(c)]
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep_share: float = 0.5, rounds: int = ROUNDS, seed: str = SEED, bounded: bool = False) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.7, keep_share: float = 0.5, rounds: int = ROUNDS, seed: str = SEED, bounded: bool = False, most: float = MOST) -> DataFrame:
     """All columns of ``docs`` and: topic, tokens, weight, probability, kept.
 
     ``targets`` maps source, lang or topic to the wanted shares of tokens;
     shares are normalised over the categories that have tokens, categories
     without a target keep the share they have. A dimension without targets gets
-    its shares tempered by ``power``. The token counts of the category cells
+    its shares tempered by ``power`` and ``most`` (see ``tempered``). The token counts of the category cells
     (three small dimensions, at most ``MAX_CATEGORIES`` values in each) are the
     only figures that reach the driver. ``weight`` is the raked weight of a
     token in the cell: 1 means as common as in the corpus. The sampling
     probability is ``min(1, k * weight)``, with k calibrated so that
-    ``keep_share`` of all tokens is expected; a document is kept if a fixed
-    hash of its doc_id and ``seed`` lies below that. Where that cuts at 1, the
-    expected sample misses the targets. With ``bounded`` it meets them: the
-    cells are fitted as they are cut, and if they have too few tokens for
-    ``keep_share``, fewer tokens are kept, which is logged.
+    ``keep_share`` of all tokens is expected; where a cell would need more than
+    1, k is lowered until none does, so the expected sample has the targets and
+    fewer tokens. With ``bounded`` probabilities may reach 1 and the cells are
+    fitted as they are cut, which also meets the targets and keeps as many
+    tokens as they leave. A document is kept if a fixed hash of its doc_id and
+    ``seed`` lies below its probability. Both what is kept and the error left
+    by the fit are logged.
 
     Null sources and languages are categories of their own. Documents without
     words have weight by their cell (1 if the cell has no tokens). Repeated
     ids are kept or dropped together, a null id hashes as an empty text. An
     empty table gives an empty result.
     """
-    held = with_dimensions(docs)
-    dims = [f"mix_{d}" for d in DIMENSIONS]
-    counted = held.groupBy(*dims).agg(F.sum("mix_tokens").alias("n"))
-    sizes = counted.agg(*[F.count_distinct(d).alias(d) for d in dims]).first()
-    if max(sizes) > MAX_CATEGORIES:
-        raise ValueError(f"over {MAX_CATEGORIES} categories: {sizes.asDict()}; fold rare ones first")
-    rows = counted.collect()
+    prefix = "mix"
+    while any(c.startswith(f"{prefix}_") for c in docs.columns):
+        prefix += "_"
+    held = with_dimensions(docs, prefix)
+    dims = [f"{prefix}_{d}" for d in DIMENSIONS]
+    topic, tokens = F.col(f"{prefix}_topic").alias("topic"), F.col(f"{prefix}_tokens").alias("tokens")
+    rows = held.groupBy(*dims).agg(F.sum(f"{prefix}_tokens").alias("n")).limit(MAX_CELLS + 1).collect()
+    sizes = {d: len({r[d] for r in rows}) for d in dims}
+    if len(rows) > MAX_CELLS or max(sizes.values()) > MAX_CATEGORIES:
+        raise ValueError(f"over {MAX_CATEGORIES} categories or {MAX_CELLS} cells: {sizes}; fold rare ones first")
     values = [sorted({r[d] for r in rows}) for d in dims]
     cells = np.zeros([max(1, len(v)) for v in values])
     places = [{v: i for i, v in enumerate(vs)} for vs in values]
@@ -162,34 +184,32 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
         cells[tuple(p[r[d]] for p, d in zip(places, dims, strict=True))] = r.n
     total = cells.sum()
     if not rows or not total:
-        return held.select(*[c for c in docs.columns if c not in ("topic", "tokens", "weight", "probability", "kept")], F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"), F.lit(True).alias("kept"))
+        return held.select(*[c for c in docs.columns if c not in ("topic", "tokens", "weight", "probability", "kept")], topic, tokens, F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"), F.lit(True).alias("kept"))
     wanted = []
     for axis, (dim, names) in enumerate(zip(DIMENSIONS, values, strict=True)):
         sums = cells.sum(axis=tuple(i for i in range(3) if i != axis))
         share = dict(zip(names, sums / total, strict=True))
-        given = (targets or {}).get(dim) or tempered(share, power)
+        given = (targets or {}).get(dim) or tempered(share, power, most)
         left = sum(share[v] for v in names if v not in given)
         inside = sum(x for v, x in given.items() if share.get(v, 0) > 0)
         wanted.append(np.array([0 if share[v] <= 0 else share[v] if v not in given else given[v] / inside * (1 - left) for v in names]) * total)
-    factors, high = rake(cells, wanted, rounds), 1.0
+    factors, error = rake(cells, wanted, rounds), 0.0
+    weight = np.einsum("i,j,k->ijk", *factors)
+    high = min(keep_share, 1.0 / weight[cells > 0].max())
     if bounded:
         factors, high, error = calibrate(cells, wanted, keep_share)
-        if high < keep_share or error > CLOSE:
-            log.warning("mix: %.4f of the tokens are kept, %.4f were asked for; largest error of a share %.1e", high, keep_share, error)
         factors = [factors[0] / high, *factors[1:]]
-    weight = np.einsum("i,j,k->ijk", *factors)
-    if not bounded:
-        low, high = 0.0, 1.0 / max(weight[cells > 0].min(), 1e-12)
-    for _ in range(0 if bounded else 60):
-        k = (low + high) / 2
-        low, high = (k, high) if (cells * np.minimum(1, k * weight)).sum() < keep_share * total else (low, k)
+    else:
+        error = max(np.abs((cells * weight).sum(axis=tuple(i for i in range(3) if i != axis)) - t).max() for axis, t in enumerate(wanted)) / total
+    say = log.warning if high < keep_share or error > CLOSE else log.info
+    say("mix: %.4f of the tokens are kept, %.4f were asked for; largest error of a share %.1e", high, keep_share, error)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / float(2**32)
     raw = _lookup(values[0], factors[0], dims[0]) * _lookup(values[1], factors[1], dims[1]) * _lookup(values[2], factors[2], dims[2])
     names = ("topic", "tokens", "weight", "probability", "kept")
     return (
-        held.withColumn("mix_weight", raw)
-        .withColumn("mix_probability", F.least(F.lit(1.0), F.lit(float(high)) * F.col("mix_weight")))
-        .select(*[c for c in docs.columns if c not in names], F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), (draw < F.col("mix_probability")).alias("kept"))
+        held.withColumn(f"{prefix}_weight", raw)
+        .withColumn(f"{prefix}_probability", F.least(F.lit(1.0), F.lit(float(high)) * F.col(f"{prefix}_weight")))
+        .select(*[c for c in docs.columns if c not in names], topic, tokens, F.col(f"{prefix}_weight").alias("weight"), F.col(f"{prefix}_probability").alias("probability"), (draw < F.col(f"{prefix}_probability")).alias("kept"))
     )
 
 
@@ -204,7 +224,7 @@ def op1_rake_and_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a sample that meets the target shares, of nine tenths of the tokens or as many as the targets leave."""
-    return mix(docs, TARGETS, power=0.9, keep_share=0.9, bounded=True).where("kept").select(*docs.columns)
+    return mix(docs, TARGETS, power=0.9, keep_share=0.9, bounded=True, most=1.25).where("kept").select(*docs.columns)
 
 
 def _raked_sql() -> str:
@@ -220,28 +240,26 @@ def _raked_sql() -> str:
 
 
 OP1_SQL = f"""
-WITH RECURSIVE d AS MATERIALIZED (
+WITH d AS MATERIALIZED (
   SELECT doc_id, source, lang, coalesce(source, '{NONE}') AS s, coalesce(lang, '{NONE}') AS l,
-    CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, ' = "') THEN 'secret' WHEN contains(text, '!! ') THEN 'shout'
+    CASE WHEN length(text) > 0 AND (length(text) - length(translate(text, '0123456789', ''))) * 100 >= 15 * length(text) THEN 'numbers'
+      WHEN length(text) > 0 AND (length(text) - length(translate(text, '{MARKS}', ''))) * 100 >= 4 * length(text) THEN 'markup'
+      WHEN length(text) > 0 AND (length(text) - length(translate(text, '{CAPITALS}', ''))) * 100 >= 25 * length(text) THEN 'capitals'
+      WHEN length(text) > 0 AND (length(text) - length(replace(text, chr(10), ''))) * 4000 >= 100 * length(text) THEN 'lines'
       WHEN length(coalesce(text, '')) < 600 THEN 'brief' ELSE 'prose' END AS t,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n
   FROM documents),
 cells0 AS MATERIALIZED (SELECT s, l, t, sum(n)::DOUBLE AS n, 1.0::DOUBLE AS f FROM d GROUP BY ALL),
 tot AS (SELECT sum(n) AS total FROM cells0),
-ts AS MATERIALIZED (SELECT s, n ** 0.7 / sum(n ** 0.7) OVER () * total AS x FROM (SELECT s, sum(n) AS n FROM cells0 GROUP BY s), tot),
-tt AS MATERIALIZED (SELECT t, n ** 0.7 / sum(n ** 0.7) OVER () * total AS x FROM (SELECT t, sum(n) AS n FROM cells0 GROUP BY t), tot),
+ts AS MATERIALIZED (SELECT s, c / sum(c) OVER () * total AS x FROM (SELECT s, least(n ** 0.7 / sum(n ** 0.7) OVER (), {MOST} * n / sum(n) OVER ()) AS c FROM (SELECT s, sum(n) AS n FROM cells0 GROUP BY s)), tot),
+tt AS MATERIALIZED (SELECT t, c / sum(c) OVER () * total AS x FROM (SELECT t, least(n ** 0.7 / sum(n ** 0.7) OVER (), {MOST} * n / sum(n) OVER ()) AS c FROM (SELECT t, sum(n) AS n FROM cells0 GROUP BY t)), tot),
 given(l, g) AS (VALUES ('en', 0.5), ('de', 0.2), ('fr', 0.2), ('es', 0.1)),
 langs AS (SELECT l, sum(n) AS n FROM cells0 GROUP BY l),
 tl AS MATERIALIZED (
   SELECT l, CASE WHEN n = 0 THEN 0 WHEN g IS NULL THEN n ELSE g / sum(CASE WHEN n > 0 THEN g END) OVER () * (total - coalesce(sum(CASE WHEN g IS NULL THEN n END) OVER (), 0)) END AS x
   FROM langs LEFT JOIN given USING (l), tot),
 {_raked_sql()},
-bisect AS (
-  SELECT 0 AS i, 0.0::DOUBLE AS low, (SELECT 1.0 / greatest(min(f), 1e-12) FROM fitted WHERE n > 0) AS high
-  UNION ALL
-  SELECT i + 1, CASE WHEN under THEN k ELSE low END, CASE WHEN under THEN high ELSE k END
-  FROM (SELECT i, low, high, (low + high) / 2 AS k, (SELECT sum(n * least(1.0, (low + high) / 2 * f)) FROM fitted) < 0.5 * (SELECT total FROM tot) AS under FROM bisect WHERE i < 60)),
-final AS (SELECT high AS k FROM bisect WHERE i = 60)
+final AS (SELECT least(0.5, 1.0 / max(f)) AS k FROM fitted WHERE n > 0)
 SELECT doc_id, source, lang, t AS topic, d.n AS tokens, round(f, 6) AS weight, round(least(1.0, k * f), 6) AS probability,
   ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1.0, k * f) AS kept
 FROM d JOIN fitted USING (s, l, t), final

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for the row-wise operators."""
 
+import random
 import hashlib
 import zlib
 
@@ -164,3 +165,54 @@ def test_contamination_small(spark):
     assert out[6].n_hit == 20 and not out[6].contaminated
     several = D.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=10)
     assert {r.doc_id: (r.n_hit, r["items"]) for r in several.collect()} == {k: (r.n_hit, r["items"]) for k, r in out.items()}
+
+
+def test_contamination_against_plain_search(spark):
+    r = random.Random(11)
+    word = lambda: r.choice("one two three four Five SIX seven é eight. nine-ten ü".split())
+    say = lambda n: [word() for _ in range(n)]
+    items = [(str(i), " ".join(say(r.choice([1, 2, 4, 5, 6, 9, 12, 13, 14, 22, 23, 40])))) for i in range(60)] + [("", None), ("e", ""), ("61", " ".join(say(30)))]
+    items.append(("62", items[-1][1] + " tail"))
+    docs = []
+    for i in range(80):
+        words = say(r.randint(0, 30))
+        for _ in range(r.randint(0, 3)):
+            inner = (r.choice(items)[1] or "").split()
+            a = r.randint(0, max(0, len(inner) - 13))
+            words += inner[a : a + r.randint(1, 30)] + say(r.randint(0, 10))
+        docs.append((i, r.choice([" ", ", ", "\n"]).join(words)))
+    docs += [(90, None), (91, ""), (92, "?!"), (93, items[62][1] + " " + items[62][1])]
+    norm = lambda t: D.normal_words((t or "").encode())
+    want = []
+    for i, t in docs:
+        w, hit, held = norm(t), set(), set()
+        for item, text in items:
+            v = norm(text)
+            n = min(13, len(v))
+            wins = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if n else set()
+            for k in range(len(w) - n + 1) if n else ():
+                if tuple(w[k : k + n]) in wins:
+                    hit |= set(range(k, k + n))
+                    held.add(item)
+        want.append((i, len(w), len(hit), sorted(held)))
+    schema = "doc_id long, text string"
+    bench = spark.createDataFrame(items, "item_id string, text string").repartition(3)
+    for size in (10**7, 300):
+        out = D.contamination(spark.createDataFrame(docs, schema).repartition(3), bench, block_bytes=size).collect()
+        assert sorted((x.doc_id, x.n_words, x.n_hit, x["items"]) for x in out) == want
+        assert all(sum(m["until"] - m["word"] for m in x.matches) == x.n_hit for x in out)
+    assert D.contamination(spark.createDataFrame([], schema), bench).count() == 0
+    assert {x.n_items for x in D.contamination(spark.createDataFrame(docs, schema), bench.limit(0)).collect()} == {0}
+
+
+def test_sample_meets_its_targets_and_keeps_clashing_columns(spark):
+    r = random.Random(4)
+    langs = ["en"] * 60 + ["de"] * 20 + ["fr"] * 15 + ["es"] * 5
+    rows = [(i, "word " * r.randint(5, 300), r.choice(langs), f"s{r.randint(0, 3)}", i) for i in range(1500)] + [(5000, None, None, None, 1), (None, "", "en", "s0", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_topic int")
+    out = mixing.mix(df, mixing.TARGETS).collect()
+    assert len(out) == len(rows) and sorted(x.mix_topic for x in out) == sorted(x[4] for x in rows)
+    expected = sum(x.tokens * x.probability for x in out)
+    for k, share in mixing.TARGETS["lang"].items():
+        assert abs(sum(x.tokens * x.probability for x in out if x.lang == k) / expected - share) < 1e-3
+    assert max(x.probability for x in out) <= 1
