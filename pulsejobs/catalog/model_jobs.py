@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -27,13 +28,13 @@ def scratch(spark) -> str:
 
 @query("mdl1_boosted_trees")
 def mdl1(spark, sf_dir):
-    found = models.cross_validated(folded(spark, sf_dir), K, "SP", FEATURES, "gbt", first_only=True, maxIter=5, maxDepth=3, seed=1)
+    found = models.cross_validated(folded(spark, sf_dir), K, "SP", FEATURES, "gbt", maxIter=5, maxDepth=3, seed=1)
     return metrics.summary(found, ["target", "mode", "fold"])
 
 
 @query("mdl2_random_forest")
 def mdl2(spark, sf_dir):
-    found = models.cross_validated(folded(spark, sf_dir), K, "DP", FEATURES, "rf", first_only=True, numTrees=5, maxDepth=4, seed=1)
+    found = models.cross_validated(folded(spark, sf_dir), K, "DP", FEATURES, "rf", numTrees=5, maxDepth=4, seed=1)
     return metrics.summary(found, ["target", "mode", "fold"])
 
 
@@ -41,7 +42,7 @@ def mdl2(spark, sf_dir):
 def mdl5(spark, sf_dir):
     """Models of all rotations are stored, loaded, and each scores the fold that it did not see."""
     rows = folded(spark, sf_dir, 3)
-    path = scratch(spark) + "/mdl5"
+    path = f"{scratch(spark)}/mdl5-{uuid.uuid4().hex}"
     models.cross_validated(rows, 3, "SP", FEATURES, "rf", save_to=path, numTrees=3, maxDepth=3, seed=1)
     return models.score_stored(rows, 3, "SP", FEATURES, path).groupBy("fold").agg(F.count("*").alias("rows"), F.round(F.avg(F.abs(F.col("pred") - F.col("label"))), 3).alias("mae"))
 
@@ -51,6 +52,6 @@ def snk4(spark, sf_dir):
     """Fold tables written, read again and compared both ways."""
     cut = windows(adapters.records(spark, sf_dir), WindowSpec(16, 16), ["signal", "abp_signal"])
     rows = splits.with_folds(cut.drop("j"), K, 3)
-    path = scratch(spark) + "/snk4"
+    path = f"{scratch(spark)}/snk4-{uuid.uuid4().hex}"
     files.write_folds(rows, path)
     return files.round_trip_differences(rows, path).agg(F.lit("differences").alias("what"), F.count("*").alias("rows"))

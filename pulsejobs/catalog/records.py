@@ -58,14 +58,17 @@ def seg5(spark, sf_dir):
 SELECT trial, regexp_replace(trial, '_[^_]*$', '') AS record, split_part(trial, '_', 1) || '_' || split_part(trial, '_', 2) AS part, split_part(trial, '_', 3)::INT AS patient,
   row_number() OVER (ORDER BY trial) AS place FROM t""")
 def seg7(spark, sf_dir):
-    """Ids of windows, the ids taken from them, and the place in the sorted order."""
+    """Ids of windows, the ids taken from them, and the place in the sorted order: ranks inside short prefixes, after the rows of all smaller prefixes."""
     from pyspark.sql import Window
 
     ids = adapters.records(spark, sf_dir).withColumn("record", F.concat_ws("_", F.lit("Part"), (1 + F.col("patient") % 4).cast("string"), F.col("patient").cast("string")))
-    cut = segment.windows(ids, WindowSpec(16, 16), ["signal"], "record").select("trial")
-    return cut.select(
-        "trial", F.regexp_replace("trial", "_[^_]*$", "").alias("record"), F.substring_index("trial", "_", 2).alias("part"), F.split_part("trial", F.lit("_"), F.lit(3)).cast("int").alias("patient")
-    ).withColumn("place", F.row_number().over(Window.orderBy("trial")).cast("long"))
+    cut = segment.windows(ids, WindowSpec(16, 16), ["signal"], "record").select("trial").withColumn("prefix", F.substring("trial", 1, 10))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefixes = cut.groupBy("prefix").count().select("prefix", before.alias("before"))  # a few thousand rows, however many windows
+    return cut.join(F.broadcast(prefixes), "prefix").select(
+        "trial", F.regexp_replace("trial", "_[^_]*$", "").alias("record"), F.substring_index("trial", "_", 2).alias("part"), F.split_part("trial", F.lit("_"), F.lit(3)).cast("int").alias("patient"),
+        (F.col("before") + F.row_number().over(Window.partitionBy("prefix").orderBy("trial"))).cast("long").alias("place"),
+    )
 
 
 @query("seg12_listed_order", """SELECT p.pos AS pos, c_custkey AS patient, c_name AS name FROM customer

@@ -68,16 +68,18 @@ _MM = ", ".join(f"(f{i} - lo{i}) / CASE WHEN hi{i} = lo{i} THEN 1 ELSE hi{i} - l
 
 
 @query("scl1_min_max_by_rotation", f"""WITH {_RUNS}, m AS (SELECT run, {', '.join(f'min(f{i}) AS lo{i}, max(f{i}) AS hi{i}' for i in range(1, 5))} FROM r WHERE mode = 'tr' GROUP BY run)
-SELECT run, mode, trial, {', '.join(f"{r6s(x)} AS f{i}" for i, x in enumerate(_MM.split(', '), 1))} FROM r JOIN m USING (run) WHERE run < 2""")
+SELECT run, mode, trial, {', '.join(f"{r6s(x)} AS f{i}" for i, x in enumerate(_MM.split(', '), 1))} FROM r JOIN m USING (run)""")
 def scl1(spark, sf_dir):
-    out = scaling.min_max_by_run(splits.rotations(folded(spark, sf_dir), K), ["f1", "f2", "f3", "f4"]).where("run < 2")
+    out = scaling.min_max_by_run(splits.rotations(folded(spark, sf_dir), K), ["f1", "f2", "f3", "f4"])
     return out.select(F.col("run").cast("long").alias("run"), "mode", "trial", *[r6(f"f{i}").alias(f"f{i}") for i in range(1, 5)])
 
 
 @query("scl2_label_ranges", f"WITH {FEATURES} SELECT trial, {r6s('(SP - 80) / 120')} AS sp, {r6s('(DP - 50) / 60')} AS dp, {r6s('(SP - 80) / 120 * 120 + 80')} AS sp_back FROM f")
 def scl2(spark, sf_dir):
     sp = scaling.to_range(F.col("SP"), "SP")
-    return adapters.feature_rows(spark, sf_dir).select("trial", r6(sp).alias("sp"), r6(scaling.to_range(F.col("DP"), "DP")).alias("dp"), r6(scaling.from_range(sp, "SP")).alias("sp_back"))
+    # values with a 5 in the seventh decimal are rounded by their binary value, not by how they are printed
+    six = lambda c, name: (F.round(c * 1e6) / 1e6).alias(name)
+    return adapters.feature_rows(spark, sf_dir).select("trial", six(sp, "sp"), six(scaling.to_range(F.col("DP"), "DP"), "dp"), six(scaling.from_range(sp, "SP"), "sp_back"))
 
 
 def _labelled_windows(spark, sf_dir):

@@ -46,6 +46,11 @@ def velocity_points(v: np.ndarray, peak: int) -> tuple[int, int, int]:
     return _highest(v, 0, peak), y, _highest(v, y, reach(y))
 
 
+def _top(x: np.ndarray, start: int, stop: int, waves: np.ndarray) -> int:
+    """The highest of some waves; without any, the highest sample of the stretch."""
+    return int(waves[np.argmax(x[waves])]) if len(waves) else _highest(x, start, stop)
+
+
 def acceleration_points(q: np.ndarray, peak: int, w: int, y: int) -> tuple[int, int, int, int, int]:
     """a to e in the order of the cycle; all 0 if the first 60 % show no wave, later ones 0 from where it breaks off.
 
@@ -53,28 +58,25 @@ def acceleration_points(q: np.ndarray, peak: int, w: int, y: int) -> tuple[int,
     e: highest wave after y. b: first trough between w and the last samples
     before the peak. d: lowest trough between the peak and e. c: highest wave
     from b to d. Where a search finds no wave or trough, the extreme sample of
-    the same stretch counts.
+    the same stretch counts (for e, the sample before it).
     """
-    part = q[: int(len(q) * 0.6)]
-    waves, troughs = _multi(part), _simple(-part)
-    if not len(waves) or not len(troughs):
-        return 0, 0, 0, 0, 0
-    early = waves[0] <= peak
-    a = int(waves[0]) if early else _highest(q, 0, peak)
-    troughs = _within(troughs, max(a, w)) if len(_within(troughs, a)) else troughs[:0]
-    if not len(troughs):
+    shown = q[: int(len(q) * 0.6)]
+    found = {"waves": _multi(shown), "troughs": _simple(-shown)}
+    if min(map(len, found.values())) == 0:
+        return (0,) * 5
+    is_first = found["waves"] <= peak
+    a = int(found["waves"][0]) if is_first[0] else _highest(q, 0, peak)
+    falls = _within(found["troughs"], max(a, w))
+    if not len(falls):
         return a, 0, 0, 0, 0
-    later = _within(waves[1:] if early else waves, y)
-    e = int(later[np.argmax(q[later])]) if len(later) else _highest(q, y + 1, len(q)) - 1
-    candidates = _within(troughs, hi=min(e, peak - 2))
-    if not len(candidates):
-        candidates = _simple(-q[w : peak - 2]) + w
-    b = int(candidates[0]) if len(candidates) else _lowest(q, w, peak - 2)
-    falls = _simple(-q[peak:e]) + peak
-    d = int(falls[np.argmin(q[falls])]) if len(falls) else _lowest(q, peak, e)
-    rises = _simple(q[b : d + 1]) + b
-    c = int(rises[np.argmax(q[rises])]) if len(rises) else _highest(q, b, d)
-    return a, b, c, d, e
+    late = _within(found["waves"][int(is_first[0]) :], y)
+    e = _top(q, y + 1, len(q), late) - (not len(late))
+    stop = peak - 2
+    firsts = [_within(falls, hi=min(e, stop)), w + _simple(-q[w:stop])]
+    b = next((int(x[0]) for x in firsts if len(x)), None)
+    b = _lowest(q, w, stop) if b is None else b
+    d = _top(-q, peak, e, peak + _simple(-q[peak:e]))
+    return a, b, _top(q, b, d, b + _simple(q[b : d + 1])), d, e
 
 
 def points(cycle: np.ndarray, peak: int) -> tuple[int, ...] | None:

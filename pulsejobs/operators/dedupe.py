@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,13 +14,15 @@ def digest(c: str) -> Column:
 def drop_duplicate_windows(windows: DataFrame, order: list[str], channels: tuple[str, ...] = ("signal", "abp_signal")) -> DataFrame:
     """The first window (by ``order``, unique) of each equal first channel; of these the first of each equal second channel, and so on.
 
-    Only digests and order keys are shuffled, the arrays are not; a digest with
-    very many copies costs short rows in one task, no arrays.
+    The firsts are found in digests and order keys, by minima with partial
+    results, so a digest with very many copies is no hot group. The last join
+    picks the windows by their keys: small key tables are broadcast by Spark,
+    larger ones bring the windows into the order of the keys by a shuffle.
     """
-    slim = windows.select(*order, *[digest(c).alias(f"_{c}") for c in channels])
-    for c in channels:
-        first = Window.partitionBy(f"_{c}").orderBy(*order)
-        slim = slim.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+    digests = [f"_{c}" for c in channels]
+    slim = windows.select(*order, *[digest(c).alias(d) for c, d in zip(channels, digests, strict=True)])
+    for d in digests:
+        slim = slim.groupBy(F.col(d).alias("_of")).agg(F.min(F.struct(*order, *digests)).alias("_first")).select("_first.*")
     return windows.join(slim.select(*order), order, "left_semi")
 
 

@@ -33,11 +33,13 @@ def cross_validated(folded: DataFrame, k: int, target: str, features: list[str],
     """
     out = None
     # a tree compares feature values only, so one scaling of all rotations serves all fits
-    scaled = min_max_by_run(rotations(folded, k, first_only), features).withColumn("_y", to_range(F.col(target), target)).cache()
+    scaled = min_max_by_run(rotations(folded, k, first_only), features).withColumn("_y", to_range(F.col(target), target))
     for run in range(1 if first_only else k):
         rows = scaled.where(F.col("run") == run)
         train = rows.where("mode = 'tr'")
-        model = pipeline(kind, features, **params).fit(train.select("_y", *features))
+        held = train.select("_y", *features).persist()  # a fit reads its rows many times
+        model = pipeline(kind, features, **params).fit(held)
+        held.unpersist()
         if save_to:
             model.write().overwrite().save(f"{save_to}/fold={run}")
         naive = train.agg(F.avg(target).alias("naive"))

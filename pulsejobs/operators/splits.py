@@ -10,8 +10,8 @@ def _draw(c: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")).cast("binary"))
 
 
-def patient_folds(df: DataFrame, k: int, seed: int, patient: str = "patient") -> DataFrame:
-    """(patient, fold): patients in the order of a seeded hash, cut into k near-equal parts, the first ones larger.
+def _ranked(df: DataFrame, seed: int, patient: str) -> DataFrame:
+    """(patient, _rank, _all): the patients' places in the order of a seeded hash, and their number.
 
     Ranks come from counting range partitions first, so no task sees all
     patients: a patient's rank is the number in earlier hash buckets (4096,
@@ -23,7 +23,12 @@ def patient_folds(df: DataFrame, k: int, seed: int, patient: str = "patient") ->
     order = Window.orderBy("_bucket")  # at most 4096 rows
     before = counts.select("_bucket", (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", patient)) - 1
-    placed = who.withColumn("_rank", rank).join(F.broadcast(before), "_bucket").withColumn("_rank", F.col("_rank") + F.col("_before"))
+    return who.withColumn("_rank", rank).join(F.broadcast(before), "_bucket").select(patient, (F.col("_rank") + F.col("_before")).alias("_rank"), "_all")
+
+
+def patient_folds(df: DataFrame, k: int, seed: int, patient: str = "patient") -> DataFrame:
+    """(patient, fold): patients in the order of a seeded hash, cut into k near-equal parts, the first ones larger."""
+    placed = _ranked(df, seed, patient)
     base, more = F.floor(F.col("_all") / k), F.col("_all") % k
     # the first `more` folds hold one patient more
     large = more * (base + 1)
@@ -52,8 +57,7 @@ def hold_out(df: DataFrame, train: list[str], val: list[str], test: list[str], s
         fold = F.when(part.isin(test), 0).when(part.isin(val), 1).when(part.isin(train), 2)
         return df.withColumn("fold", fold).where("fold IS NOT NULL")
     shared = df.where(part.isin(test))
-    n = int(shared.select(F.count_distinct(patient)).first()[0] * val_share)
-    chosen = shared.select(patient).distinct().orderBy(_draw(F.col(patient), seed), patient).limit(n)
+    chosen = _ranked(shared, seed, patient).where(F.col("_rank") < F.floor(F.col("_all") * val_share)).select(patient)
     return (
         shared.join(chosen, patient, "left_semi").withColumn("fold", F.lit(1))
         .unionByName(shared.join(chosen, patient, "left_anti").withColumn("fold", F.lit(0)))
