@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from itertools import chain
 
 import numpy as np
@@ -19,7 +20,7 @@ BOUNDED_ROUNDS, CLOSE = 2000, 1e-6
 #: Categories of one dimension and cells of all three at most, since they reach the driver; rarer ones must be folded by the caller.
 MAX_CATEGORIES, MAX_CELLS = 2000, 200_000
 #: How often as common as in the corpus a category without a target of its own may become (about: shares are normalised after it).
-MOST = 2.0
+MOST = 1.25
 SEED = "mix-1"
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
@@ -41,7 +42,7 @@ def topic_of(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     n = F.length(text)
-    share = lambda of: (n - F.length(F.translate(text, of, ""))) * 100
+    share = lambda of: F.regexp_count(text, F.lit(f"[{re.escape(of)}]")) * 100
     some = n > 0
     return (
         F.when(some & (share("0123456789") >= 15 * n), "numbers")
@@ -224,7 +225,7 @@ def op1_rake_and_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a sample that meets the target shares, of nine tenths of the tokens or as many as the targets leave."""
-    return mix(docs, TARGETS, power=0.9, keep_share=0.9, bounded=True, most=1.25).where("kept").select(*docs.columns)
+    return mix(docs, TARGETS, power=0.9, keep_share=0.9, bounded=True).where("kept").select(*docs.columns)
 
 
 def _raked_sql() -> str:
