@@ -44,16 +44,35 @@ def linear_map(m: np.ndarray):
     return apply
 
 
+def lag_sums(a: np.ndarray, p: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """sum of a[l] * p[l + d] for d = len(p) - 1 - k and each k in [lo, hi), by Fourier transforms."""
+    size = 1 << (len(a) + len(p)).bit_length()
+    every = np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(p, size), size)
+    return every[(len(p) - 1 - np.arange(lo, hi)) % size]
+
+
+def lag_sum(a: np.ndarray, p: np.ndarray, d: int) -> float:
+    """The same sum for one d, directly."""
+    a, p = a[max(-d, 0) :], p[max(d, 0) :]
+    n = min(len(a), len(p))
+    return np.dot(a[:n], p[:n])
+
+
 def align_shift(fs: int):
-    """Index k, in [n - fs, n) of the full correlation, with the largest sum of abp[l] * ppg[l + N - 1 - k]; the first of equals."""
+    """Index k, in [n - fs, n) of the full correlation, with the largest sum of abp[l] * ppg[l + N - 1 - k]; the first of equals.
+
+    Fourier sums find the lags near the largest; those are summed directly, so that rounding settles no tie.
+    """
 
     @kernel_udf(T.IntegerType())
     def best(abp: pd.Series, ppg: pd.Series, n: pd.Series) -> pd.Series:
         out = []
         for a, p, m in zip(abp, ppg, n, strict=True):
-            a, p = np.asarray(a, float), np.asarray(p, float)
-            sums = [np.dot(a[: len(p) - d], p[d:]) if (d := len(p) - 1 - k) >= 0 else np.dot(a[-d:], p[: len(p) + d]) for k in range(m - fs, m)]
-            out.append(m - fs + int(np.argmax(sums)))
+            a, p, lo = np.asarray(a, float), np.asarray(p, float), int(m) - fs
+            near = lag_sums(a, p, lo, int(m))
+            room = 1e-9 * np.linalg.norm(a) * np.linalg.norm(p)
+            ks = lo + (np.flatnonzero(near >= near.max() - room) if np.isfinite(near).all() else np.arange(fs))
+            out.append(int(ks[int(np.argmax([lag_sum(a, p, len(p) - 1 - k) for k in ks]))]))
         return pd.Series(out)
 
     return best

@@ -164,6 +164,30 @@ def allowed(df: DataFrame, template: list[str]) -> DataFrame:
     return df.select(*[c for c in template if c in df.columns])
 
 
+#: Columns of window_features() that hold one value; as features they carry the place 0 of a list.
+SINGLE = ("hr", "p2p", *[f"{w}_{x}" for w in WAVES for x in ("max_neighbor_mean", "min", "max")])
+#: The one sample of the mean cycle that is a feature.
+MEAN_SAMPLE = 59
+
+
+def window_template() -> list[str]:
+    """The 121 window features that a feature table holds, in its order."""
+    spectrum_of = [f"{WAVES[0]}_fft_{x}_0" for x in ("peaks", "peaks_heights", "peaks_neighbor_avgs")]
+    levels = [f"{w}_{x}_0" for w in WAVES for x in ("max_neighbor_mean", "min")]
+    shapes = []
+    for w in WAVES:
+        shapes += [f"{w}_histogram_{x}_{i}" for x, n in (("up", UP), ("down", DOWN)) for i in range(n)] + [f"{w}_max_0"]
+    slopes = [f"{x}_{i}" for x, n in (("usdc", 6), ("dsdc", 19)) for i in range(n)]
+    return [*spectrum_of, "hr_0", "p2p_0", *levels, *shapes, *slopes, f"{WAVES[0]}_mean_cycles_match_peak_{MEAN_SAMPLE}"]
+
+
+def template_lists() -> dict[str, int]:
+    """List columns of window_features() and how many of their values are spread."""
+    few = {f"{w}_fft_{x}": 1 for w in WAVES for x in ("peaks", "peaks_heights", "peaks_neighbor_avgs")}
+    bins = {f"{w}_histogram_{x}": n for w in WAVES for x, n in (("up", UP), ("down", DOWN))}
+    return few | bins | {"usdc": 6, "dsdc": 19, f"{WAVES[0]}_mean_cycles_match_peak": MEAN_LENGTH}
+
+
 # ------------------------------------------------------------------ features of one cycle
 
 

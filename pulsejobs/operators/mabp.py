@@ -25,14 +25,19 @@ def position_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "pos").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sigma"), F.count("*").alias("n"))
 
 
-def trimmed_mean(rows: DataFrame, keys: list[str], cyc: str = "cyc", width: float = WIDTH) -> DataFrame:
-    """(keys, pos, x): mean of the samples within ``width`` deviations of the mean of their position; all of them in a window of one cycle."""
+def trimmed_mean(rows: DataFrame, keys: list[str], width: float = WIDTH) -> DataFrame:
+    """(keys, pos, x): mean of the samples within ``width`` deviations of the mean of their position.
+
+    A single cycle comes out as it is: each sample is its position's mean. A
+    position with missing samples only stays, without a value. One shuffle
+    serves the moments and the means.
+    """
     by = [*keys, "pos"]
-    w, whole = Window.partitionBy(*by), Window.partitionBy(*keys)
-    held = rows.withColumns({"mu": F.avg("x").over(w), "sigma": F.stddev_pop("x").over(w)})
-    held = held.withColumns({"_one": F.min(cyc).over(whole) == F.max(cyc).over(whole)})
-    near = (F.col("x") >= F.col("mu") - width * F.col("sigma")) & (F.col("x") <= F.col("mu") + width * F.col("sigma"))
-    return held.where(F.col("_one") | near).groupBy(*by).agg(F.avg("x").alias("x"))
+    w = Window.partitionBy(*by)
+    held = rows.withColumns({"_mu": F.avg("x").over(w), "_sigma": F.stddev_pop("x").over(w)})
+    near = (F.col("x") >= F.col("_mu") - width * F.col("_sigma")) & (F.col("x") <= F.col("_mu") + width * F.col("_sigma"))
+    # equal samples may all miss their mean by rounding
+    return held.groupBy(*by).agg(F.coalesce(F.avg(F.when(near, F.col("x"))), F.avg("x")).alias("x"))
 
 
 def mean_cycles(trimmed: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,14 +38,8 @@ def with_extrema(df: DataFrame, wave: str, prefix: str, fs: int, remove_ends: bo
     return out.withColumnsRenamed({"flag1": f"{prefix}_f1", "flag2": f"{prefix}_f2"})
 
 
-def cleaned(windows: DataFrame, c: CleanConfig, path: str) -> tuple[DataFrame, list[DataFrame]]:
-    """Clean labelled windows with extrema, cycles and statistics, and the audit tables of the rules, in order.
-
-    All of it stays in the window's row: no shuffle. The rows before each rule
-    are written under ``path``, so that extrema are computed once and serve
-    the rule and its audit; plans stay short.
-    """
-    audits, df = [], windows.withColumns(quality.naive_labels())
+def audited(path: str, audits: list[DataFrame]) -> Callable[[DataFrame, str, dict], DataFrame]:
+    """A step of cleaning: writes the rows before a rule set, notes its audit, and gives the rows that pass."""
 
     def step(df: DataFrame, name: str, rules: dict) -> DataFrame:
         at = f"{path}/{name.replace(' ', '_')}"
@@ -53,6 +48,18 @@ def cleaned(windows: DataFrame, c: CleanConfig, path: str) -> tuple[DataFrame, l
         audits.append(quality.audit(df, name, rules))
         return quality.keep(df, rules)
 
+    return step
+
+
+def cleaned(windows: DataFrame, c: CleanConfig, path: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Clean labelled windows with extrema, cycles and statistics, and the audit tables of the rules, in order.
+
+    All of it stays in the window's row: no shuffle. The rows before each rule
+    are written under ``path``, so that extrema are computed once and serve
+    the rule and its audit; plans stay short.
+    """
+    audits, df = [], windows.withColumns(quality.naive_labels())
+    step = audited(path, audits)
     df = step(df, "pressure", quality.pressure_rules())
     df = with_extrema(df, "abp_signal", "abp", c.fs, remove_ends=False)
     df = df.withColumn("abp_vlys", F.when(F.col("abp_f2") & (F.size("abp_pks") > 0), extrema.valleys_before_peaks("abp_pks", "abp_vlys")).otherwise(F.col("abp_vlys")))
@@ -79,6 +86,32 @@ def cleaned(windows: DataFrame, c: CleanConfig, path: str) -> tuple[DataFrame, l
     return df, audits
 
 
+def cleaned_short(windows: DataFrame, c: CleanConfig, path: str, denied: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Cleaning of labelled recordings of a beat or two (patient, trial, SP, DP, signal), without a pressure wave.
+
+    Pressure limits, beats, baseline, beats again, rates: a window of one beat
+    has no peak rate and stays, one without a valley rate goes. First and last
+    extrema count, as there are few. ``denied`` (one column, trial) names
+    windows that were seen to be bad; null trials are no match and stay.
+    """
+    audits: list[DataFrame] = []
+    step = audited(path, audits)
+
+    def with_beats(df: DataFrame, name: str) -> DataFrame:
+        df = df.withColumn("fsignal", signals.filtered_or_scaled("signal", c.low, c.high, c.fs))
+        df = df.withColumns({"pks": extrema.find_peaks("fsignal", c.fs), "vlys": extrema.find_valleys("fsignal", c.fs)})
+        return step(extrema.beats(df, "fsignal", "pks", "vlys", remove_ends=False), name, {"cycles": (F.size("pks") >= 1) & (F.size("vlys") >= 2) & ~F.col("flag2")})
+
+    df = step(windows, "pressure", quality.pressure_rules())
+    df = with_beats(df, "no cycles")
+    df = signals.without_baseline(df, "signal", "vlys")
+    df = ppg_stats(with_beats(df, "no cycles refined"), c.fs)
+    df = step(df, "rate", quality.rate_rules(*c.rate, keep_single=True))
+    if denied is not None:
+        df = joins.without(df, denied, ["trial"])
+    return df.withColumns({"cs": extrema.cycles("fsignal", "vlys"), "pks_norm": extrema.peaks_in_cycles("pks", "vlys")}), audits
+
+
 def ppg_stats(df: DataFrame, fs: int) -> DataFrame:
     return df.withColumns(
         quality.interval_stats("pks", fs, "p2p", "pks_bpm") | quality.interval_stats("vlys", fs, "v2v", "vlys_bpm") | quality.amplitude_stats("signal", "pks", "pks") | quality.amplitude_stats("signal", "vlys", "vlys")
@@ -86,17 +119,20 @@ def ppg_stats(df: DataFrame, fs: int) -> DataFrame:
 
 
 def featured(clean: DataFrame, c: CleanConfig, keys: tuple[str, ...] = ("patient", "trial")) -> DataFrame:
-    """Both families of features with ids and labels; windows without a usable cycle go, by the rules of cleaning."""
+    """Ids, labels and the 218 features of the template, those of the window before those of its cycles.
+
+    Windows without a usable cycle go, by the rules of cleaning. No
+    array takes part in the join of the two families.
+    """
     k = list(keys)
     waves = signals.derivatives("signal")
     held = clean.select(*k, "SP", "DP", "signal", "pks", F.col("fsignal").alias("ppg"), *[v.alias(n) for n, v in waves.items()])
     held = held.withColumns({n: signals.filtered(n, 0.75, 10, c.fs) for n in waves})
     window = features.window_features(held, c.fs).drop("signal", "pks", *features.WAVES)
-    lists = {f"{w}_{x}": n for w in features.WAVES for x, n in (("fft_peaks", 1), ("fft_peaks_heights", 1), ("fft_peaks_neighbor_avgs", 1), ("histogram_up", features.UP), ("histogram_down", features.DOWN))}
-    window = features.spread(window, lists | {"usdc": 6, "dsdc": 19, "ppg_mean_cycles_match_peak": features.MEAN_LENGTH})
+    window = features.spread(window, features.template_lists()).withColumnsRenamed({x: f"{x}_0" for x in features.SINGLE})
     cycle = features.mean_over_cycles(features.cycle_features(features.cycle_rows(clean, k, "cs", "pks_norm"), c.fs), k)
-    both = window.where("NOT no_cycle").drop("no_cycle").join(cycle, k)
-    names = [f.name for f in both.schema if f.dataType.typeName() in ("double", "int") and f.name not in ("SP", "DP", *k)]
+    names = [*features.window_template(), *[x for x in cycle.columns if x not in k]]
+    both = features.allowed(window.where("NOT no_cycle").join(cycle, k), [*k, "SP", "DP", *names])
     both = both.withColumns({n: F.col(n).cast("double") for n in names})
     return quality.clean_features(both, names).where(F.col("SQI_skew") > c.skew_over)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..operators.metrics import summary_with_folds
 
 
 def _stem(name: Column) -> Column:
@@ -84,6 +85,15 @@ def export_folds_csv(df: DataFrame, path: str, digits: int = 20) -> None:
     df.withColumns(text).write.mode("overwrite").partitionBy("fold").csv(path, header=True)
 
 
+def write_predictions(predictions: DataFrame, path: str) -> DataFrame:
+    """Stores a long prediction table by mode under ``path``/rows and its errors, by fold and pooled, under ``path``/errors; returns the errors."""
+    predictions.write.mode("overwrite").partitionBy("mode").parquet(f"{path}/rows")
+    stored = predictions.sparkSession.read.parquet(f"{path}/rows")
+    errors = summary_with_folds(stored).unionByName(summary_with_folds(stored.withColumns({"mode": F.concat(F.lit("naive "), "mode"), "pred": F.col("naive")})))
+    errors.write.mode("overwrite").parquet(f"{path}/errors")
+    return predictions.sparkSession.read.parquet(f"{path}/errors")
+
+
 def round_trip_differences(df: DataFrame, path: str) -> DataFrame:
     """Rows of the table or of its stored form that the other lacks: none, if the export is right."""
     back = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
