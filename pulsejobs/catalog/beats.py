@@ -31,9 +31,24 @@ def _beats(spark, sf_dir, remove_ends=True):
     return extrema.beats(_extrema(adapters.wide_windows(spark, sf_dir)), "signal", "pks", "vlys", remove_ends=remove_ends)
 
 
-@query("pks3_beats")
+def beats_sql(remove_ends: bool) -> str:
+    """CTEs up to bt (trial, flag1, flag2, pks, vlys): the beats of each window, by lists."""
+    ends = """b1 AS (SELECT trial, sig, CASE WHEN p[1] < v[1] THEN list_slice(p, 2, len(p)) ELSE p END AS p, CASE WHEN p[1] < v[1] THEN v ELSE list_slice(v, 2, len(v)) END AS v FROM b0),
+b2 AS (SELECT trial, sig, CASE WHEN p[len(p)] > v[len(v)] THEN list_slice(p, 1, len(p) - 1) ELSE p END AS p, CASE WHEN p[len(p)] > v[len(v)] THEN v ELSE list_slice(v, 1, len(v) - 1) END AS v FROM b1 WHERE len(p) > 0 AND len(v) > 0)"""
+    return f"""{_E}, sg AS (SELECT trial, list(x ORDER BY i) AS sig FROM e GROUP BY trial),
+b0 AS (SELECT sg.trial AS trial, sig, p, v FROM sg JOIN (SELECT trial, list(p ORDER BY p) AS p FROM pk GROUP BY trial) a ON a.trial = sg.trial JOIN (SELECT trial, list(p ORDER BY p) AS v FROM vl GROUP BY trial) b ON b.trial = sg.trial),
+{ends if remove_ends else 'b2 AS (SELECT * FROM b0)'},
+b3 AS (SELECT trial, sig, v, list_filter(p, lambda x: x >= v[1] AND x <= v[len(v)]) AS p, list_avg(list_transform(v, lambda x: sig[x + 1])) AS base FROM b2 WHERE len(v) > 0),
+b4 AS (SELECT trial, v, p, list_transform(p, lambda x: {{'k': [x], 'h': sig[x + 1] - base}}) AS h FROM b3 WHERE len(p) > 0),
+b5 AS (SELECT *, CASE WHEN len(p) = 1 THEN 1 ELSE list_filter(range(1, len(p)), lambda i: h[i].h > h[i + 1].h * 0.6)[1] END AS first FROM b4),
+b6 AS (SELECT trial, p, v, list_reduce(list_slice(h, first, len(h)), lambda s, x: CASE WHEN x.h > s.h * 0.6 THEN {{'k': list_concat(s.k, x.k), 'h': x.h}} ELSE s END).k AS new FROM b5 WHERE first IS NOT NULL),
+bt AS (SELECT sg.trial AS trial, coalesce(new <> p, true) AS flag1, coalesce(len(v) - 1 <> len(new) OR len(list_filter(range(1, len(new) + 1), lambda i: v[i] < new[i] AND new[i] < v[i + 1])) < len(new), true) AS flag2,
+  coalesce(new, []) AS pks, CASE WHEN new IS NULL THEN [] ELSE v END AS vlys FROM sg LEFT JOIN b6 ON b6.trial = sg.trial)"""
+
+
+@query("pks3_beats", f"{beats_sql(True)} SELECT trial, flag1, flag2, array_to_string(pks, ',') AS pks, array_to_string(vlys, ',') AS vlys FROM bt")
 def pks3(spark, sf_dir):
-    """Beat-structured peaks and valleys with their flags (rows only; tests hold it against a plain version)."""
+    """Beat-structured peaks and valleys with their flags."""
     return _beats(spark, sf_dir).select("trial", "flag1", "flag2", F.array_join(F.transform("pks", lambda x: x.cast("string")), ",").alias("pks"), F.array_join(F.transform("vlys", lambda x: x.cast("string")), ",").alias("vlys"))
 
 

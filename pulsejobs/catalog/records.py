@@ -9,7 +9,7 @@ from . import SAMPLES, WIDE, long_form, query, r6, r6s
 
 
 def _cut(spark, sf_dir, size, stride):
-    return segment.windows(adapters.records(spark, sf_dir), WindowSpec(size, stride), ["signal", "abp_signal"])
+    return segment.windows_of_samples(adapters.samples(spark, sf_dir), WindowSpec(size, stride), ["signal", "abp_signal"])
 
 
 def _window_sql(size, stride):

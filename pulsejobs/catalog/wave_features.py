@@ -7,6 +7,7 @@ from ..functions.vec import resample_each
 from ..operators import extrema, features, mabp, signals
 from ..sources import adapters
 from . import WIDE, long_form, query, r6, r6s
+from .beats import beats_sql
 from .windows import _E, _extrema
 
 
@@ -155,10 +156,7 @@ def fea21(spark, sf_dir):
 
 @query("mab2_position_stats", f"WITH {_CY} SELECT win, pos, {r6s('avg(x)')} AS mu, {r6s('stddev_pop(x)')} AS sigma, count(*) AS n FROM c WHERE pos < 5 GROUP BY ALL")
 def mab2(spark, sf_dir):
-    rows = adapters.cycles(spark, sf_dir)
-    held = rows.groupBy("win", "cyc").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("r")).select("win", F.transform("r", lambda r: r["x"]).alias("c"))
-    wins = held.groupBy("win").agg(F.collect_list("c").alias("cs")).withColumn("cs", mabp.clipped("cs", 5))
-    out = mabp.position_stats(mabp.samples(wins, ["win"], "cs"), ["win"])
+    out = mabp.position_stats(adapters.cycles(spark, sf_dir).where("pos < 5"), ["win"])
     return out.select("win", F.col("pos").cast("long").alias("pos"), r6("mu").alias("mu"), r6("sigma").alias("sigma"), "n")
 
 
@@ -189,7 +187,8 @@ def mab6(spark, sf_dir):
     return long_form(adapters.wide_windows(spark, sf_dir).withColumn("w", mabp.wrapped("signal")), ["trial"], ["w"])
 
 
-@query("mab7_flag_shares")
+@query("mab7_flag_shares", f"""{beats_sql(False)} SELECT {', '.join(f"sum({k}::INT)::BIGINT AS {k}, {r6s(f'avg({k}::INT) * 100')} AS {k}_pct" for k in ('f1', 'f2', 'nocy'))}
+FROM (SELECT flag1 AS f1, flag2 AS f2, len(vlys) < 2 AS nocy FROM bt)""")
 def mab7(spark, sf_dir):
     df = extrema.beats(_extrema(adapters.wide_windows(spark, sf_dir)), "signal", "pks", "vlys", remove_ends=False)
     return _scalars(mabp.flag_shares(df.withColumn("cs", extrema.cycles("signal", "vlys"))))

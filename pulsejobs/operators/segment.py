@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -43,6 +43,35 @@ def windows(records: DataFrame, spec: WindowSpec, channels: list[str], record: s
     return out.withColumn("trial", F.concat_ws("_", F.col(record).cast("string"), F.col("j").cast("string")))
 
 
+def placed(samples: DataFrame, record: str, bucket: Column, order: list[str]) -> DataFrame:
+    """Adds idx, the place of a sample in its record, and len, the record's length, without one task for a whole record.
+
+    ``bucket`` is a coarse part of the order, such as the day; ranks are taken
+    inside a bucket, after the counted samples of the record's earlier ones.
+    """
+    rows = samples.withColumn("_b", bucket)
+    in_record = Window.partitionBy(record)
+    counts = rows.groupBy(record, "_b").agg(F.count("*").alias("_c"))
+    counts = counts.withColumns({"_before": F.sum("_c").over(in_record.orderBy("_b")) - F.col("_c"), "len": F.sum("_c").over(in_record)}).drop("_c")
+    rank = F.row_number().over(Window.partitionBy(record, "_b").orderBy(*order)) - 1
+    held = counts.withColumnsRenamed({record: "_r", "_b": "_rb"})
+    same = F.col(record).eqNullSafe(F.col("_r")) & F.col("_b").eqNullSafe(F.col("_rb"))
+    return rows.withColumn("_rank", rank).join(held, same).withColumn("idx", F.col("_rank") + F.col("_before")).drop("_r", "_b", "_rb", "_rank", "_before")
+
+
+def windows_of_samples(samples: DataFrame, spec: WindowSpec, channels: list[str], record: str = "patient") -> DataFrame:
+    """windows() for records too long for one row: from rows (record, channel, idx, x, len), one for a sample of a channel.
+
+    Rows are grouped by window, so a long record is as many small groups.
+    Windows that lack samples of the first channel go.
+    """
+    j = F.floor(F.col("idx") / spec.stride).cast("int")
+    held = samples.withColumn("j", j).where((F.col("j") < F.floor(F.col("len") / spec.stride)) & (F.col("idx") % spec.stride < spec.size))
+    wave = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("channel") == c, F.struct("idx", "x")))), lambda r: r["x"])
+    out = held.groupBy(record, "j").agg(*[wave(c).alias(c) for c in channels]).where(F.size(channels[0]) == spec.size)
+    return out.withColumn("trial", F.concat_ws("_", F.col(record).cast("string"), F.col("j").cast("string")))
+
+
 def centre_window(records: DataFrame, size: int, channels: list[str]) -> DataFrame:
     """One window from the middle of each record; shorter records go."""
     start = F.floor((F.size(channels[0]) - size) / 2)

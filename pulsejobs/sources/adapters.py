@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import segment
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form (patient, idx, ppg, abp): one record a user, in the order of time; abp trails ppg by three samples."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("patient"), (F.row_number().over(order) - 1).alias("idx"), F.col("value").alias("ppg"), F.coalesce(F.lag("value", 3).over(order), F.lit(0.0)).alias("abp")
-    )
+    """Long form (patient, channel, idx, x, len): one record a user, in the order of time; abp_signal trails signal by three samples and starts with zeros."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("patient"), "ts", "event_id", F.col("value").alias("x"))
+    rows = segment.placed(rows, "patient", F.date_trunc("day", "ts"), ["ts", "event_id"])
+    as_channel = lambda c, i, x: F.struct(F.lit(c).alias("channel"), i.cast("long").alias("idx"), x.alias("x"))
+    idx, x = F.col("idx"), F.col("x")
+    each = F.array(as_channel("signal", idx, x), as_channel("abp_signal", idx + 3, x), F.when(idx < 3, as_channel("abp_signal", idx, F.lit(0.0))))
+    return rows.select("patient", "len", F.explode(F.array_compact(each)).alias("s")).select("patient", "s.*", "len")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a record (patient, signal, abp_signal): the canonical shape of stored waveforms."""
+    """One row a record (patient, signal, abp_signal): the canonical shape of stored waveforms, for records that fit in a row; samples() serves longer ones."""
     rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("r"))
     signal = F.transform("r", lambda x: x["value"])
     return rows.select(F.col("user_id").alias("patient"), signal.alias("signal")).withColumn("abp_signal", F.transform("signal", lambda _, i: F.coalesce(F.get("signal", i - 3), F.lit(0.0))))
