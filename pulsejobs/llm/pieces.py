@@ -17,7 +17,7 @@ that can happen (``once`` in the tables) are merged one place a round.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices, table
+from .shared import slices, table, widened
 
 SPACE = "▁"
 #: Words of more symbols (text without any cut, such as a page of blanks) are merged by a queue, in n log n steps.
@@ -372,15 +372,6 @@ def _decoder(shared, ids: str, text: str):
     return run
 
 
-def _widened(df: DataFrame, run: Callable, column: str, new: str, kind: str) -> DataFrame:
-    """``df`` with a last column ``new`` made by ``run(name of the input column)``; columns have numbered names inside, so any names will do."""
-    kept = [c for c in df.columns if c != new]
-    place = {c: f"c{i}" for i, c in enumerate(kept)}
-    plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in place.items()])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run(place[column]), f"{schema}, made {kind}").toDF(*kept, new)
-
-
 def share_tables(spark: SparkSession, model: str):
     """The tables of a model file that the driver can read, as a broadcast: their size is bounded by the vocabulary."""
     return spark.sparkContext.broadcast(read_tables(Path(model).read_bytes()))
@@ -394,12 +385,12 @@ def encode(df: DataFrame, shared, column: str = "text", ids: str = "ids") -> Dat
     table gives an empty table. Texts of any length are taken in stretches.
     ``shared`` comes from :func:`share_tables`.
     """
-    return _widened(df, lambda c: _encoder(shared, c, "made"), column, ids, "array<int>")
+    return widened(df, lambda c: _encoder(shared, c, "made"), column, ids, "array<int>")
 
 
 def decode(df: DataFrame, shared, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All rows and columns of ``df`` and ``text``, what the ids stand for; null for null, empty for none. A column named like ``text`` is replaced."""
-    return _widened(df, lambda c: _decoder(shared, c, "made"), ids, text, "string")
+    return widened(df, lambda c: _decoder(shared, c, "made"), ids, text, "string")
 
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by the names of the entry module."""
 
-from . import decontamination, langid, media, mixing, neardup, pieces, pseudonyms, quality, repeats, sharding, warc
+from . import decontamination, langid, media, mixing, neardup, pieces, pseudonyms, quality, repeats, sharding, warc, whitening
 
 QUERIES = {
     "op1_rake_and_sample": mixing.op1_rake_and_sample,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality_crf": quality.op8_quality_crf,
     "op9_decontaminate": decontamination.op9_decontaminate,
     "op10_byte_cnn": langid.op10_byte_cnn,
+    "op11_whitening": whitening.op11_whitening,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 

@@ -11,7 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +81,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2_00
             at = to
 
 
+def widened(df: DataFrame, run: Callable, column: str, new: str, kind: str) -> DataFrame:
+    """``df`` with a last column ``new`` made by ``run(name of the input column)``; columns have numbered names inside, so any names will do."""
+    kept = [c for c in df.columns if c != new]
+    place = {c: f"c{i}" for i, c in enumerate(kept)}
+    plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in place.items()])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    return plain.mapInArrow(run(place[column]), f"{schema}, made {kind}").toDF(*kept, new)
+
+
 # ---------------------------------------------------------------- word hashes
 
 _rng = np.random.default_rng(20240611)
