@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by the names of the entry module."""
 
-from . import decontamination, langid, media, mixing, neardup, pieces, pseudonyms, quality, repeats, sharding, warc, whitening
+from . import decontamination, langid, media, mixing, neardup, pieces, pseudonyms, quality, repeats, sharding, variants, warc, whitening
 
 QUERIES = {
     "op1_rake_and_sample": mixing.op1_rake_and_sample,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontaminate": decontamination.op9_decontaminate,
     "op10_byte_cnn": langid.op10_byte_cnn,
     "op11_whitening": whitening.op11_whitening,
+    "op12_spelling_variants": variants.op12_spelling_variants,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
@@ -24,4 +25,5 @@ ORACLE = {
     "op6_byte_shards": sharding.OP6_SQL,
     "op7_run_length_index": repeats.OP7_SQL,
     "op9_decontaminate": decontamination.OP9_SQL,
+    "op12_spelling_variants": variants.OP12_SQL,
 }
