@@ -103,8 +103,10 @@ FROM b JOIN s a ON a.patient = b.patient AND a.idx < keep LEFT JOIN s p ON p.pat
 
 @query("seg11_align", _align_sql("literal"))
 def seg11(spark, sf_dir):
-    out = segment.aligned(adapters.records(spark, sf_dir), 8)
-    return long_form(out.withColumn("shift", F.col("shift").cast("long")), ["patient", "shift"], ["signal", "abp_signal"])
+    """From sample rows: a record is several blocks of 64 samples."""
+    out = segment.aligned_samples(adapters.samples(spark, sf_dir), 8, block=64)
+    both = out.groupBy("patient", "shift", "idx").agg(*[F.max(F.when(F.col("channel") == c, F.col("x"))).alias(c) for c in ("signal", "abp_signal")])
+    return both.select("patient", F.col("shift").cast("long").alias("shift"), F.col("idx").cast("long").alias("i"), r6("signal").alias("signal"), r6("abp_signal").alias("abp_signal"))
 
 
 @query("seg11_align_exact", _align_sql("exact"))

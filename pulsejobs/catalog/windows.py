@@ -1,5 +1,6 @@
 """Labels, rules, quality figures and transforms of windows."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -114,6 +115,37 @@ def flt6(spark, sf_dir):
     return quality.keep(df, quality.pulse_rules()).select("patient", F.col("j").cast("long").alias("j"), "SP", "DP")
 
 
+_STEPS = f"""{_P2V}, l AS (SELECT patient, j, max(abp) AS SP, min(abp) AS DP FROM w GROUP BY ALL),
+{_RATES[len(_SHORT) + 2:]},
+x AS (SELECT r.*, SP, DP, p2v FROM r JOIN l USING (patient, j) LEFT JOIN m USING (patient, j)),
+a AS (SELECT *, SP <= 220 AND DP >= 1 AND SP - DP >= 10 AS a_ok FROM x),
+b AS (SELECT *, a_ok AND np BETWEEN 2 AND 11 AND nv BETWEEN 3 AND 12 AS b_ok FROM a),
+c AS (SELECT *, b_ok AND coalesce(pb BETWEEN 100 AND 170, false) AND coalesce(vb BETWEEN 100 AND 170, false) AS c_ok FROM b),
+d AS (SELECT *, c_ok AND coalesce(SP - DP > 90, false) AND coalesce(p2v > 45, false) AS d_ok FROM c),
+t AS (
+  SELECT true AS seen, ['pressure', 'pressure', 'pressure'] AS steps, ['sp_high', 'dp_low', 'pulse_low'] AS rules, [SP <= 220, DP >= 1, SP - DP >= 10] AS ok FROM d
+  UNION ALL SELECT a_ok, ['beats', 'beats'], ['peaks', 'valleys'], [np BETWEEN 2 AND 11, nv BETWEEN 3 AND 12] FROM d
+  UNION ALL SELECT b_ok, ['rate', 'rate'], ['peak_rate', 'valley_rate'], [coalesce(pb BETWEEN 100 AND 170, false), coalesce(vb BETWEEN 100 AND 170, false)] FROM d
+  UNION ALL SELECT c_ok, ['pulse', 'pulse'], ['pulse', 'height'], [coalesce(SP - DP > 90, false), coalesce(p2v > 45, false)] FROM d
+  UNION ALL SELECT true, ['end'], ['removed'], [d_ok] FROM d)
+SELECT step, rule, count(*) FILTER (WHERE seen AND NOT ok) AS removed FROM (SELECT seen, unnest(steps) AS step, unnest(rules) AS rule, unnest(ok) AS ok FROM t) GROUP BY ALL"""
+
+
+@query("pip1_cleaning_steps", _STEPS)
+def pip1(spark, sf_dir):
+    """Four rule sets one after the other in one pass, with what each rule removes; the last row counts all windows that are gone."""
+    audit, all_windows = quality.Audit(), Observation()
+    df = short(spark, sf_dir).withColumns(quality.naive_labels()).observe(all_windows, F.count("*").alias("n"))
+    df = _extrema(audit.step(df, "pressure", quality.pressure_rules(dp_min=1)))
+    df = audit.step(df, "beats", quality.beat_count_rules())
+    df = df.withColumns(quality.interval_stats("pks", 8, "p2p", "pks_bpm") | quality.interval_stats("vlys", 8, "v2v", "vlys_bpm"))
+    df = audit.step(df, "rate", quality.rate_rules(100, 170)).withColumn("p2v", quality.peak_to_valley("signal", "pks", "vlys"))
+    kept = Observation()
+    df = audit.step(df, "pulse", {"pulse": quality.pulse_rules(least=90)["pulse"], "height": quality.pulse_rules(least=45)["height"]}).observe(kept, F.count("*").alias("n"))
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([*audit.rows(), ("end", "removed", all_windows.get["n"] - kept.get["n"])], quality.AUDIT)
+
+
 @query("flt10_distorted", f"{_STATS} SELECT trial FROM z WHERE p2p_std <= 1.2 AND v2v_std <= 1.2 AND pks_amp_std <= 0.09 AND vlys_amp_std <= 0.09")
 def flt10(spark, sf_dir):
     return quality.keep(_stats(spark, sf_dir), quality.distortion_rules(1.2, 0.09)).select("trial")

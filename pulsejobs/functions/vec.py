@@ -8,6 +8,7 @@ null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,27 @@ def align_shift(fs: int):
     return best
 
 
+def block_lag_sums(fs: int, block: int):
+    """Product sums of a block of abp samples with ppg samples ``base + r`` later, r = 0 .. fs - 1, and both sums of squares; samples come as places in the block and values."""
+
+    def placed(at, values, size: int) -> np.ndarray:
+        x = np.zeros(size)
+        if at is not None and len(at):
+            x[np.asarray(at, int)] = np.asarray(values, float)
+        return x
+
+    @kernel_udf(DOUBLES)
+    def sums(ai: pd.Series, ax: pd.Series, pi: pd.Series, px: pd.Series, base: pd.Series) -> pd.Series:
+        out = []
+        for i, x, j, y, b in zip(ai, ax, pi, px, base, strict=True):
+            a, p = placed(i, x, block), placed(j, y, block + 2 * fs)
+            later = np.lib.stride_tricks.sliding_window_view(p, block)[int(b) : int(b) + fs]
+            out.append(np.concatenate([later @ a, [a @ a, p @ p]]))
+        return pd.Series(out)
+
+    return sums
+
+
 def ampd(x: np.ndarray, scale: int) -> list[np.ndarray]:
     """Multi-scale maxima of stacked rows: after linear detrending, samples larger than both k-neighbours for every k below the best scale.
 
@@ -86,7 +108,9 @@ def ampd(x: np.ndarray, scale: int) -> list[np.ndarray]:
     """
     rows, n = x.shape
     t = np.arange(n) - (n - 1) / 2
-    y = x - x.mean(axis=1, keepdims=True) - (x @ t / (t @ t))[:, None] * t if n > 1 else x
+    # summed along each row, so that a row gives the same alone and in a stack
+    slope = ((x * t).sum(axis=1, keepdims=True) / (t @ t)) if n > 1 else 0.0
+    y = x - x.mean(axis=1, keepdims=True) - slope * t if n > 1 else x
     top = min(scale, n // 2)
     if top < 1:
         return [np.zeros(0, np.int64)] * rows
@@ -111,6 +135,7 @@ def multi_scale_maxima(scale: int, sign: int = 1):
     return find
 
 
+@lru_cache(32)
 def band_pass_matrix(n: int, low: float, high: float, fs: float) -> np.ndarray:
     """(n, n): first-order Butterworth band-pass, forward and backward, as a linear map.
 
@@ -159,31 +184,75 @@ def band_pass(low: float, high: float, fs: float):
     return apply
 
 
+def bends(h: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots of stacked not-a-knot splines, from the gaps ``h`` and slopes ``s`` between the knots, four knots or more.
+
+    The third derivative does not change at the second knot and at the last but
+    one; with that the outer bends go out of their neighbours' equations. What
+    is left has three diagonals and a dominant middle one, and is solved by
+    elimination along the knots, for all rows at once.
+    """
+    low, mid, high, right = h[:, :-1].copy(), 2 * (h[:, :-1] + h[:, 1:]), h[:, 1:].copy(), 6 * np.diff(s, axis=1)
+    h0, h1, g1, g0 = h[:, 0], h[:, 1], h[:, -2], h[:, -1]
+    mid[:, 0] += h0 * (h0 + h1) / h1
+    high[:, 0] -= h0 * h0 / h1
+    mid[:, -1] += g0 * (g0 + g1) / g1
+    low[:, -1] -= g0 * g0 / g1
+    n = mid.shape[1]
+    for i in range(1, n):
+        f = low[:, i] / mid[:, i - 1]
+        mid[:, i] -= f * high[:, i - 1]
+        right[:, i] -= f * right[:, i - 1]
+    d = np.empty((len(h), n + 2))
+    d[:, n] = right[:, -1] / mid[:, -1]
+    for i in range(n - 2, -1, -1):
+        d[:, i + 1] = (right[:, i] - high[:, i] * d[:, i + 2]) / mid[:, i]
+    d[:, 0] = ((h0 + h1) * d[:, 1] - h0 * d[:, 2]) / h1
+    d[:, -1] = ((g0 + g1) * d[:, -2] - g0 * d[:, -3]) / g1
+    return d
+
+
+def splines(x: np.ndarray, y: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(rows, places): not-a-knot cubic splines through stacked knots (rows, n), at rising places; a parabola for three knots, a line for two."""
+    (rows, n), m = x.shape, len(places)
+    h = np.diff(x, axis=1)
+    s = np.diff(y, axis=1) / h
+    if n > 3:
+        d = bends(h, s)
+    else:  # one bend for all, or none
+        d = np.repeat(2 * np.diff(s, axis=1) / (h[:, :1] + h[:, 1:]) if n == 3 else np.zeros((rows, 1)), n, axis=1)
+    # the stretch of each place, by the number of knots at or before it
+    first = np.searchsorted(places, x)
+    counts = np.bincount((np.arange(rows)[:, None] * (m + 1) + first).ravel(), minlength=rows * (m + 1)).reshape(rows, m + 1)
+    k = np.clip(np.cumsum(counts[:, :m], axis=1) - 1, 0, n - 2)
+    of = lambda v, j: np.take_along_axis(v, j, axis=1)
+    gap = of(h, k)
+    left, right = places - of(x, k), of(x, k + 1) - places
+    a, b = of(d, k), of(d, k + 1)
+    return (a * right**3 + b * left**3) / (6 * gap) + (of(y, k) / gap - a * gap / 6) * right + (of(y, k + 1) / gap - b * gap / 6) * left
+
+
 def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Not-a-knot cubic spline through (x, y): a parabola for three points, a line for two."""
-    n = len(x)
-    if n == 2:
-        return y[0] + (y[1] - y[0]) * (at - x[0]) / (x[1] - x[0])
-    if n == 3:
-        return sum(y[i] * np.prod([(at - x[j]) / (x[i] - x[j]) for j in range(3) if j != i], axis=0) for i in range(3))
-    h, s = np.diff(x), np.diff(y) / np.diff(x)
-    # second derivatives at the knots
-    m = np.zeros((n, n))
-    r = np.zeros(n)
-    i = np.arange(1, n - 1)
-    m[i, i - 1], m[i, i], m[i, i + 1], r[i] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:], 6 * np.diff(s)
-    m[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    m[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    d = np.linalg.solve(m, r)
-    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
-    left, right = at - x[k], x[k + 1] - at
-    return (d[k] * right**3 + d[k + 1] * left**3) / (6 * h[k]) + (y[k] / h[k] - d[k] * h[k] / 6) * right + (y[k + 1] / h[k] - d[k + 1] * h[k] / 6) * left
+    """One spline, at any places."""
+    order = np.argsort(at, kind="stable")
+    out = np.empty(len(at))
+    out[order] = splines(np.asarray(x, float)[None], np.asarray(y, float)[None], np.asarray(at, float)[order])[0]
+    return out
 
 
 @kernel_udf(DOUBLES)
 def spline_baseline(knots: pd.Series, values: pd.Series, n: pd.Series) -> pd.Series:
-    """The spline through (knots, values) at 0..n-1; null for fewer than two knots."""
-    return pd.Series([cubic_spline(np.asarray(k, float), np.asarray(v, float), np.arange(m, dtype=float)) if k is not None and len(k) > 1 else None for k, v, m in zip(knots, values, n, strict=True)])
+    """The spline through (knots, values) at 0..n-1; null for fewer than two knots. Rows of a batch with as many knots and places are solved together."""
+    out: list = [None] * len(knots)
+    stacks: dict[tuple[int, int], list[int]] = {}
+    for i, (k, m) in enumerate(zip(knots, n, strict=True)):
+        if k is not None and len(k) > 1:
+            stacks.setdefault((len(k), int(m)), []).append(i)
+    for (_, m), members in stacks.items():
+        stack = lambda c: np.stack([np.asarray(c.iloc[i], float) for i in members])  # noqa: B023, E731
+        for i, row in zip(members, splines(stack(knots), stack(values), np.arange(m, dtype=float)), strict=True):
+            out[i] = row
+    return pd.Series(out)
 
 
 @kernel_udf(DOUBLES)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 
+AUDIT = "step string, rule string, removed long"
+
 
 def naive_labels(abp: str = "abp_signal") -> dict[str, Column]:
     return {"SP": F.array_max(abp), "DP": F.array_min(abp)}
@@ -59,6 +61,35 @@ def audit(df: DataFrame, step: str, rules: dict[str, Column]) -> DataFrame:
     return counted.select(pairs.alias("r")).select(F.lit(step).alias("step"), "r.rule", "r.removed")
 
 
+class Audit:
+    """Rules in steps over one pass of the rows; what each rule removes is counted while the rows go by.
+
+    ``step`` notes a rule set and gives the rows that pass it. The counts are
+    observed metrics of the query that the rows end in: one write of the last
+    table fills them all, and nothing is read twice. They are sums of the
+    tasks that count for the result, so they hold when executors are lost,
+    as long as no shuffle follows the steps (a stage that is run again
+    before a shuffle may count its rows again).
+    """
+
+    def __init__(self) -> None:
+        self._steps: list[tuple[str, list[str], Observation]] = []
+
+    def step(self, df: DataFrame, name: str, rules: dict[str, Column]) -> DataFrame:
+        seen = Observation()
+        self._steps.append((name, list(rules), seen))
+        return keep(df.observe(seen, *[F.sum(F.when(r, 0).otherwise(1)).alias(n) for n, r in rules.items()]), rules)
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        """(step, rule, removed) in order, the rules of a step overlapping; only after the rows have been written (it waits for that)."""
+        return [(name, rule, int(seen.get[rule] or 0)) for name, rules, seen in self._steps for rule in rules]
+
+    def tables(self, spark: SparkSession) -> list[DataFrame]:
+        """The counts as a table a step."""
+        found = self.rows()
+        return [spark.createDataFrame([r for r in found if r[0] == name], AUDIT) for name, _, _ in self._steps]
+
+
 def sizes(df: DataFrame, step: str, patient: str = "patient", trial: str = "trial") -> DataFrame:
     """(step, patients, records, rows): a record is a trial up to its last underscore."""
     return df.agg(F.count_distinct(patient).alias("patients"), F.count_distinct(F.regexp_replace(F.col(trial).cast("string"), "_[^_]*$", "")).alias("records"), F.count("*").alias("rows")).select(

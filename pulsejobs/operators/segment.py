@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.vec import align_shift, linear_map
+from ..functions.vec import align_shift, block_lag_sums, linear_map
 
 
 @dataclass(frozen=True)
@@ -94,6 +95,7 @@ def in_listed_order(records: DataFrame, names: DataFrame, name: str) -> DataFram
     return records.join(listed, F.col(name) == F.col("listed")).orderBy("pos").drop("listed")
 
 
+@lru_cache(512)
 def resample_matrix(n: int, m: int) -> np.ndarray:
     """(m, n): Fourier resampling as a linear map. Low bins stay; the middle bin of an even shorter side is shared or merged."""
     spectrum = np.fft.rfft(np.eye(n), axis=0)
@@ -129,3 +131,40 @@ def aligned(records: DataFrame, fs: int, lag_mode: str = "literal") -> DataFrame
         raise ValueError("lag_mode is literal or exact")
     keep = F.col("_n") - fs
     return out.withColumns({"signal": A.cut("signal", start, start + keep), "abp_signal": A.cut("abp_signal", 0, keep)}).drop("_n")
+
+
+def aligned_samples(samples: DataFrame, fs: int, record: str = "patient", block: int = 4096, lag_mode: str = "literal") -> DataFrame:
+    """aligned() for records too long for one row: rows (record, channel, idx, x, len) in and out, with ``shift`` and the new len.
+
+    The product sums of the lags are taken in blocks of ``block`` samples of
+    abp_signal, each with the samples of signal that its lags reach (two
+    seconds more), and added up by record and lag; so a record of any length
+    is as many small groups, and one row for each lag remains of it. Lags whose
+    sums differ by rounding only count as equal: the first of the full
+    correlation wins. Null and NaN samples count as 0 in the sums; records of
+    up to a second go, as do those without a name.
+    """
+    if lag_mode not in ("literal", "exact"):
+        raise ValueError("lag_mode is literal or exact")
+    if block < 2 * fs:
+        raise ValueError("a block holds two seconds at least")
+    whole = F.floor(F.col("len") / fs) * fs
+    rows = samples.withColumn("_n", whole).where(F.col("_n") > fs)
+    of, at = F.floor(F.col("idx") / block), F.col("idx") % block
+    is_abp = F.col("channel") == "abp_signal"
+    blocks = F.when(is_abp | (at >= 2 * fs) | (of == 0), F.array(of)).otherwise(F.array(of - 1, of))
+    value = F.when(F.isnan("x"), F.lit(0.0)).otherwise(F.coalesce("x", F.lit(0.0)))
+    dealt = rows.where(F.col("channel").isin("signal", "abp_signal")).select(record, is_abp.alias("_abp"), "len", "_n", "idx", value.alias("x"), F.explode(blocks).alias("_b"))
+    place = (F.col("idx") - F.col("_b") * block).cast("int")
+    lists = lambda c: F.collect_list(F.when(c, F.struct(place.alias("i"), "x")))
+    grouped = dealt.groupBy(record, "_n", "len", "_b").agg(lists(F.col("_abp")).alias("_a"), lists(~F.col("_abp")).alias("_p"))
+    sums = block_lag_sums(fs, block)(F.col("_a.i"), F.col("_a.x"), F.col("_p.i"), F.col("_p.x"), F.col("len") - F.col("_n"))
+    parts = grouped.select(record, "_n", "len", F.posexplode(sums).alias("_lag", "_v")).groupBy(record, "_n", "len", "_lag").agg(F.sum("_v").alias("_v"))
+    in_record = Window.partitionBy(record)  # a row for each lag, and two for the sums of squares
+    room = 1e-12 * F.sqrt(F.max(F.when(F.col("_lag") == fs, F.col("_v"))).over(in_record) * F.max(F.when(F.col("_lag") == fs + 1, F.col("_v"))).over(in_record))
+    top = F.max(F.when(F.col("_lag") < fs, F.col("_v"))).over(in_record)
+    best = parts.withColumns({"_top": top, "_room": room}).where((F.col("_lag") < fs) & (F.col("_v") >= F.col("_top") - F.col("_room"))).groupBy(record, "_n", "len").agg(F.max("_lag").alias("_lag"))
+    start = F.col("_lag") + 1 if lag_mode == "literal" else F.col("len") - F.col("_n") + F.col("_lag")
+    best = best.select(F.col(record).alias("_r"), (-1 - F.col("_lag")).alias("shift"), start.alias("_start"), (F.col("_n") - fs).alias("_keep"))
+    moved = samples.join(best, F.col(record) == F.col("_r")).withColumns({"idx": F.when(F.col("channel") == "signal", F.col("idx") - F.col("_start")).otherwise(F.col("idx")), "len": F.col("_keep")})
+    return moved.where((F.col("idx") >= 0) & (F.col("idx") < F.col("_keep"))).drop("_r", "_start", "_keep")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,28 +38,22 @@ def with_extrema(df: DataFrame, wave: str, prefix: str, fs: int, remove_ends: bo
     return out.withColumnsRenamed({"flag1": f"{prefix}_f1", "flag2": f"{prefix}_f2"})
 
 
-def audited(path: str, audits: list[DataFrame]) -> Callable[[DataFrame, str, dict], DataFrame]:
-    """A step of cleaning: writes the rows before a rule set, notes its audit, and gives the rows that pass."""
-
-    def step(df: DataFrame, name: str, rules: dict) -> DataFrame:
-        at = f"{path}/{name.replace(' ', '_')}"
-        files.write_windows(df, at)
-        df = df.sparkSession.read.schema(df.schema).parquet(at)
-        audits.append(quality.audit(df, name, rules))
-        return quality.keep(df, rules)
-
-    return step
+def written(df: DataFrame, audit: quality.Audit, path: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The clean windows, written once and read again, and the audit of the rules on the way, a table a step."""
+    files.write_windows(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), audit.tables(df.sparkSession)
 
 
 def cleaned(windows: DataFrame, c: CleanConfig, path: str) -> tuple[DataFrame, list[DataFrame]]:
     """Clean labelled windows with extrema, cycles and statistics, and the audit tables of the rules, in order.
 
-    All of it stays in the window's row: no shuffle. The rows before each rule
-    are written under ``path``, so that extrema are computed once and serve
-    the rule and its audit; plans stay short.
+    All of it stays in the window's row and in one pass: no shuffle, and one
+    write, of the clean windows under ``path``; the audit counts rows as they
+    pass. Between two steps the plan cannot be merged, so extrema are computed
+    once and expressions stay short.
     """
-    audits, df = [], windows.withColumns(quality.naive_labels())
-    step = audited(path, audits)
+    audit, df = quality.Audit(), windows.withColumns(quality.naive_labels())
+    step = audit.step
     df = step(df, "pressure", quality.pressure_rules())
     df = with_extrema(df, "abp_signal", "abp", c.fs, remove_ends=False)
     df = df.withColumn("abp_vlys", F.when(F.col("abp_f2") & (F.size("abp_pks") > 0), extrema.valleys_before_peaks("abp_pks", "abp_vlys")).otherwise(F.col("abp_vlys")))
@@ -82,8 +76,7 @@ def cleaned(windows: DataFrame, c: CleanConfig, path: str) -> tuple[DataFrame, l
     df = ppg_stats(df, c.fs)
     df = step(df, "refined rate", quality.rate_rules(*c.rate))
     df = step(df, "refined distorted", quality.distortion_rules(first=False))
-    df = df.withColumns({"cs": extrema.cycles("fsignal", "vlys"), "pks_norm": extrema.peaks_in_cycles("pks", "vlys")})
-    return df, audits
+    return written(df.withColumns({"cs": extrema.cycles("fsignal", "vlys"), "pks_norm": extrema.peaks_in_cycles("pks", "vlys")}), audit, path)
 
 
 def cleaned_short(windows: DataFrame, c: CleanConfig, path: str, denied: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
@@ -92,10 +85,12 @@ def cleaned_short(windows: DataFrame, c: CleanConfig, path: str, denied: DataFra
     Pressure limits, beats, baseline, beats again, rates: a window of one beat
     has no peak rate and stays, one without a valley rate goes. First and last
     extrema count, as there are few. ``denied`` (one column, trial) names
-    windows that were seen to be bad; null trials are no match and stay.
+    windows that were seen to be bad; null trials are no match and stay. As
+    in cleaned(), one pass and one write; the denied windows go after the
+    last rule.
     """
-    audits: list[DataFrame] = []
-    step = audited(path, audits)
+    audit = quality.Audit()
+    step = audit.step
 
     def with_beats(df: DataFrame, name: str) -> DataFrame:
         df = df.withColumn("fsignal", signals.filtered_or_scaled("signal", c.low, c.high, c.fs))
@@ -109,7 +104,7 @@ def cleaned_short(windows: DataFrame, c: CleanConfig, path: str, denied: DataFra
     df = step(df, "rate", quality.rate_rules(*c.rate, keep_single=True))
     if denied is not None:
         df = joins.without(df, denied, ["trial"])
-    return df.withColumns({"cs": extrema.cycles("fsignal", "vlys"), "pks_norm": extrema.peaks_in_cycles("pks", "vlys")}), audits
+    return written(df.withColumns({"cs": extrema.cycles("fsignal", "vlys"), "pks_norm": extrema.peaks_in_cycles("pks", "vlys")}), audit, path)
 
 
 def ppg_stats(df: DataFrame, fs: int) -> DataFrame:
@@ -147,11 +142,8 @@ def run(spark: SparkSession, records: DataFrame, out: str, c: CleanConfig, featu
         raise ValueError("give a split of features or of signals")
     path = {n: f"{out}/{n}" for n in ("segmented", "cleaned", "audit", "features", "feature_folds", "signal_folds")}
     files.write_windows(segmented(records, c), path["segmented"])
-    clean, audits = cleaned(spark.read.parquet(path["segmented"]), c, f"{out}/steps")
-    files.write_windows(clean, path["cleaned"])
-    for a in audits:
-        files.append_audit(a, path["audit"])
-    clean = spark.read.parquet(path["cleaned"])
+    clean, audits = cleaned(spark.read.parquet(path["segmented"]), c, path["cleaned"])
+    files.append_audit(reduce(DataFrame.union, audits), path["audit"])
     files.write_windows(featured(clean, c), path["features"])
     rows = spark.read.parquet(path["features"])
     if feature_folds:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -42,6 +42,58 @@ def read_tab_lines(spark: SparkSession, glob: str) -> DataFrame:
     return _whole(spark, glob).select(F.split_part("name", F.lit("_"), F.lit(1)).try_cast("int").alias("patient"), F.col("name").alias("trial"), signal.alias("signal"))
 
 
+def placed_pieces(spark: SparkSession, glob: str, separator: str | None = None, blank: bool = True) -> DataFrame:
+    """The lines of files of any length, or what a separator parts: (file, size, piece, pieces, bytes, value), piece counted in its file from 0.
+
+    A long file is read in splits, as Spark cuts it. Pieces are ranked inside
+    their split, after the counted pieces of the file's earlier splits, so no
+    task has more than a split. ``bytes`` is what all pieces of the file take,
+    each with a separator. Without ``blank``, blank lines do not count.
+    """
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    rows = reader.text(glob).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), "value"
+    )
+    if not blank:
+        rows = rows.where(F.trim("value") != "")
+    counts = rows.groupBy("file", "_split").agg(F.count("*").alias("_n"), F.sum(F.octet_length("value") + 1).alias("_bytes"))
+    in_file = Window.partitionBy("file")
+    counts = counts.select(
+        F.col("file").alias("_file"), F.col("_split").alias("_at"), (F.sum("_n").over(in_file.orderBy("_split")) - F.col("_n")).alias("_before"), F.sum("_n").over(in_file).alias("pieces"), F.sum("_bytes").over(in_file).alias("bytes")
+    )
+    rank = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_id")) - 1
+    ranked = rows.withColumn("_rank", rank).join(counts, (F.col("file") == F.col("_file")) & (F.col("_split") == F.col("_at")))
+    return ranked.select("file", "size", (F.col("_before") + F.col("_rank")).alias("piece"), "pieces", "bytes", "value")
+
+
+def column_csv_samples(spark: SparkSession, glob: str, columns: dict[str, str]) -> DataFrame:
+    """read_column_csv() for files of any length: rows (name, id, channel, idx, x, len), one for a sample of a channel.
+
+    ``segment.windows_of_samples(..., record="name")`` makes windows of them.
+    """
+    lines = placed_pieces(spark, glob, blank=False)
+    first = spark.read.text(glob).select(F.col("_metadata.file_path").alias("_of"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), "value")
+    heads = first.where(F.trim("value") != "").groupBy("_of").agg(F.min_by("value", F.struct("_split", "_id")).alias("_head"))
+    heads = heads.withColumn("_head", F.transform(F.split("_head", ","), lambda x: F.trim(x)))
+    rows = lines.where("piece > 0").join(heads, F.col("file") == F.col("_of")).withColumn("_cells", F.split(F.regexp_replace("value", r"\r$", ""), ","))
+    cell = lambda name: F.get("_cells", (F.array_position("_head", F.lit(name)) - 1).cast("int")).try_cast("double")
+    channels = F.explode(F.array(*[F.struct(F.lit(new).alias("channel"), cell(old).alias("x")) for old, new in columns.items()])).alias("c")
+    name = _stem(F.col("file"))
+    out = rows.select(name.alias("name"), (F.col("piece") - 1).alias("idx"), (F.col("pieces") - 1).alias("len"), channels)
+    return out.select("name", F.regexp_extract("name", r"(\d+)", 1).try_cast("int").alias("id"), "c.channel", "idx", "c.x", "len")
+
+
+def tab_line_samples(spark: SparkSession, glob: str) -> DataFrame:
+    """read_tab_lines() for lines of any length: rows (patient, trial, channel, idx, x, len); the channel is signal.
+
+    The one line of a file is read in splits at its tabs. What follows the last tab is no sample.
+    """
+    cells = placed_pieces(spark, glob, separator="\t")
+    n = F.when(F.col("bytes") == F.col("size"), F.col("pieces")).otherwise(F.col("pieces") - 1)
+    rows = cells.select(_stem(F.col("file")).alias("trial"), F.lit("signal").alias("channel"), F.col("piece").alias("idx"), F.col("value").try_cast("double").alias("x"), n.alias("len")).where("idx < len")
+    return rows.select(F.split_part("trial", F.lit("_"), F.lit(1)).try_cast("int").alias("patient"), "trial", "channel", "idx", "x", "len")
+
+
 def read_demographics(spark: SparkSession, path: str, names: dict[str, str], title_rows: int = 0, dropped: tuple[str, ...] = ()) -> DataFrame:
     """A small CSV of subjects; title rows above the header are skipped, columns dropped and renamed."""
     if not title_rows:
