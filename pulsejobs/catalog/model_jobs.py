@@ -7,11 +7,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..operators import metrics, models, splits
 from ..operators.segment import WindowSpec, windows
 from ..sources import adapters, files
-from . import query
-from .tables import K, folded
+from . import WINDOWS, query, r6, r6s
+from .tables import _RUNS, K, folded
 
 FEATURES = ["f1", "f2", "f3", "f4"]
 
@@ -32,6 +33,32 @@ def mdl1(spark, sf_dir):
     return metrics.summary(found, ["target", "mode", "fold"])
 
 
+_STUMP_FEATURES = {"lines": "f4", "discount": "round(f3 * 100)", "quantity": "floor(f1 / 5)"}
+_STUMP = f"""WITH {_RUNS}, x AS (SELECT run, mode, SP, {', '.join(f'{e}::DOUBLE AS {n}' for n, e in _STUMP_FEATURES.items())} FROM r),
+long AS (SELECT run, feature, v, count(*) AS n, sum(SP) AS s FROM (
+  {' UNION ALL '.join(f"SELECT run, '{n}' AS feature, {n} AS v, SP FROM x WHERE mode = 'tr'" for n in _STUMP_FEATURES)}) GROUP BY ALL),
+cum AS (SELECT run, feature, v, sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(n) OVER a AS na, sum(s) OVER a AS sa FROM long
+  WINDOW o AS (PARTITION BY run, feature ORDER BY v), a AS (PARTITION BY run, feature)),
+cut AS (SELECT run, arg_max(struct_pack(feature, v, lo := sl / nl, hi := (sa - sl) / (na - nl)), sl * sl / nl + (sa - sl) ** 2 / (na - nl)) AS c FROM cum WHERE nl < na GROUP BY run),
+pr AS (SELECT x.run, mode, SP, CASE WHEN CASE c.feature {' '.join(f"WHEN '{n}' THEN {n}" for n in _STUMP_FEATURES)} END <= c.v THEN c.lo ELSE c.hi END AS pred FROM x JOIN cut ON cut.run = x.run)
+SELECT 'SP' AS target, mode, run::INT AS fold, round(avg(abs(pred - SP)), 3) AS mae, round(stddev_pop(pred - SP), 3) AS std, round(avg(pred - SP), 3) AS me FROM pr GROUP BY mode, run"""
+
+
+@query("mdl1_stump", _STUMP)
+def mdl1_stump(spark, sf_dir):
+    """One tree of one split on features of few values, for which every split is looked at: SQL finds the same by sums over the values."""
+    rows = folded(spark, sf_dir).select("patient", "trial", "fold", "SP", *[F.expr(e).cast("double").alias(n) for n, e in _STUMP_FEATURES.items()])
+    found = models.cross_validated(rows, K, "SP", list(_STUMP_FEATURES), "gbt", maxIter=1, maxDepth=1, maxBins=64, seed=1)
+    return metrics.summary(found, ["target", "mode", "fold"])
+
+
+@query("mdl4_search")
+def mdl4(spark, sf_dir):
+    """A search over two depths of a forest, scored on validation rows, best first (rows only: SQL has no forest)."""
+    found = models.search(folded(spark, sf_dir, 3), 3, "SP", FEATURES, "rf", {"maxDepth": [1, 4], "numTrees": [3], "seed": [1]})
+    return spark.createDataFrame([(i, p["maxDepth"], p["numTrees"], e) for i, (e, p) in enumerate(found)], "place int, maxDepth int, numTrees int, mae double")
+
+
 @query("mdl2_random_forest")
 def mdl2(spark, sf_dir):
     found = models.cross_validated(folded(spark, sf_dir), K, "DP", FEATURES, "rf", numTrees=5, maxDepth=4, seed=1)
@@ -47,11 +74,15 @@ def mdl5(spark, sf_dir):
     return models.score_stored(rows, 3, "SP", FEATURES, path).groupBy("fold").agg(F.count("*").alias("rows"), F.round(F.avg(F.abs(F.col("pred") - F.col("label"))), 3).alias("mae"))
 
 
-@query("snk4_round_trip", "SELECT 'differences' AS what, 0::BIGINT AS rows")
+@query("snk4_round_trip", f"""WITH {WINDOWS}, p AS (SELECT patient, ntile({K}) OVER (ORDER BY md5('3:' || patient), patient) - 1 AS fold FROM (SELECT DISTINCT patient FROM w))
+SELECT 'differences' AS what, NULL::BIGINT AS fold, 0::BIGINT AS rows, 0.0::DOUBLE AS total
+UNION ALL SELECT 'stored', fold::BIGINT, count(DISTINCT (patient, j)), {r6s('sum(ppg + abp)')} FROM w JOIN p USING (patient) GROUP BY fold""")
 def snk4(spark, sf_dir):
-    """Fold tables written, read again and compared both ways."""
+    """Fold tables written, read again and compared both ways; windows and sums of the samples that are stored."""
     cut = windows(adapters.records(spark, sf_dir), WindowSpec(16, 16), ["signal", "abp_signal"])
     rows = splits.with_folds(cut.drop("j"), K, 3)
     path = f"{scratch(spark)}/snk4-{uuid.uuid4().hex}"
     files.write_folds(rows, path)
-    return files.round_trip_differences(rows, path).agg(F.lit("differences").alias("what"), F.count("*").alias("rows"))
+    found = files.round_trip_differences(rows, path).agg(F.lit("differences").alias("what"), F.lit(None).cast("long").alias("fold"), F.count("*").alias("rows"), F.lit(0.0).alias("total"))
+    stored = spark.read.schema(rows.schema).parquet(path).groupBy(F.col("fold").cast("long").alias("fold"))
+    return found.unionByName(stored.agg(F.lit("stored").alias("what"), F.count("*").alias("rows"), r6(F.sum(A.total("signal") + A.total("abp_signal"))).alias("total")))

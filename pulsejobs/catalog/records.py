@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, joins, segment
+from ..operators.ranking import with_place
 from ..operators.segment import WindowSpec
 from ..sources import adapters
 from . import SAMPLES, WIDE, long_form, query, r6, r6s
@@ -58,16 +59,12 @@ def seg5(spark, sf_dir):
 SELECT trial, regexp_replace(trial, '_[^_]*$', '') AS record, split_part(trial, '_', 1) || '_' || split_part(trial, '_', 2) AS part, split_part(trial, '_', 3)::INT AS patient,
   row_number() OVER (ORDER BY trial) AS place FROM t""")
 def seg7(spark, sf_dir):
-    """Ids of windows, the ids taken from them, and the place in the sorted order: ranks inside short prefixes, after the rows of all smaller prefixes."""
-    from pyspark.sql import Window
-
+    """Ids of windows, the ids taken from them, and the place in the sorted order."""
     ids = adapters.records(spark, sf_dir).withColumn("record", F.concat_ws("_", F.lit("Part"), (1 + F.col("patient") % 4).cast("string"), F.col("patient").cast("string")))
-    cut = segment.windows(ids, WindowSpec(16, 16), ["signal"], "record").select("trial").withColumn("prefix", F.substring("trial", 1, 10))
-    before = F.coalesce(F.sum("count").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    prefixes = cut.groupBy("prefix").count().select("prefix", before.alias("before"))  # a few thousand rows, however many windows
-    return cut.join(F.broadcast(prefixes), "prefix").select(
+    cut = segment.windows(ids, WindowSpec(16, 16), ["signal"], "record").select("trial")
+    return with_place(cut, ["trial"]).select(
         "trial", F.regexp_replace("trial", "_[^_]*$", "").alias("record"), F.substring_index("trial", "_", 2).alias("part"), F.split_part("trial", F.lit("_"), F.lit(3)).cast("int").alias("patient"),
-        (F.col("before") + F.row_number().over(Window.partitionBy("prefix").orderBy("trial"))).cast("long").alias("place"),
+        "place",
     )
 
 
@@ -75,8 +72,8 @@ def seg7(spark, sf_dir):
 JOIN (SELECT generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS name FROM (SELECT list(c_name ORDER BY md5(c_name)) AS l FROM customer)) p ON p.name = c_name""")
 def seg12(spark, sf_dir):
     people = adapters.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("patient"), F.col("c_name").alias("name"))
-    listed = people.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.md5(F.col("name").cast("binary")).alias("h"), "name"))), lambda x: x["name"]), ",").alias("line"))
-    return segment.in_listed_order(people, listed, "name").select(F.col("pos").cast("long").alias("pos"), "patient", "name")
+    listed = with_place(people.select(F.md5(F.col("name").cast("binary")).alias("h"), "name"), ["h"], "pos").select((F.col("pos") - 1).alias("pos"), "name")
+    return segment.in_listed_order(people, listed, "name").select("pos", "patient", "name")
 
 
 _RESAMPLE = """weights AS (
@@ -148,10 +145,10 @@ def jon1(spark, sf_dir):
     return joins.with_subjects(rows, info)
 
 
-@query("jon2_first_match_lookup", """WITH m AS (SELECT c_nationkey AS file, c_custkey AS subject, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer WHERE c_nationkey < 20)
+@query("jon2_first_match_lookup", """WITH m AS (SELECT c_nationkey AS file, c_custkey AS subject, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer)
 SELECT s_suppkey, file, subject FROM supplier JOIN m ON file = s_nationkey AND r = 1""")
 def jon2(spark, sf_dir):
-    people = adapters.read(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("subject"))
+    people = adapters.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("subject"))
     rows = adapters.read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("file"))
     return joins.with_subjects(rows, joins.first_match(people, "file", ["subject"]), "file").select("s_suppkey", "file", "subject")
 

@@ -54,9 +54,13 @@ def spl4(spark, sf_dir):
     return out.agg(F.count("*").alias("rows"), F.count_distinct("patient").alias("patients"))
 
 
-@query("spl5_leaks", f"WITH {folds_sql()} SELECT patient, count(DISTINCT fold) AS folds FROM ff GROUP BY patient HAVING count(DISTINCT fold) > 1")
+@query("spl5_leaks", f"""WITH {folds_sql()} SELECT 'by patient' AS split, patient, count(DISTINCT fold) AS folds FROM ff GROUP BY patient HAVING count(DISTINCT fold) > 1
+UNION ALL SELECT 'by row', patient, count(DISTINCT trial % {K}) FROM ff GROUP BY patient HAVING count(DISTINCT trial % {K}) > 1""")
 def spl5(spark, sf_dir):
-    return splits.leaks(folded(spark, sf_dir))
+    """Patients in more than one fold: none of the split by patients, many of one that deals rows."""
+    rows = folded(spark, sf_dir)
+    of = lambda name, df: splits.leaks(df).select(F.lit(name).alias("split"), "patient", "folds")
+    return of("by patient", rows).union(of("by row", rows.withColumn("fold", F.col("trial") % K)))
 
 
 @query("spl6_fold_counts", f"WITH {folds_sql()} SELECT fold::BIGINT AS fold, count(*) AS rows FROM ff GROUP BY ROLLUP (fold)")
@@ -70,7 +74,7 @@ _MM = ", ".join(f"(f{i} - lo{i}) / CASE WHEN hi{i} = lo{i} THEN 1 ELSE hi{i} - l
 @query("scl1_min_max_by_rotation", f"""WITH {_RUNS}, m AS (SELECT run, {', '.join(f'min(f{i}) AS lo{i}, max(f{i}) AS hi{i}' for i in range(1, 5))} FROM r WHERE mode = 'tr' GROUP BY run)
 SELECT run, mode, trial, {', '.join(f"{r6s(x)} AS f{i}" for i, x in enumerate(_MM.split(', '), 1))} FROM r JOIN m USING (run)""")
 def scl1(spark, sf_dir):
-    out = scaling.min_max_by_run(splits.rotations(folded(spark, sf_dir), K), ["f1", "f2", "f3", "f4"])
+    out = scaling.scaled_rotations(folded(spark, sf_dir), K, ["f1", "f2", "f3", "f4"])
     return out.select(F.col("run").cast("long").alias("run"), "mode", "trial", *[r6(f"f{i}").alias(f"f{i}") for i in range(1, 5)])
 
 

@@ -154,9 +154,9 @@ def fea21(spark, sf_dir):
     return _scalars(features.mean_over_cycles(g, ["win"]))
 
 
-@query("mab2_position_stats", f"WITH {_CY} SELECT win, pos, {r6s('avg(x)')} AS mu, {r6s('stddev_pop(x)')} AS sigma, count(*) AS n FROM c WHERE pos < 5 GROUP BY ALL")
+@query("mab2_position_stats", f"WITH {_CY} SELECT win, pos, {r6s('avg(x)')} AS mu, {r6s('stddev_pop(x)')} AS sigma, count(*) AS n FROM c GROUP BY ALL")
 def mab2(spark, sf_dir):
-    out = mabp.position_stats(adapters.cycles(spark, sf_dir).where("pos < 5"), ["win"])
+    out = mabp.position_stats(adapters.cycles(spark, sf_dir), ["win"])
     return out.select("win", F.col("pos").cast("long").alias("pos"), r6("mu").alias("mu"), r6("sigma").alias("sigma"), "n")
 
 

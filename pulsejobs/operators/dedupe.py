@@ -5,29 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: So many keys of removed windows are broadcast (some 50 bytes each); more take part in a shuffle join.
+BROADCAST_KEYS = 1_000_000
+
 
 def digest(c: str) -> Column:
-    """Digest of an array by its exact values (0.0 and -0.0 differ)."""
-    return F.sha2(F.to_json(F.struct(F.col(c).alias("v"))).cast("binary"), 256)
+    """128 bits of an array: two 64-bit hashes of its values with different beginnings, its length and the places of its nulls.
+
+    0.0 and -0.0 are equal, as are all NaN. A null array is equal to null
+    arrays only.
+    """
+    missing = F.transform(c, lambda x: x.isNull())
+    return F.struct(*[F.xxhash64(F.lit(k), F.col(c).isNull(), F.size(c), missing, F.col(c)).alias(f"h{k}") for k in (1, 2)])
+
+
+def _slim(windows: DataFrame, order: list[str], channels: tuple[str, ...]) -> DataFrame:
+    return windows.select(F.struct(*order).alias("_key"), *[digest(c).alias(f"_{c}") for c in channels])
+
+
+def removed_keys(windows: DataFrame, order: list[str], channels: tuple[str, ...] = ("signal", "abp_signal")) -> DataFrame:
+    """The order keys of windows that are not the first (by ``order``, unique) of their equals in a channel, among those that the channels before have left.
+
+    Firsts are minima with partial results, so a digest with very many copies
+    is no hot group there; the join that finds the others is on slim rows, and
+    only digests that occur twice take part.
+    """
+    left, gone = _slim(windows, order, channels), None
+    for d in [f"_{c}" for c in channels]:
+        firsts = left.groupBy(d).agg(F.min_by(F.struct("_key", *[f"_{c}" for c in channels]), "_key").alias("_first"), F.count("*").alias("_n"))
+        many = firsts.where("_n > 1").select(F.col(d).alias("_of"), F.col("_first._key").alias("_least"))
+        copies = left.join(many, left[d] == many["_of"]).where(~F.col("_key").eqNullSafe(F.col("_least"))).select("_key")
+        gone = copies if gone is None else gone.unionByName(copies)
+        left = firsts.select("_first.*")
+    return gone.select("_key.*")
 
 
-def drop_duplicate_windows(windows: DataFrame, order: list[str], channels: tuple[str, ...] = ("signal", "abp_signal")) -> DataFrame:
+def drop_duplicate_windows(windows: DataFrame, order: list[str], channels: tuple[str, ...] = ("signal", "abp_signal"), most: int = BROADCAST_KEYS) -> DataFrame:
     """The first window (by ``order``, unique) of each equal first channel; of these the first of each equal second channel, and so on.
 
-    The firsts are found in digests and order keys, by minima with partial
-    results, so a digest with very many copies is no hot group. The last join
-    picks the windows by their keys: small key tables are broadcast by Spark,
-    larger ones bring the windows into the order of the keys by a shuffle.
+    Windows stay where they are: the keys of those that go are counted up to
+    ``most``, and so many are broadcast. With more of them, windows and keys
+    meet by a shuffle.
     """
-    digests = [f"_{c}" for c in channels]
-    slim = windows.select(*order, *[digest(c).alias(d) for c, d in zip(channels, digests, strict=True)])
-    for d in digests:
-        slim = slim.groupBy(F.col(d).alias("_of")).agg(F.min(F.struct(*order, *digests)).alias("_first")).select("_first.*")
-    return windows.join(slim.select(*order), order, "left_semi")
+    gone = removed_keys(windows, order, channels)
+    few = gone.limit(most + 1).count() <= most
+    keys = gone.select(*[F.col(c).alias(f"_gone_{c}") for c in order])
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_gone_{c}"))
+    return windows.join(F.broadcast(keys) if few else keys, same, "left_anti")
 
 
 def duplicate_counts(windows: DataFrame, order: list[str], channels: tuple[str, ...] = ("signal", "abp_signal")) -> DataFrame:
     """(rows, removed): one row, before the duplicates go and how many go."""
-    slim = windows.select(*order, *channels)
-    kept = drop_duplicate_windows(slim, order, channels).agg(F.count("*").alias("kept"))
-    return slim.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(kept)).select("rows", (F.col("rows") - F.col("kept")).alias("removed"))
+    removed = removed_keys(windows, order, channels).agg(F.count("*").alias("removed"))
+    return windows.agg(F.count("*").alias("rows")).crossJoin(F.broadcast(removed))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,9 @@ def with_subjects(windows: DataFrame, info: DataFrame, on: str = "patient") -> D
 
 
 def first_match(lookup: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row for each key: the first in the given order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return lookup.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """One row for each key: the first in the given order. Minima merge before the shuffle, so a frequent key is no large group."""
+    first = F.min_by(F.struct(*lookup.columns), F.struct(*order))
+    return lookup.groupBy(key).agg(first.alias("_r")).select("_r.*")
 
 
 def keep_in_step(signals: DataFrame, features: DataFrame, on: tuple[str, ...] = ("patient", "trial")) -> DataFrame:

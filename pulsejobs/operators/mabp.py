@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -25,19 +25,29 @@ def position_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "pos").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sigma"), F.count("*").alias("n"))
 
 
-def trimmed_mean(rows: DataFrame, keys: list[str], width: float = WIDTH) -> DataFrame:
+def trimmed_mean(rows: DataFrame, keys: list[str], width: float = WIDTH, hot: int = 1_000_000, salts: int = 32) -> DataFrame:
     """(keys, pos, x): mean of the samples within ``width`` deviations of the mean of their position.
 
     A single cycle comes out as it is: each sample is its position's mean. A
-    position with missing samples only stays, without a value. One shuffle
-    serves the moments and the means.
+    position with missing samples only stays, without a value. Two passes of
+    sums that merge: the moments of each position, then the sums of what is
+    near. A position of more than ``hot`` samples is dealt over ``salts``
+    tasks; there is at most one such position for ``hot`` rows, so their keys
+    are broadcast.
     """
     by = [*keys, "pos"]
-    w = Window.partitionBy(*by)
-    held = rows.withColumns({"_mu": F.avg("x").over(w), "_sigma": F.stddev_pop("x").over(w)})
-    near = (F.col("x") >= F.col("_mu") - width * F.col("_sigma")) & (F.col("x") <= F.col("_mu") + width * F.col("_sigma"))
+    stats = position_stats(rows, keys).withColumnsRenamed({c: f"_k_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    large = F.broadcast(stats.where(F.col("n") > hot).select(*[f"_k_{c}" for c in by], F.lit(True).alias("_large")))
+    dealt = rows.join(large, same, "left").withColumn("_salt", F.when(F.col("_large"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")).otherwise(0)).drop("_large", *[f"_k_{c}" for c in by])
+    copied = stats.withColumn("_s", F.explode(F.when(F.col("n") > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    held = dealt.join(copied, same & (F.col("_salt") == F.col("_s")))
+    near = (F.col("x") >= F.col("mu") - width * F.col("sigma")) & (F.col("x") <= F.col("mu") + width * F.col("sigma"))
+    parts = held.groupBy(*by, "_salt").agg(*[f(x).alias(n) for n, f, x in (("_s", F.sum, F.when(near, F.col("x"))), ("_c", F.count, F.when(near, F.col("x"))), ("_all", F.sum, F.col("x")), ("_n", F.count, F.col("x")))])
     # equal samples may all miss their mean by rounding
-    return held.groupBy(*by).agg(F.coalesce(F.avg(F.when(near, F.col("x"))), F.avg("x")).alias("x"))
+    return parts.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum("_s"), F.sum("_c")), F.try_divide(F.sum("_all"), F.sum("_n"))).alias("x"))
 
 
 def mean_cycles(trimmed: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,12 +7,11 @@ from itertools import product
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .metrics import summary
-from .scaling import from_range, min_max_by_run, to_range
-from .splits import rotations
+from .scaling import from_range, min_max, run_extremes, to_range
 
 ESTIMATORS = {"gbt": GBTRegressor, "rf": RandomForestRegressor}
 
@@ -24,37 +23,51 @@ def pipeline(kind: str, features: list[str], **params) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), ESTIMATORS[kind](featuresCol="_x", labelCol="_y", predictionCol="_p", **params)])
 
 
+def mode_of(run: int, k: int) -> Column:
+    """Which part a row's fold has in a rotation."""
+    return F.when(F.col("fold") == run, "ts").when(F.col("fold") == (run + 1) % k, "val").otherwise("tr")
+
+
+def scaled_for(rows: DataFrame, fit: Row, features: list[str]) -> DataFrame:
+    """Features scaled by the extremes of a rotation, which are constants here."""
+    return rows.withColumns({c: min_max(c, F.lit(fit[f"_lo_{c}"]), F.lit(fit[f"_hi_{c}"])) for c in features})
+
+
 def cross_validated(folded: DataFrame, k: int, target: str, features: list[str], kind: str = "gbt", first_only: bool = False, save_to: str | None = None, **params) -> DataFrame:
     """Long prediction table (fold, mode, target, patient, trial, pred, label, naive).
 
     Each rotation scales the features by its train rows, fits on these, and
     predicts train, validation and test rows. Labels are fitted in their fixed
     range and turned back. ``save_to`` keeps the model of each rotation.
+    Extremes and label sums come once by fold (k rows); a fit reads the rows of
+    its train folds only, which a table partitioned by fold finds by folder.
     """
+    fits = {r["run"]: r for r in run_extremes(folded, k, features, first_only).collect()}
+    sums = folded.groupBy("fold").agg(F.sum(target).alias("s"), F.count(target).alias("n")).collect()
     out = None
-    # a tree compares feature values only, so one scaling of all rotations serves all fits
-    scaled = min_max_by_run(rotations(folded, k, first_only), features).withColumn("_y", to_range(F.col(target), target))
     for run in range(1 if first_only else k):
-        rows = scaled.where(F.col("run") == run)
-        train = rows.where("mode = 'tr'")
-        held = train.select("_y", *features).persist()  # a fit reads its rows many times
+        if run not in fits:  # no train rows
+            continue
+        rows = scaled_for(folded, fits[run], features).withColumns({"_y": to_range(F.col(target), target), "mode": mode_of(run, k)})
+        held = rows.where(~F.col("fold").isin(run, (run + 1) % k)).select("_y", *features).persist()  # a fit reads its rows many times
         model = pipeline(kind, features, **params).fit(held)
         held.unpersist()
         if save_to:
             model.write().overwrite().save(f"{save_to}/fold={run}")
-        naive = train.agg(F.avg(target).alias("naive"))
-        found = model.transform(rows).crossJoin(F.broadcast(naive)).select(F.col("run").alias("fold"), "mode", F.lit(target).alias("target"), "patient", "trial", from_range(F.col("_p"), target).alias("pred"), F.col(target).alias("label"), "naive")
+        train = [r for r in sums if r["fold"] not in (run, (run + 1) % k)]
+        naive = sum(r["s"] or 0.0 for r in train) / max(1, sum(r["n"] for r in train))
+        found = model.transform(rows).select(F.lit(run).alias("fold"), "mode", F.lit(target).alias("target"), "patient", "trial", from_range(F.col("_p"), target).alias("pred"), F.col(target).alias("label"), F.lit(naive).alias("naive"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def score_stored(folded: DataFrame, k: int, target: str, features: list[str], saved: str) -> DataFrame:
     """Each fold predicted by the stored model that did not see it."""
+    fits = {r["run"]: r for r in run_extremes(folded, k, features).collect()}
     out = None
-    scaled = min_max_by_run(rotations(folded, k), features)
-    for run in range(k):
-        rows = scaled.where((F.col("run") == run) & (F.col("mode") == "ts"))
-        found = PipelineModel.load(f"{saved}/fold={run}").transform(rows).select(F.col("run").alias("fold"), "patient", "trial", from_range(F.col("_p"), target).alias("pred"), F.col(target).alias("label"))
+    for run in sorted(fits):
+        rows = scaled_for(folded.where(F.col("fold") == run), fits[run], features)
+        found = PipelineModel.load(f"{saved}/fold={run}").transform(rows).select(F.lit(run).alias("fold"), "patient", "trial", from_range(F.col("_p"), target).alias("pred"), F.col(target).alias("label"))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -6,22 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .splits import rotations
 
 #: Fixed ranges of label scales.
 RANGES = {"SP": (80.0, 200.0), "DP": (50.0, 110.0), "ptt": (100.0, 900.0)}
 
 
-def min_max_by_run(rotated: DataFrame, features: list[str]) -> DataFrame:
-    """Features scaled by the train rows of their rotation: (x - min) / (max - min), x - min if constant.
+def fold_extremes(folded: DataFrame, features: list[str]) -> DataFrame:
+    """One row a fold: lowest and highest value of each feature; missing values do not count. One pass with partial results."""
+    return folded.groupBy("fold").agg(*[f(F.when(~F.isnan(c), F.col(c))).alias(f"_{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
 
-    One pass of partial minima and maxima; a run has one row, which is broadcast.
-    Missing values do not count and stay missing.
+
+def run_extremes(folded: DataFrame, k: int, features: list[str], first_only: bool = False) -> DataFrame:
+    """One row a rotation: the extremes of its train rows, put together from those of the folds, so no row is read or copied once for each rotation."""
+    train = rotations(fold_extremes(folded, features), k, first_only).where("mode = 'tr'").groupBy("run")
+    return train.agg(*[f(f"_{n}_{c}").alias(f"_{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
+
+
+def min_max(c: str, lo: Column, hi: Column) -> Column:
+    """(x - lo) / (hi - lo), x - lo if constant."""
+    return (F.col(c) - lo) / F.when(hi - lo == 0, 1.0).otherwise(hi - lo)
+
+
+def scaled_rotations(folded: DataFrame, k: int, features: list[str], first_only: bool = False) -> DataFrame:
+    """The rows of all rotations (run, mode), features scaled by the train rows of their rotation; missing values stay missing.
+
+    The fits are one row a rotation, which is broadcast.
     """
-    train = rotated.where("mode = 'tr'").groupBy("run")
-    fits = train.agg(*[f(F.when(~F.isnan(c), F.col(c))).alias(f"_{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
-    out = rotated.join(F.broadcast(fits), "run")
-    span = lambda c: F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
-    out = out.withColumns({c: (F.col(c) - F.col(f"_lo_{c}")) / F.when(span(c) == 0, 1.0).otherwise(span(c)) for c in features})
+    out = rotations(folded, k, first_only).join(F.broadcast(run_extremes(folded, k, features, first_only)), "run")
+    out = out.withColumns({c: min_max(c, F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c in features})
     return out.drop(*[f"_{n}_{c}" for c in features for n in ("lo", "hi")])
 
 

@@ -89,10 +89,14 @@ def scaled(a: str | Column, factor: float) -> Column:
     return F.transform(A.col(a), lambda x: x * factor)
 
 
-def in_listed_order(records: DataFrame, names: DataFrame, name: str) -> DataFrame:
-    """Records that are named in a one-line list, in the order of the list (``names`` has one string column)."""
-    listed = names.select(F.posexplode(F.split(names.columns[0], ",")).alias("pos", "listed")).select("pos", F.trim("listed").alias("listed"))
-    return records.join(listed, F.col(name) == F.col("listed")).orderBy("pos").drop("listed")
+def in_listed_order(records: DataFrame, listed: DataFrame, name: str) -> DataFrame:
+    """Records that are named in a list, with the places that they have there.
+
+    ``listed`` has a row for each name: pos, name. The rows come in no order of
+    their own; ``pos`` orders them, also where a table is written sorted.
+    """
+    held = listed.select("pos", F.trim("name").alias("_listed"))
+    return records.join(held, F.col(name) == F.col("_listed")).drop("_listed")
 
 
 @lru_cache(512)

@@ -94,6 +94,11 @@ def tab_line_samples(spark: SparkSession, glob: str) -> DataFrame:
     return rows.select(F.split_part("trial", F.lit("_"), F.lit(1)).try_cast("int").alias("patient"), "trial", "channel", "idx", "x", "len")
 
 
+def read_listed_names(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, name) of a file of one line of names with commas between them, read in splits at the commas."""
+    return placed_pieces(spark, path, separator=",").select(F.col("piece").alias("pos"), F.trim(F.regexp_replace("value", r"[\r\n]+$", "")).alias("name"))
+
+
 def read_demographics(spark: SparkSession, path: str, names: dict[str, str], title_rows: int = 0, dropped: tuple[str, ...] = ()) -> DataFrame:
     """A small CSV of subjects; title rows above the header are skipped, columns dropped and renamed."""
     if not title_rows:
