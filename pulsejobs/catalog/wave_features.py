@@ -132,15 +132,68 @@ def fea17(spark, sf_dir):
     return adapters.wide_windows(spark, sf_dir).select("trial", *[r6(found[k]).alias(k) for k in ("S1", "S2", "S3", "S4", "AUCsys", "AUCdia", "S1_norm", "AUCdia_norm")])
 
 
-@query("fea18_acceleration", f"""WITH {WIDE}, v AS (SELECT trial, i, x, lead(x) OVER o - x AS v, lead(x, 2) OVER o - 2 * lead(x) OVER o + x AS q FROM e WINDOW o AS (PARTITION BY trial ORDER BY i)),
-g AS (SELECT trial, {', '.join(f'max(q) FILTER (WHERE i = {p}) AS q{n}, max(x) FILTER (WHERE i = {p + 2}) AS h{n}' for n, p in zip('abcde', (5, 12, 20, 28, 36), strict=True))},
-  max(v) FILTER (WHERE i = 29) AS v29, max(v) FILTER (WHERE i = 13) AS v13, sum(v * v) FILTER (WHERE i >= 16 AND i < 29) AS part, sum(v * v) AS whole FROM v GROUP BY trial)
-SELECT trial, {r6s('qb / qa')} AS ratio_apg_b, {r6s('he / ha')} AS ratio_ppg_e, {r6s('(qb - qc - qd - qe) / qa')} AS AI, {r6s('(v29 - v13) / 16')} AS bd, {r6s('(qb - qc - qd) / qa')} AS bcda, {r6s('part / whole')} AS sdoo,
-  {r6s('7 / 8.0')} AS T_b, {r6s('4 / 64.0')} AS T_peak_b_norm FROM g""")
+def _safe_sql(x, y):
+    return f"CASE WHEN ({y}) <> 0 THEN ({x})::DOUBLE / ({y}) WHEN ({x}) <> 0 THEN 0 END"
+
+
+#: Windows as lists with their first and second differences; places of the points that go from window to window.
+_LISTS = f"""WITH {WIDE}, c AS (SELECT trial, list(x ORDER BY i) AS c FROM e GROUP BY trial),
+d AS (SELECT trial, c, list_transform(range(1, 64), lambda i: c[i + 1] - c[i]) AS v FROM c),
+q AS (SELECT *, list_transform(range(1, 63), lambda i: v[i + 1] - v[i]) AS q FROM d)"""
+_SHIFTS = {"peak": (16, 7), "w": (5, 5), "y": (25, 6), "z": (33, 9), "a": (4, 4), "b": (9, 6), "c": (19, 3), "d": (27, 8), "e": (36, 5)}
+
+
+def _place(n):
+    return F.lit(_SHIFTS[n][0]) + (F.col("trial") % _SHIFTS[n][1]).cast("int")
+
+
+_PLACES = ", ".join(f"{k} + trial % {m} AS {n}" for n, (k, m) in _SHIFTS.items())
+
+
+def _duration_columns():
+    times = {"Ts": "peak", "Td": "64 - peak", "Tsteepest": "w", "TNegSteepest": "y", "TdiaRise": "z", "TSystoDiaRise": "z - peak", "TdiaToEnd": "64 - z"}
+    out = {"Tc": "64 / 125.0"} | {k: f"({x}) / 125.0" for k, x in times.items()} | {f"{k}_norm": f"({x}) / 64.0" for k, x in times.items()}
+    return out | {"Steepest": "v[w + 1]", "NegSteepest": "v[y + 1]", "DiaRise": "c[z + 1]", "SteepDiaRise": "v[z + 1]", "Ratio": _safe_sql("c[peak + 1]", "c[z + 1]")}
+
+
+@query("fea15_durations", f"{_LISTS}, p AS (SELECT *, {_PLACES} FROM q) SELECT trial, {', '.join(f'{r6s(x)} AS {n}' for n, x in _duration_columns().items())} FROM p")
+def fea15(spark, sf_dir):
+    """Durations, slopes and ratio of a cycle, all twenty of them, with points that go from window to window."""
+    p = F.struct(*[_place(n).alias(n) for n in "wyz"])
+    found = features.durations(F.col("signal"), _place("peak"), p, 125.0)
+    return adapters.wide_windows(spark, sf_dir).select("trial", *[r6(found[k].cast("double")).alias(k) for k in _duration_columns()])
+
+
+def _acceleration_columns():
+    out = {}
+    before = dict(zip("bcde", "abcd", strict=True))
+    for k in "abcde":
+        step, to_peak = f"{k} - {before[k]}" if k in before else "a", f"peak - {k}" if k in "ab" else f"{k} - peak"
+        out |= {f"apg_{k}": f"q[{k} + 1]", f"ppg_{k}": f"c[{k} + 3]", f"T_{k}": f"({step}) / 125.0", f"T_{k}_norm": f"({step}) / 64.0", f"T_peak_{k}": f"({to_peak}) / 125.0", f"T_peak_{k}_norm": f"({to_peak}) / 64.0"}
+        if k != "a":
+            out |= {f"ratio_apg_{k}": _safe_sql(f"q[{k} + 1]", "q[a + 1]"), f"ratio_ppg_{k}": _safe_sql(f"c[{k} + 3]", "c[a + 3]")}
+    squares = "list_sum(list_transform({}, lambda x: x * x))"
+    return out | {
+        "AI": _safe_sql("q[b + 1] - q[c_ + 1] - q[d + 1] - q[e + 1]", "q[a + 1]"),
+        "bd": _safe_sql("v[d + 2] - v[b + 2]", "d - b"),
+        "bcda": _safe_sql("q[b + 1] - q[c_ + 1] - q[d + 1]", "q[a + 1]"),
+        "sdoo": _safe_sql(squares.format("v[peak + 1 : d + 1]"), squares.format("v")),
+    }
+
+
+def _acceleration_sql():
+    # the point c is c_ here: c is the list of the samples
+    point = lambda x: x.replace("q[c + 1]", "q[c_ + 1]").replace("c[c + 3]", "c[c_ + 3]").replace("(c - ", "(c_ - ").replace("- c)", "- c_)")
+    places = _PLACES.replace(" AS c,", " AS c_,")
+    return f"{_LISTS}, p AS (SELECT *, {places} FROM q) SELECT trial, {', '.join(f'{r6s(point(x))} AS {n}' for n, x in _acceleration_columns().items())} FROM p"
+
+
+@query("fea18_acceleration", _acceleration_sql())
 def fea18(spark, sf_dir):
-    p = F.struct(*[F.lit(x).alias(n) for n, x in zip("abcde", (5, 12, 20, 28, 36), strict=True)])
-    found = features.acceleration_features(F.col("signal"), F.lit(16), p, 8.0)
-    return adapters.wide_windows(spark, sf_dir).select("trial", *[r6(found[k]).alias(k) for k in ("ratio_apg_b", "ratio_ppg_e", "AI", "bd", "bcda", "sdoo", "T_b", "T_peak_b_norm")])
+    """All forty-two features of the points a to e, with points that go from window to window."""
+    p = F.struct(*[_place(n).alias(n) for n in "abcde"])
+    found = features.acceleration_features(F.col("signal"), _place("peak"), p, 125.0)
+    return adapters.wide_windows(spark, sf_dir).select("trial", *[r6(found[k].cast("double")).alias(k) for k in _acceleration_columns()])
 
 
 _CY = """c AS (SELECT l_suppkey AS win, date_trunc('month', l_shipdate)::TIMESTAMP AS cyc, l_quantity AS x,
