@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..operators import dedupe, joins, segment
 from ..operators.ranking import with_place
 from ..operators.segment import WindowSpec
+from ..plans import segmenting
 from ..sources import adapters
 from . import SAMPLES, WIDE, long_form, query, r6, r6s
 
@@ -112,6 +114,27 @@ def seg11_exact(spark, sf_dir):
     return long_form(out.withColumn("shift", F.col("shift").cast("long")), ["patient", "shift"], ["signal", "abp_signal"])
 
 
+#: Records as seg8 cuts them: without their last 10 samples and one second at both ends, pressure times 100.
+_TRIMMED = SAMPLES.replace("s AS (", "s0 AS (", 1).replace("len AS (SELECT patient, count(*) AS len FROM s GROUP BY patient)", """len0 AS (SELECT patient, count(*) AS len FROM s0 GROUP BY patient),
+s AS (SELECT patient, idx - 8 AS idx, ppg, abp * 100 AS abp FROM s0 JOIN len0 USING (patient) WHERE idx >= 8 AND idx < len - 10 - 8),
+len AS (SELECT patient, count(*) AS len FROM s GROUP BY patient)""")
+_BED = f"""{_align_sql("literal").replace(SAMPLES, _TRIMMED).replace("SELECT b.patient AS patient, shift, a.idx AS i", "SELECT b.patient AS patient, keep, a.idx AS i")}""".replace("FROM best JOIN z USING (patient))\nSELECT", "FROM best JOIN z USING (patient)),\nal AS (SELECT") + """),
+wi AS (SELECT patient, i // 20 AS j, list(signal ORDER BY i) AS ppg, list(abp_signal ORDER BY i) AS abp FROM al WHERE i // 20 < keep // 20 AND i % 20 < 16 GROUP BY ALL),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY ppg ORDER BY patient, j) AS r1 FROM wi),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY abp ORDER BY patient, j) AS r2 FROM d1 WHERE r1 = 1)
+SELECT patient, patient || '_' || j AS trial, n_name AS nation, """ + f"{r6s('list_sum(ppg)')} AS ppg_sum, {r6s('list_sum(abp)')} AS abp_sum, {r6s('ppg[1]')} AS first FROM d2 JOIN customer ON c_custkey = patient JOIN nation ON n_nationkey = c_nationkey WHERE r2 = 1"
+
+
+@query("seg8_long_records", _BED)
+def seg8(spark, sf_dir):
+    """A whole collection of long recordings to windows with a gap, with what is known of the subjects."""
+    people = adapters.read(spark, sf_dir, "customer").join(adapters.read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    people = people.select(F.col("c_custkey").alias("patient"), F.col("n_name").alias("nation"))
+    records = joins.with_subjects(adapters.records(spark, sf_dir), people)
+    out = segmenting.long_records(records, 8, win_sec=2, wait_sec=2.5, dropped=10, edge_sec=1)
+    return out.select("patient", "trial", "nation", r6(A.total("signal")).alias("ppg_sum"), r6(A.total("abp_signal")).alias("abp_sum"), r6(A.at("signal", 0)).alias("first"))
+
+
 def _ledger(spark, sf_dir):
     """Short windows with many exact repeats: measures of line items."""
     return adapters.read(spark, sf_dir, "lineitem").select(

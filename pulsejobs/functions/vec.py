@@ -266,9 +266,30 @@ def spectrum(a: pd.Series) -> pd.Series:
     return by_length(a, kernel)
 
 
+def fourier_resampled(x: np.ndarray, m: int) -> np.ndarray:
+    """Stacked rows at length m by their Fourier coefficients. Low bins stay; the middle bin of an even shorter side is shared or merged."""
+    n = x.shape[1]
+    k = min(n, m)
+    bins = np.fft.rfft(x, axis=1)
+    out = np.zeros((len(x), m // 2 + 1), complex)
+    out[:, : k // 2 + 1] = bins[:, : k // 2 + 1]
+    if k % 2 == 0:
+        out[:, k // 2] *= 2.0 if m < n else 0.5 if m > n else 1.0
+    return np.fft.irfft(out, m, axis=1) * (m / n)
+
+
 @kernel_udf(T.ArrayType(DOUBLES))
 def resample_each(cycles: pd.Series, m: pd.Series) -> pd.Series:
-    """Each cycle of a list at length m, by its Fourier coefficients."""
-    from ..operators.segment import resample_matrix
-
-    return pd.Series([None if cs is None else [resample_matrix(len(c), int(k)) @ np.asarray(c, float) for c in cs if len(c)] for cs, k in zip(cycles, m, strict=True)])
+    """Each cycle of a list at length m, by its Fourier coefficients; the cycles of a batch are stacked by length. Empty cycles go."""
+    out: list = [None] * len(cycles)
+    stacks: dict[tuple[int, int], list[tuple[int, int, object]]] = {}
+    for row, (cs, k) in enumerate(zip(cycles, m, strict=True)):
+        if cs is not None:
+            held = [c for c in cs if len(c)]
+            out[row] = [None] * len(held)
+            for place, c in enumerate(held):
+                stacks.setdefault((len(c), int(k)), []).append((row, place, c))
+    for (_, k), members in stacks.items():
+        for (row, place, _), made in zip(members, fourier_resampled(np.stack([np.asarray(c, float) for *_, c in members]), k), strict=True):
+            out[row][place] = made
+    return pd.Series(out)

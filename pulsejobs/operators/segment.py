@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.vec import align_shift, block_lag_sums, linear_map
+from ..functions.vec import align_shift, block_lag_sums, fourier_resampled, linear_map, resample_each
 
 
 @dataclass(frozen=True)
@@ -99,16 +98,15 @@ def in_listed_order(records: DataFrame, listed: DataFrame, name: str) -> DataFra
     return records.join(held, F.col(name) == F.col("_listed")).drop("_listed")
 
 
-@lru_cache(512)
 def resample_matrix(n: int, m: int) -> np.ndarray:
-    """(m, n): Fourier resampling as a linear map. Low bins stay; the middle bin of an even shorter side is shared or merged."""
-    spectrum = np.fft.rfft(np.eye(n), axis=0)
-    k = min(n, m)
-    out = np.zeros((m // 2 + 1, n), complex)
-    out[: k // 2 + 1] = spectrum[: k // 2 + 1]
-    if k % 2 == 0:
-        out[k // 2] *= 2.0 if m < n else 0.5 if m > n else 1.0
-    return np.fft.irfft(out, m, axis=0) * (m / n)
+    """(m, n): Fourier resampling as a linear map."""
+    return fourier_resampled(np.eye(n), m).T
+
+
+def at_rate(c: str, old: float, new: float) -> Column:
+    """A recording of n samples at another rate: round(n / old * new) samples, halves to even, by its Fourier coefficients; null for null, empty for empty."""
+    n = F.bround(F.size(c) / F.lit(float(old)) * F.lit(float(new))).cast("int")
+    return F.when(F.size(c) > 0, F.get(resample_each(F.array(F.coalesce(F.col(c), F.array(F.lit(0.0)))), F.greatest(n, F.lit(1))), F.lit(0))).otherwise(F.col(c))
 
 
 def resampled(df: DataFrame, c: str, n: int, m: int) -> DataFrame:
