@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import flat, slices, table, text_crc
+from .shared import flat, slices, stage, table, text_crc
 
 #: Bytes of a window, and how many of them two neighbouring windows share (the widest filter less one).
 WINDOW = 256
@@ -152,15 +152,18 @@ def train(docs: DataFrame, n_docs: int = FIT_DOCS, n_windows: int = FIT_WINDOWS)
     """
     hash_ = F.xxhash64("doc_id", "text", F.lit("lang"))
     able = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", hash_.alias("h"))
-    slim = able.select("lang", "h", F.greatest(F.lit(1), F.ceil((F.octet_length("text") - OVERLAP) / (WINDOW - OVERLAP))).cast("long").alias("n"))
+    size = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - OVERLAP) / (WINDOW - OVERLAP))).cast("long")
+    # equal rows are one from here on, so a language of repeats has as many candidates as it has different rows
+    slim = stage(able.select("lang", "h", size.alias("n")).groupBy("lang", "h").agg(F.max("n").alias("n")), "labelled")
     counts = slim.groupBy("lang").agg(F.count("*").alias("rows"))
     names = sorted(r.lang for r in counts.collect())
     if not names:
         return ByteCnn.fresh([UNKNOWN])
     # about four times as many as needed of each language, so that no task ranks a whole language
-    near = slim.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(2**30)) / 2.0**30 < F.least(F.lit(1.0), F.lit(4.0 * n_docs) / F.col("rows")))
+    few = F.col("rows") <= 16 * n_docs  # so few are all ranked
+    near = slim.join(F.broadcast(counts), "lang").where(few | (F.pmod("h", F.lit(2**30)) / 2.0**30 < F.lit(4.0 * n_docs) / F.col("rows")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(2**30)), "h"))
-    ranked = near.groupBy("lang", "h").agg(F.max("n").alias("n")).withColumn("place", place).where(F.col("place") <= n_docs).collect()
+    ranked = near.withColumn("place", place).where(F.col("place") <= n_docs).collect()
     left, taken = dict.fromkeys(names, n_windows), []
     smallest = {r.lang: (r.lang, r.h) for r in sorted(ranked, key=lambda r: (-r.n, -r.place))}
     for r in sorted(ranked, key=lambda r: (r.lang, r.place)):
