@@ -219,25 +219,28 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     give equal rows. An older ``found`` is replaced, other columns stay. A
     value of the result must not be used to guess the key: keep it secret.
     """
+    mark = "_pii"
+    while any(c.startswith(mark) for c in docs.columns):  # no column of the input is touched
+        mark += "_"
     text = F.col(column)
     some = F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(VALUE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("_values", F.coalesce(some, F.array().cast("array<string>"))).withColumn("_made", F.transform("_values", lambda v: pseudonym(v, key)))
+    rows = docs.withColumn(f"{mark}_values", F.coalesce(some, F.array().cast("array<string>"))).withColumn(f"{mark}_made", F.transform(f"{mark}_values", lambda v: pseudonym(v, key)))
     # the text before a match goes to its first item
     led = F.zip_with(
         F.split(text, VALUE, -1),
-        F.col("_made"),
+        F.col(f"{mark}_made"),
         lambda p, m: F.transform(F.coalesce(m, F.array(_rest(F.lit("")))), lambda x, i: _item(F.when(i == 0, F.concat(p, x["pre"])).otherwise(x["pre"]), x["kind"], x["old"], x["new"])),
     )
-    rows = rows.withColumn("_items", F.when(F.size("_values") > 0, F.flatten(led)).otherwise(F.array().cast(f"array<{ITEM}>")))
-    rows = rows.withColumn("_mixed", F.transform("_items", lambda m: F.concat(m["pre"], F.coalesce(m["new"], m["old"]))))
+    rows = rows.withColumn(f"{mark}_items", F.when(F.size(f"{mark}_values") > 0, F.flatten(led)).otherwise(F.array().cast(f"array<{ITEM}>")))
+    rows = rows.withColumn(f"{mark}_mixed", F.transform(f"{mark}_items", lambda m: F.concat(m["pre"], F.coalesce(m["new"], m["old"]))))
     start = F.transform(
-        "_items",
-        lambda m, i: F.when(m["new"].isNotNull(), F.struct(m["kind"].alias("kind"), F.aggregate(F.slice("_mixed", F.lit(1), i + 1), F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s)).alias("end"), m["new"].alias("value"))),
+        f"{mark}_items",
+        lambda m, i: F.when(m["new"].isNotNull(), F.struct(m["kind"].alias("kind"), F.aggregate(F.slice(f"{mark}_mixed", F.lit(1), i + 1), F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s)).alias("end"), m["new"].alias("value"))),
     )
     found = F.transform(F.filter(start, lambda m: m.isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), (m["end"] - F.octet_length(m["value"])).alias("start"), m["value"].alias("value")))
-    some = F.size("_values") > 0
+    some = F.size(f"{mark}_values") > 0
     none = F.array().cast("array<struct<kind:string,start:bigint,value:string>>")
-    return rows.withColumns({"found": F.when(some, found).otherwise(none), column: F.when(some, F.array_join("_mixed", "")).otherwise(text)}).drop("_values", "_made", "_items", "_mixed")
+    return rows.withColumns({"found": F.when(some, found).otherwise(none), column: F.when(some, F.array_join(f"{mark}_mixed", "")).otherwise(text)}).drop(f"{mark}_values", f"{mark}_made", f"{mark}_items", f"{mark}_mixed")
 
 
 #: A fixed key, so that the query gives the same rows in each run; a real job takes its own from a secret store.
