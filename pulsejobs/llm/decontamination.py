@@ -3,8 +3,11 @@
 The automaton holds, for every item, seeds of five words at every ninth word:
 any 13 words that follow one another have a whole seed among them. Words are
 spelt with two letters of 6 bits of their hash, so the automaton has about one
-node for each word of the items. A text is scanned once; where a seed is found,
-the words to its left and right are compared with the item's own.
+node for each word of the items. A text is scanned once; the windows around a
+found seed are looked up among the distinct windows of the items, by one hash
+each, and then compared word by word. The words that are hit are marked before
+items are looked at, so a text costs what its words are, however many items
+share a passage.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import flat, slices, span_hashes, spans, stage, table
+from .shared import flat, mix, slices, span_hashes, spans, stage, table
 
 WINDOW, SEED = 13, 5
 #: Bytes of item texts for one automaton (README gives its size); more items are scanned in further passes of as many bytes each.
@@ -39,11 +42,21 @@ def normal_words(text: bytes) -> list[bytes]:
 
 
 class Items:
-    """The words of all items end to end, and the automaton over their seeds."""
+    """The distinct windows of all items, each with the items that have it, and the automaton over their seeds.
+
+    Items of the same words are one text with several ids, and equal windows
+    of different items are one window; what a text is compared with
+    is windows, so many items with a common passage cost no more than one.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], length: int = WINDOW):
-        self.ids = [i for i, _ in items]
-        texts = [b" ".join(normal_words(t)) for _, t in items]
+        self.length = length
+        same: dict[bytes, list[str]] = {}
+        for name, text in items:
+            same.setdefault(b" ".join(normal_words(text)), []).append(name)
+        same.pop(b"", None)
+        self.ids = list(same.values())
+        texts = list(same)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
         parts, k = [], 0
@@ -54,60 +67,121 @@ class Items:
             parts.append((starts + offsets[k], ends + offsets[k], np.diff(at), span_hashes(data, starts, ends)))
             k = to
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        self.starts, self.ends, words, self.hashes = (np.concatenate(x) for x in zip(*(parts or [none]), strict=True))
-        self.first = np.append(0, np.cumsum(words))
-        sizes = np.diff(self.first)
-        self.need = np.minimum(length, sizes)  # words of a window of the item
-        seed = np.minimum(min(SEED, length), sizes)
-        stride = length - min(SEED, length) + 1
-        count = np.where(sizes == 0, 0, np.where(sizes <= length, 1, (sizes - seed) // stride + 1))
-        self.item = np.repeat(np.arange(len(sizes)), count)
-        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        self.at = self.first[self.item] + step * stride
-        self.size = seed[self.item]
-        # seeds of the same words are one key
-        letters = spelt(self.hashes)
-        value = _seed_values(self.hashes, self.at, self.size)
+        self.starts, self.ends, words, hashes = (np.concatenate(x) for x in zip(*(parts or [none]), strict=True))
+        first = np.append(0, np.cumsum(words)).astype(np.int64)
+        self._windows(hashes, first, words)
+        self._seeds(hashes, first, words)
+
+    def _windows(self, hashes: np.ndarray, first: np.ndarray, words: np.ndarray) -> None:
+        size = np.minimum(self.length, words)
+        count = words - size + 1
+        text = np.repeat(np.arange(len(words)), count)
+        at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + first[text]
+        value = rolled(prefixes(hashes), at, size[text])
         order = np.argsort(value, kind="stable")
-        self.item, self.at, self.size = self.item[order], self.at[order], self.size[order]
-        new = np.flatnonzero(np.append(True, value[order][1:] != value[order][:-1])[: len(order)])
-        self.group = np.append(new, len(order))
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        held: dict[str, list[int]] = {}  # keys that are spelt alike though their words differ
-        for g, k in enumerate(new.tolist()):
-            key = letters[self.at[k] : self.at[k] + self.size[k]].tobytes().decode("latin-1")
-            if key in self.found:
-                held.setdefault(key, [self.found.get(key)]).append(g)
+        value = value[order]
+        new = np.append(True, value[1:] != value[:-1])[: len(order)]
+        #: by distinct window: its hash, first word in the items, number of words, and where its texts begin in ``texts``
+        self.value, self.at, self.size = value[new], at[order][new], size[text[order]][new]
+        self.group = np.append(np.flatnonzero(new), len(order))
+        self.texts = text[order].astype(np.int32)
+
+    def _seeds(self, hashes: np.ndarray, first: np.ndarray, words: np.ndarray) -> None:
+        seed = min(SEED, self.length)
+        self.stride = self.length - seed + 1
+        letters = spelt(hashes)
+        found: dict[str, int] = {}  # a seed, as it is spelt, and the lengths of windows (a bit each) that it stands for
+        for begin, n in zip(first[:-1].tolist(), words.tolist(), strict=True):
+            if n <= self.length:
+                key = letters[begin : begin + min(seed, n)].tobytes().decode("latin-1")
+                found[key] = found.get(key, 0) | 1 << n
             else:
-                self.found.add_word(key, g)
-        self.alike = {v[0]: v for v in held.values()}
-        if len(self.found):
-            self.found.make_automaton()
-
-    def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, word after the last, item) of the word runs of a batch of texts that hold a window of an item."""
-        none = (np.zeros(0, np.int64),) * 3
-        if not len(self.found) or not len(starts):
-            return none
+                for k in range(begin, begin + n - seed + 1, self.stride):
+                    key = letters[k : k + seed].tobytes().decode("latin-1")
+                    found[key] = found.get(key, 0) | 1 << (self.length + 1)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for key, lengths in found.items():
+            self.automaton.add_word(key, (lengths, len(key) // 2))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def windows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, number of the window) of all places in a batch of texts that hold a window of an item."""
+        none = np.zeros(0, np.int64)
+        if not len(self.automaton) or not len(starts):
+            return none, none
         hashes = span_hashes(data, starts, ends)
-        hits = [(end // 2 + 1, g) for end, v in self.found.iter(spelt(hashes).tobytes().decode("latin-1")) for g in self.alike.get(v, (v,))]
+        hits = [(end // 2 + 1 - size, lengths) for end, (lengths, size) in self.automaton.iter(spelt(hashes).tobytes().decode("latin-1"))]
         if not hits:
-            return none
-        end, g = np.array(hits, np.int64).T
-        count = self.group[g + 1] - self.group[g]
-        k = np.repeat(self.group[g], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        end, size, place, item = np.repeat(end, count), self.size[k], self.at[k], self.item[k]
-        begin = end - size
-        text = np.searchsorted(at, begin, "right") - 1
-        keep = (end <= at[text + 1]) & (_seed_values(hashes, begin, size) == _seed_values(self.hashes, place, size))
-        begin, end, place, item, size, text = (x[keep] for x in (begin, end, place, item, size, text))
-        left = _alike(hashes, begin - 1, at[text], self.hashes, place - 1, self.first[item], -1)
-        right = _alike(hashes, end, at[text + 1] - 1, self.hashes, place + size, self.first[item + 1] - 1, 1)
-        keep = left + size + right >= self.need[item]
-        begin, end, item, place = (begin - left)[keep], (end + right)[keep], item[keep], (place - left)[keep]
-        # equal hashes so far: now the words themselves
-        same = np.array([normal_words(data[starts[a] : ends[b - 1]].tobytes()) == self.data[self.starts[p] : self.ends[p + b - a - 1]].tobytes().split() for a, b, p in zip(begin, end, place, strict=True)], bool)
-        return begin[same], end[same], item[same]
+            return none, none
+        begin, lengths = np.array(hits, np.int64).T
+        sums = prefixes(hashes)
+        places, numbers = [], []
+        for n in range(1, self.length + 2):
+            chosen = begin[lengths >> n & 1 == 1]
+            if not len(chosen):
+                continue
+            if n > self.length:  # a seed of a longer item: every window around it
+                edges = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(edges, np.maximum(chosen - self.stride + 1, 0), 1)
+                np.add.at(edges, chosen + 1, -1)
+                place, size = np.flatnonzero(np.cumsum(edges[:-1]) > 0), self.length
+            else:
+                place, size = np.unique(chosen), n
+            place = place[place + size <= at[np.searchsorted(at, place, "right").clip(max=len(at) - 1)]]
+            value = rolled(sums, place, np.full(len(place), size))
+            number = np.minimum(np.searchsorted(self.value, value), len(self.value) - 1)
+            keep = (self.value[number] == value) & (self.size[number] == size)
+            place, number = place[keep], number[keep]
+            # equal hashes so far: now the words themselves
+            same = self._same(data, starts, ends, place, number, size)
+            places.append(place[same])
+            numbers.append(number[same])
+        return np.concatenate([none, *places]), np.concatenate([none, *numbers])
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray, number: np.ndarray, size: int) -> np.ndarray:
+        """Whether the ``size`` words from each place of the texts on are those of a window."""
+        out = np.zeros(len(place), bool)
+        for k in range(0, len(place), 20_000):
+            word = (place[k : k + 20_000, None] + np.arange(size)).ravel()
+            own = (self.at[number[k : k + 20_000], None] + np.arange(size)).ravel()
+            n = ends[word] - starts[word]
+            equal = n == self.ends[own] - self.starts[own]
+            n = np.where(equal, n, 0)
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            letters = _NORMAL[data[np.repeat(starts[word], n) + inside]] == self.data[np.repeat(self.starts[own], n) + inside]
+            wrong = np.bincount(np.repeat(np.arange(len(word)), n), ~letters, len(word)) > 0
+            out[k : k + 20_000] = (equal & ~wrong).reshape(-1, size).all(axis=1)
+        return out
+
+    def items_in(self, text: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """(text, item text) pairs in rising order for the windows that were found in texts; an item text stands for ``ids[item text]``.
+
+        A window counts once in a text, however often it occurs there.
+        """
+        text, number = np.unique(np.stack([text, number]), axis=1)
+        count = self.group[number + 1] - self.group[number]
+        k = np.repeat(self.group[number], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        return np.unique(np.stack([np.repeat(text, count), self.texts[k]]), axis=1)
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def prefixes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the word hashes times powers of an odd factor, up to each word, and the powers of its inverse."""
+    n = len(hashes) + 1
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _FACTOR)]).astype(np.uint64))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(pow(int(_FACTOR), -1, 2**64)))]).astype(np.uint64))
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(hashes * power[:-1], out=sums[1:])
+    return sums, back
+
+
+def rolled(sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One hash for the ``size`` words from ``at`` on."""
+    total, back = sums
+    return mix((total[at + size] - total[at]) * back[at] + size.astype(np.uint64))
 
 
 def spelt(hashes: np.ndarray) -> np.ndarray:
@@ -115,29 +189,6 @@ def spelt(hashes: np.ndarray) -> np.ndarray:
     return np.stack([64 + (hashes & np.uint64(63)), hashes >> np.uint64(6) & np.uint64(63)], axis=1).astype(np.uint8)
 
 
-def _seed_values(hashes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """One hash for the ``size`` words from ``at`` on."""
-    out = size.astype(np.uint64)
-    for k in range(int(size.max(initial=0))):
-        out = np.where(k < size, (out ^ hashes[np.minimum(at + k, len(hashes) - 1)]) * np.uint64(0x9E3779B97F4A7C15), out)
-        out ^= out >> np.uint64(29)
-    return out
-
-
-def _alike(a: np.ndarray, i: np.ndarray, i_end: np.ndarray, b: np.ndarray, j: np.ndarray, j_end: np.ndarray, step: int, most: int = WINDOW) -> np.ndarray:
-    """How many words from a[i] and b[j] on, in steps of 1 or -1, are equal up to the ends (``most`` at most: beyond are other seeds)."""
-    out, go = np.zeros(len(i), np.int64), np.arange(len(i))
-    for k in range(most):
-        x, y = i[go] + step * k, j[go] + step * k
-        inside = (step * x <= step * i_end[go]) & (step * y <= step * j_end[go])
-        go, x, y = go[inside], x[inside], y[inside]
-        go = go[a[x] == b[y]]
-        out[go] += 1
-        if not len(go):
-            break
-    return out
-
-
 _RUN = pa.struct([("word", pa.int64()), ("until", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 _RUN_SQL = "array<struct<word:bigint,until:bigint,start:bigint,end:bigint>>"
 _built: dict[str, Items] = {}
@@ -162,12 +213,14 @@ def _scan(held, length: int, schema: list[str]):
             starts, ends, at = spans(data, offsets, _APART)
             counts = np.diff(at)
             runs, items = batch.column("matches").to_pylist(), batch.column("items").to_pylist()
-            begin, end, item = found.runs(data, starts, ends, at)
+            begin, number = found.windows(data, starts, ends, at)
             edges = np.zeros(len(starts) + 1, np.int64)
             np.add.at(edges, begin, 1)
-            np.add.at(edges, end, -1)
+            np.add.at(edges, begin + found.size[number], -1)
             hits = np.cumsum(edges[:-1]) > 0
+            # the items come in after the words are marked
             text = np.searchsorted(at, begin, "right") - 1
+            by_text = found.items_in(text, number)
             for k in np.unique(text).tolist():
                 hit = hits[at[k] : at[k + 1]].copy()
                 for r in runs[k]:
@@ -176,7 +229,8 @@ def _scan(held, length: int, schema: list[str]):
                 first, until = edge[::2], edge[1::2]
                 begins, stops = starts[at[k] + first] - offsets[k], ends[at[k] + until - 1] - offsets[k]
                 runs[k] = [dict(zip(("word", "until", "start", "end"), x, strict=True)) for x in zip(first.tolist(), until.tolist(), begins.tolist(), stops.tolist(), strict=True)]
-                items[k] = sorted({found.ids[i] for i in item[text == k].tolist()}.union(items[k]))
+                lo, hi = np.searchsorted(by_text[0], [k, k + 1])
+                items[k] = sorted({name for i in by_text[1, lo:hi].tolist() for name in found.ids[i]}.union(items[k]))
             new = {"n_words": pa.array(counts, pa.int64()), "matches": pa.array(runs, pa.list_(_RUN)), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c) if c in batch.schema.names else None) for c in schema], names=schema)
 
