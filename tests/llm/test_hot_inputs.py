@@ -6,7 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulsejobs.llm import langid
+from pulsejobs.llm import langid, mixing
 from pulsejobs.llm import pseudonyms as pii
 from pulsejobs.llm.decontamination import _APART, Items, contamination, normal_words
 from pulsejobs.llm.shared import flat, spans
@@ -92,3 +92,24 @@ def test_pseudonyms_leave_all_other_columns(spark):
             assert (r._values, r._made, r._items, r._mixed, r["_pii.x"]) == (2, 3, 4, 5, 6) and len(r.found) == 1 and r.text != "call 212-555-0100"
         else:
             assert r.text is None and r.found == []
+
+
+def test_five_thousand_sources_meet_their_targets(spark):
+    names = ["en", "en", "en", "de", "fr", "es", None]
+    rows = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot.example")).otherwise(F.concat(F.lit("site"), (F.col("id") % 5003).cast("string"))).alias("source"),
+        F.element_at(F.array(*[F.lit(x) for x in names]), (F.xxhash64("id") % 7 + 7).cast("int") % 7 + 1).alias("lang"), F.expr("repeat('word ', 3 + CAST(id % 11 AS INT) * 40)").alias("text"), F.lit(1).alias("mix_factor0"),
+    )
+    out = mixing.mix(rows, mixing.TARGETS, keep_share=0.5, bounded=True, most=2.0, steps=20).persist()
+    assert out.count() == 60_000 and out.where("mix_factor0 <> 1").count() == 0
+    expected = {r.lang: r.n for r in out.groupBy("lang").agg(F.sum(F.col("tokens") * F.col("probability")).alias("n")).collect()}
+    whole, all_tokens = sum(expected.values()), out.agg(F.sum("tokens")).first()[0]
+    assert abs(whole / all_tokens / (0.5 / 20) - round(whole / all_tokens / (0.5 / 20))) < 1e-3 and whole > 0.2 * all_tokens
+    rest = sum(r.n for r in out.where("lang IS NULL").agg(F.sum("tokens").alias("n")).collect()) / all_tokens
+    for k, x in mixing.TARGETS["lang"].items():
+        assert abs(expected[k] / whole - x * (1 - rest)) < 1e-4
+    hot = out.groupBy(F.col("source") == "hot.example").agg(F.sum(F.col("tokens") * F.col("probability")).alias("n"), F.sum("tokens").alias("all")).collect()
+    share = {r[0]: (r.n / whole, r["all"] / all_tokens) for r in hot}
+    assert share[True][0] < 0.5 * share[True][1]  # tempering takes much from a source with a third of all
+    kept = out.where("kept").agg(F.sum("tokens")).first()[0]
+    assert abs(kept - whole) < 0.05 * whole
