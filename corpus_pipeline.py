@@ -24,7 +24,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each writes its rows as Parquet, which the next one reads."""
+    """doc_id, size, text_crc32, shard and slot of the documents that all stages keep; each stage writes its rows as Parquet, which the next one reads.
+
+    Null texts have no words: the quality model scores them as one empty line,
+    they are no near-duplicates and never contaminated. Null ids are kept as
+    documents of their own, null sources and languages are categories of the
+    mixture. Of rows that repeat an id and a text one stays. Columns besides
+    those of documents are handed on up to the last stage, whatever their
+    names. Empty documents give an empty result; without labels of both kinds
+    no document is rejected for its quality, without benchmark items none is
+    contaminated.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import flat, mix, slices, span_hashes, spans, stage, table
+from .shared import flat, mix, slices, span_hashes, spans, stage, table, with_others_aside
 
 WINDOW, SEED = 13, 5
 #: Bytes of item texts for one automaton (README gives its size); more items are scanned in further passes of as many bytes each.
@@ -290,7 +290,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return with_others_aside(docs, ("doc_id", "text"), lambda d: contamination(d, items).where("NOT contaminated"))
 
 
 OP9_SQL = r"""

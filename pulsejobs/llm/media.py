@@ -150,7 +150,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_images(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (unpadded UTF-8 length) and media, the whole text as a PNG; a null text is empty."""
+    """doc_id, n_bytes (unpadded UTF-8 length) and media, the whole text as a PNG.
+
+    A null text is empty, a null id stays null, repeated rows give equal rows,
+    an empty table an empty one. Other columns are not in the result.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("payload"))
     return rows.mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, with_others_aside
 
 log = logging.getLogger(__name__)
 
@@ -108,6 +108,11 @@ def rake(table: np.ndarray | Cells, targets: list[np.ndarray], rounds: int = ROU
         for axis, target in enumerate(targets):
             sums = cells.sums(axis, cells.n * cells.product(factors))
             factors[axis] *= np.divide(target, sums, out=np.ones_like(sums), where=sums > 0)
+        for axis in range(1, len(factors)):  # scale is free to move between the dimensions: all of it is kept in the first
+            top = factors[axis].max()
+            if top > 0:
+                factors[axis] /= top
+                factors[0] = np.minimum(factors[0] * top, 1e250)
     return factors
 
 
@@ -268,7 +273,8 @@ def op1_rake_and_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a sample that meets the target shares, of nine tenths of the tokens or as many as the targets leave."""
-    return mix(docs, TARGETS, power=0.9, keep_share=0.9, bounded=True).where("kept").select(*docs.columns)
+    sample = lambda d: mix(d, TARGETS, power=0.9, keep_share=0.9, bounded=True).where("kept")
+    return with_others_aside(docs, ("doc_id", "text", "lang", "source"), sample)
 
 
 def _round_sql(d: str, of: str) -> str:

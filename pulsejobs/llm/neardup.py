@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import flat, mix, slices, span_hashes, spans, stage, table
+from .shared import flat, mix, slices, span_hashes, spans, stage, table, with_others_aside
 
 #: Words of a shingle and least similarity in hundredths, unless a caller says otherwise.
 WORDS, LEAST = 5, 80
@@ -447,6 +447,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     under one id, or without an id, are documents of their own, unless they
     are in one component.
     """
+    return with_others_aside(docs, ("doc_id", "text"), _one_of_each)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     key = F.when(F.col("text").isNotNull(), F.unhex(F.md5(F.col("text").cast("binary")))).otherwise(F.lit(b""))
     found = _linked(docs.select("doc_id", key.alias("text_key"), "text"))
     each = stage(found.groupBy("doc_id", "text_key").agg(F.min(F.coalesce("lab", "text_key")).alias("lab"), F.max("kept").alias("kept"), F.count("*").alias("rows")), "each")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import flat, slices, span_hashes, spans, table, text_crc
+from .shared import flat, slices, span_hashes, spans, table, text_crc, with_others_aside
 
 #: The fit takes at most so many labelled documents of each label, whole, and of those as many as have so many lines together.
 FIT_DOCS = 1500
@@ -281,4 +281,4 @@ def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted to be bad go."""
     field = trained_on(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, field).where("predicted = 1").select(*docs.columns)
+    return with_others_aside(docs, ("doc_id", "text"), lambda d: score_quality(d, field).where("predicted = 1"))

@@ -90,6 +90,16 @@ def widened(df: DataFrame, run: Callable, column: str, new: str, kind: str) -> D
     return plain.mapInArrow(run(place[column]), f"{schema}, made {kind}").toDF(*kept, new)
 
 
+def with_others_aside(docs: DataFrame, needed: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``step`` leaves of ``docs``, with their columns as they are.
+
+    Columns other than the needed ones have numbered names inside the step, so
+    none is taken for one of its results.
+    """
+    names = [c if c in needed else f"aside{i}" for i, c in enumerate(docs.columns)]
+    return step(docs.toDF(*names)).select(*names).toDF(*docs.columns)
+
+
 # ---------------------------------------------------------------- word hashes
 
 _rng = np.random.default_rng(20240611)
