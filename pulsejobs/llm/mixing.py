@@ -26,6 +26,8 @@ MAX_LITERAL, MAX_BROADCAST = 200, 200_000
 #: How often as common as in the corpus a category without a target of its own may become (about: shares are normalised after it).
 MOST = 1.25
 SEED = "mix-1"
+#: The largest factor: products of three and sums of them stay finite.
+HIGH = 1e80
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 
@@ -107,12 +109,13 @@ def rake(table: np.ndarray | Cells, targets: list[np.ndarray], rounds: int = ROU
     for _ in range(rounds):
         for axis, target in enumerate(targets):
             sums = cells.sums(axis, cells.n * cells.product(factors))
-            factors[axis] *= np.divide(target, sums, out=np.ones_like(sums), where=sums > 0)
+            step = np.divide(target, sums, out=np.ones_like(sums), where=sums > 0)
+            factors[axis] = np.minimum(factors[axis] * step, HIGH)  # where targets contradict each other factors would grow for ever
         for axis in range(1, len(factors)):  # scale is free to move between the dimensions: all of it is kept in the first
             top = factors[axis].max()
             if top > 0:
                 factors[axis] /= top
-                factors[0] = np.minimum(factors[0] * top, 1e250)
+                factors[0] = np.minimum(factors[0] * top, HIGH)
     return factors
 
 
