@@ -266,6 +266,12 @@ def spectrum(a: pd.Series) -> pd.Series:
     return by_length(a, kernel)
 
 
+@kernel_udf(DOUBLES)
+def median_of_each(cycles: pd.Series) -> pd.Series:
+    """Median over the cycles of a list, position by position; they have one length. Null without a cycle."""
+    return pd.Series([np.median(np.stack([np.asarray(c, float) for c in cs]), axis=0) if cs is not None and len(cs) else None for cs in cycles])
+
+
 def fourier_resampled(x: np.ndarray, m: int) -> np.ndarray:
     """Stacked rows at length m by their Fourier coefficients. Low bins stay; the middle bin of an even shorter side is shared or merged."""
     n = x.shape[1]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.points import cycle_points
-from ..functions.vec import resample_each, spectrum
+from ..functions.vec import median_of_each, resample_each, spectrum
 from . import quality
 
 WAVES = ("ppg", "vpg", "apg", "ppg3", "ppg4")
@@ -81,10 +81,9 @@ def normed_cycles(cycles: Column, length: int = MEAN_LENGTH) -> Column:
     return F.transform(resample_each(cycles, F.lit(length)), lambda c: A.min_max(c, 1e-6))
 
 
-def median_cycle(cycles: str, length: int = MEAN_LENGTH) -> Column:
+def median_cycle(cycles: str) -> Column:
     """Median over the cycles, position by position; null without a cycle."""
-    whole = lambda cs: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: A.median(F.transform(cs, lambda c: A.at(c, i))))
-    return A.let(A.col(cycles), lambda cs: F.when(F.size(cs) > 0, whole(cs)))
+    return median_of_each(F.col(cycles))
 
 
 def mean_near_max(a: str, around: int = 5) -> Column:
@@ -191,8 +190,9 @@ def template_lists() -> dict[str, int]:
 # ------------------------------------------------------------------ features of one cycle
 
 
-def durations(cycle: Column, peak: Column, p: Column, fs: float) -> dict[str, Column]:
-    v = A.diff(cycle)
+def durations(cycle: Column, peak: Column, p: Column, fs: float, v: Column | None = None) -> dict[str, Column]:
+    """Times, slopes and ratio; ``v`` are the differences of the cycle where a column has them already."""
+    v = A.diff(cycle) if v is None else v
     n = F.size(cycle)
     out = {
         "Tc": n / fs,
@@ -234,10 +234,13 @@ def areas(cycle: Column, peak: Column, p: Column) -> dict[str, Column]:
     return out | {f"S{i + 1}_norm": _safe(x, sys if i < 2 else dia) for i, x in enumerate(s)} | {"AUCsys_norm": _safe(sys, sys + dia), "AUCdia_norm": _safe(dia, sys + dia)}
 
 
-def acceleration_features(cycle: Column, peak: Column, p: Column, fs: float) -> dict[str, Column]:
-    """Heights at a to e, their ratios to a, times between them and to the peak, and the indices AI, bd, bcda, sdoo."""
-    v = A.diff(cycle)
-    q = A.diff(v)
+def acceleration_features(cycle: Column, peak: Column, p: Column, fs: float, v: Column | None = None, q: Column | None = None) -> dict[str, Column]:
+    """Heights at a to e, their ratios to a, times between them and to the peak, and the indices AI, bd, bcda, sdoo.
+
+    ``v`` and ``q`` are the first and second differences where columns have them already.
+    """
+    v = A.diff(cycle) if v is None else v
+    q = A.diff(v) if q is None else q
     n = F.size(cycle)
     at = {k: A.at(q, p[k]) for k in POINTS}
     height = {k: A.at(cycle, p[k] + 2) for k in POINTS}
@@ -263,10 +266,15 @@ def cycle_rows(df: DataFrame, keys: list[str], cycles: str, peaks: str) -> DataF
 
 
 def cycle_features(rows: DataFrame, fs: float) -> DataFrame:
-    """cycle_rows() and the 97 features of each cycle; they stay in their row."""
-    c, k, p = F.col("cycle"), F.col("peak"), F.col("p")
-    new = durations(c, k, p, fs) | widths(c, k, fs) | areas(c, k, p) | {"SQI_skew": A.skewness(c), "SQI_kurtosis": quality.kurtosis_index(c)} | acceleration_features(c, k, p, fs)
-    return rows.withColumns(new)
+    """cycle_rows() and the 97 features of each cycle; they stay in their row.
+
+    The differences, which most features share, are bound to columns first, so
+    that they are computed once and the plan stays small.
+    """
+    c, k, p, v, q = F.col("cycle"), F.col("peak"), F.col("p"), F.col("_v"), F.col("_q")
+    held = rows.withColumn("_v", A.diff("cycle")).withColumn("_q", A.diff("_v"))
+    new = durations(c, k, p, fs, v) | widths(c, k, fs) | areas(c, k, p) | {"SQI_skew": A.skewness("cycle"), "SQI_kurtosis": quality.kurtosis_index("cycle")} | acceleration_features(c, k, p, fs, v, q)
+    return held.withColumns(new).drop("_v", "_q")
 
 
 def mean_over_cycles(features: DataFrame, keys: list[str]) -> DataFrame:

@@ -42,6 +42,6 @@ def test_same_rows(spark, duck, name):
             assert x == y or isinstance(x, float) and abs(x - y) <= 2e-6 + 1e-4 * abs(y), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"mdl1_boosted_trees", "mdl2_random_forest"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
