@@ -34,17 +34,18 @@ def mdl1(spark, sf_dir):
 
 
 _STUMP_FEATURES = {"lines": "f4", "discount": "round(f3 * 100)", "quantity": "floor(f1 / 5)"}
-_STUMP = f"""WITH {_RUNS}, x AS (SELECT run, mode, SP, {', '.join(f'{e}::DOUBLE AS {n}' for n, e in _STUMP_FEATURES.items())} FROM r),
-long AS (SELECT run, feature, v, count(*) AS n, sum(SP) AS s FROM (
-  {' UNION ALL '.join(f"SELECT run, '{n}' AS feature, {n} AS v, SP FROM x WHERE mode = 'tr'" for n in _STUMP_FEATURES)}) GROUP BY ALL),
+def _stump_sql(label):
+    return f"""WITH {_RUNS}, x AS (SELECT run, mode, {label}, {', '.join(f'{e}::DOUBLE AS {n}' for n, e in _STUMP_FEATURES.items())} FROM r),
+long AS (SELECT run, feature, v, count(*) AS n, sum({label}) AS s FROM (
+  {' UNION ALL '.join(f"SELECT run, '{n}' AS feature, {n} AS v, {label} FROM x WHERE mode = 'tr'" for n in _STUMP_FEATURES)}) GROUP BY ALL),
 cum AS (SELECT run, feature, v, sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(n) OVER a AS na, sum(s) OVER a AS sa FROM long
   WINDOW o AS (PARTITION BY run, feature ORDER BY v), a AS (PARTITION BY run, feature)),
 cut AS (SELECT run, arg_max(struct_pack(feature, v, lo := sl / nl, hi := (sa - sl) / (na - nl)), sl * sl / nl + (sa - sl) ** 2 / (na - nl)) AS c FROM cum WHERE nl < na GROUP BY run),
-pr AS (SELECT x.run, mode, SP, CASE WHEN CASE c.feature {' '.join(f"WHEN '{n}' THEN {n}" for n in _STUMP_FEATURES)} END <= c.v THEN c.lo ELSE c.hi END AS pred FROM x JOIN cut ON cut.run = x.run)
-SELECT 'SP' AS target, mode, run::INT AS fold, round(avg(abs(pred - SP)), 3) AS mae, round(stddev_pop(pred - SP), 3) AS std, round(avg(pred - SP), 3) AS me FROM pr GROUP BY mode, run"""
+pr AS (SELECT x.run, mode, {label}, CASE WHEN CASE c.feature {' '.join(f"WHEN '{n}' THEN {n}" for n in _STUMP_FEATURES)} END <= c.v THEN c.lo ELSE c.hi END AS pred FROM x JOIN cut ON cut.run = x.run)
+SELECT '{label}' AS target, mode, run::INT AS fold, round(avg(abs(pred - {label})), 3) AS mae, round(stddev_pop(pred - {label}), 3) AS std, round(avg(pred - {label}), 3) AS me FROM pr GROUP BY mode, run"""
 
 
-@query("mdl1_stump", _STUMP)
+@query("mdl1_stump", _stump_sql("SP"))
 def mdl1_stump(spark, sf_dir):
     """One tree of one split on features of few values, for which every split is looked at: SQL finds the same by sums over the values."""
     rows = folded(spark, sf_dir).select("patient", "trial", "fold", "SP", *[F.expr(e).cast("double").alias(n) for n, e in _STUMP_FEATURES.items()])
@@ -52,6 +53,14 @@ def mdl1_stump(spark, sf_dir):
     return metrics.summary(found, ["target", "mode", "fold"])
 
 
+@query("mdl2_stump", _stump_sql("DP"))
+def mdl2_stump(spark, sf_dir):
+    """A forest of one tree of one split, on all rows and all features: the same exact split for the other label."""
+    rows = folded(spark, sf_dir).select("patient", "trial", "fold", "DP", *[F.expr(e).cast("double").alias(n) for n, e in _STUMP_FEATURES.items()])
+    found = models.cross_validated(rows, K, "DP", list(_STUMP_FEATURES), "rf", numTrees=1, maxDepth=1, maxBins=64, bootstrap=False, featureSubsetStrategy="all", seed=1)
+    return metrics.summary(found, ["target", "mode", "fold"])
+
+
 @query("mdl4_search")
 def mdl4(spark, sf_dir):
     """A search over two depths of a forest, scored on validation rows, best first (rows only: SQL has no forest)."""

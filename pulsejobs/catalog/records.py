@@ -38,23 +38,25 @@ def seg1(spark, sf_dir):
 
 @query("seg2_gapped_windows", _window_sql(16, 20))
 def seg2(spark, sf_dir):
-    return _window_report(segment.windows(adapters.records(spark, sf_dir), WindowSpec.of(8, win_sec=2, wait_sec=2.5), ["signal", "abp_signal"]))
+    return _window_report(segment.windows_of_samples(adapters.samples(spark, sf_dir), WindowSpec.of(8, win_sec=2, wait_sec=2.5), ["signal", "abp_signal"]))
 
 
 @query("seg3_centre_window", f"""WITH {SAMPLES}
 SELECT patient, idx - (len - 32) // 2 AS i, {r6s("ppg")} AS signal FROM s JOIN len USING (patient)
 WHERE len >= 32 AND idx >= (len - 32) // 2 AND idx < (len - 32) // 2 + 32""")
 def seg3(spark, sf_dir):
-    return long_form(segment.centre_window(adapters.records(spark, sf_dir), WindowSpec.of(16, win_sam=32).size, ["signal"]), ["patient"], ["signal"])
+    rows = segment.centre_of_samples(adapters.samples(spark, sf_dir).where("channel = 'signal'"), WindowSpec.of(16, win_sam=32).size)
+    return rows.select("patient", F.col("idx").cast("long").alias("i"), r6("x").alias("signal"))
 
 
 @query("seg5_trim_and_scale", f"""WITH {SAMPLES}
 SELECT patient, idx - 3 AS i, {r6s("ppg")} AS signal, {r6s("abp * 100")} AS abp_signal FROM s JOIN len USING (patient)
 WHERE idx >= 3 AND idx < len - 10 - 3""")
 def seg5(spark, sf_dir):
-    rows = adapters.records(spark, sf_dir)
-    cut = rows.withColumns({"signal": segment.trimmed("signal", 10, 3), "abp_signal": segment.trimmed(segment.scaled("abp_signal", 100.0), 10, 3)})
-    return long_form(cut, ["patient"], ["signal", "abp_signal"])
+    rows = segment.trimmed_samples(adapters.samples(spark, sf_dir), 10, 3)
+    x = F.when(F.col("channel") == "abp_signal", F.col("x") * 100.0).otherwise(F.col("x"))
+    both = rows.groupBy("patient", "idx").agg(*[F.max(F.when(F.col("channel") == c, x)).alias(c) for c in ("signal", "abp_signal")])
+    return both.select("patient", F.col("idx").cast("long").alias("i"), r6("signal").alias("signal"), r6("abp_signal").alias("abp_signal"))
 
 
 @query("seg7_ids_and_order", f"""WITH {SAMPLES}, t AS (SELECT DISTINCT 'Part_' || (1 + patient % 4) || '_' || patient || '_' || (idx // 16) AS trial FROM s JOIN len USING (patient) WHERE idx // 16 < len // 16)

@@ -78,6 +78,19 @@ def centre_window(records: DataFrame, size: int, channels: list[str]) -> DataFra
     return records.where(F.size(channels[0]) >= size).withColumns({c: A.cut(c, start, start + size) for c in channels})
 
 
+def centre_of_samples(samples: DataFrame, size: int) -> DataFrame:
+    """centre_window() for sample rows (idx, len, ...): the rows of the middle window, idx counted from its start; no shuffle."""
+    start = F.floor((F.col("len") - size) / 2)
+    held = samples.where((F.col("len") >= size) & (F.col("idx") >= start) & (F.col("idx") < start + size))
+    return held.withColumns({"idx": F.col("idx") - start, "len": F.lit(size).cast("long")})
+
+
+def trimmed_samples(samples: DataFrame, last: int, both: int) -> DataFrame:
+    """trimmed() for sample rows (idx, len, ...): those that stay, idx counted from the first of them; no shuffle."""
+    held = samples.where((F.col("idx") >= both) & (F.col("idx") < F.col("len") - last - both))
+    return held.withColumns({"idx": F.col("idx") - both, "len": F.col("len") - last - 2 * both})
+
+
 def trimmed(a: str | Column, last: int, both: int) -> Column:
     """The samples without the last ``last``, then without ``both`` at either end."""
     n = F.size(A.col(a)) - last
