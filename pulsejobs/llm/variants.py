@@ -176,7 +176,8 @@ def rare_grams(words: list[str], length: int, frequent: np.ndarray, counts: np.n
 
 def _list_key(gram: np.ndarray, length: int, place: np.ndarray) -> np.ndarray:
     """The number of the list of a gram at a place of words of a length."""
-    return mix(gram + np.uint64(1_000_003) * place.astype(np.uint64) + np.uint64(length) * _FACTOR).view(np.int64)
+    by_length = np.uint64(length * int(_FACTOR) % 2**64)
+    return mix(gram + np.uint64(1_000_003) * place.astype(np.uint64) + by_length).view(np.int64)
 
 
 def _letters(words: list[str]) -> np.ndarray:
