@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,6 +17,7 @@ from . import WINDOWS, query, r6, r6s
 from .tables import _RUNS, K, folded
 
 FEATURES = ["f1", "f2", "f3", "f4"]
+_own: list[str] = []
 
 
 def scratch(spark) -> str:
@@ -24,7 +27,10 @@ def scratch(spark) -> str:
         return f"{base.rstrip('/')}/models-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="spark-models-")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-models-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 @query("mdl1_boosted_trees")
