@@ -284,6 +284,31 @@ def fourier_resampled(x: np.ndarray, m: int) -> np.ndarray:
     return np.fft.irfft(out, m, axis=1) * (m / n)
 
 
+def median_normed(length: int, eps: float = 1e-6):
+    """Median, position by position, of the cycles of a list at ``length`` samples and scaled to [0, 1]; null without a cycle.
+
+    One kernel for the three steps, so that the cycles come to Python once and
+    only their median goes back.
+    """
+
+    @kernel_udf(DOUBLES)
+    def apply(cycles: pd.Series) -> pd.Series:
+        held: list[list] = [[] for _ in range(len(cycles))]
+        stacks: dict[int, list[tuple[int, object]]] = {}
+        for row, cs in enumerate(cycles):
+            for c in cs if cs is not None else ():
+                if len(c):
+                    stacks.setdefault(len(c), []).append((row, c))
+        for members in stacks.values():
+            made = fourier_resampled(np.stack([np.asarray(c, float) for _, c in members]), length)
+            low, high = made.min(axis=1, keepdims=True), made.max(axis=1, keepdims=True)
+            for (row, _), scaled in zip(members, (made - low) / (high - low + eps), strict=True):
+                held[row].append(scaled)
+        return pd.Series([np.median(np.stack(h), axis=0) if h else None for h in held])
+
+    return apply
+
+
 @kernel_udf(T.ArrayType(DOUBLES))
 def resample_each(cycles: pd.Series, m: pd.Series) -> pd.Series:
     """Each cycle of a list at length m, by its Fourier coefficients; the cycles of a batch are stacked by length. Empty cycles go."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.points import cycle_points
-from ..functions.vec import median_of_each, resample_each, spectrum
+from ..functions.vec import median_normed, median_of_each, resample_each, spectrum
 from . import quality
 
 WAVES = ("ppg", "vpg", "apg", "ppg3", "ppg4")
@@ -136,9 +136,10 @@ def window_features(df: DataFrame, fs: float, pks: str = "pks", waves: tuple[str
         df = spectrum_peaks(df, w)
     df = df.withColumn("p2p", beat_distance(pks)).withColumn("hr", F.try_divide(F.lit(60.0 * fs), F.col("p2p")))
     df = df.withColumns({"_peak": aligned_cycles(waves[0], list(waves), pks, "sys_peak"), "_notch": aligned_cycles(waves[0], list(waves), pks, "dia_notches")})
-    df = df.withColumns({f"_{k}_{w}": normed_cycles(F.col(f"_{k}")[w]) for k in ("peak", "notch") for w in waves})
-    df = df.withColumn("no_cycle", F.coalesce((F.size(f"_peak_{waves[0]}") == 0) | (F.size(f"_notch_{waves[0]}") == 0), F.lit(True)))
-    df = df.withColumns({f"_m{k}_{w}": median_cycle(f"_{k}_{w}") for k in ("peak", "notch") for w in waves})
+    df = df.withColumn("no_cycle", F.coalesce((F.size(F.col("_peak")[waves[0]]) == 0) | (F.size(F.col("_notch")[waves[0]]) == 0), F.lit(True)))
+    shape = median_normed(MEAN_LENGTH)
+    df = df.withColumns({f"_m{k}_{w}": shape(F.col(f"_{k}")[w]) for k in ("peak", "notch") for w in waves})
+    df = df.withColumn(f"_notch_{waves[0]}", normed_cycles(F.col("_notch")[waves[0]]))
     top = A.argmax(f"_mnotch_{waves[0]}")
     new = {f"{waves[0]}_mean_cycles_match_peak": F.col(f"_mpeak_{waves[0]}")}
     for w in waves:
