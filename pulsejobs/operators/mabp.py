@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 
 LIMIT, ADDED, WIDTH = 149, 15, 1.25
+ROUNDING = 1e-12
 
 
 def clipped(cycles: str, limit: int = LIMIT) -> Column:
@@ -28,6 +29,9 @@ def position_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
 def trimmed_mean(rows: DataFrame, keys: list[str], width: float = WIDTH, hot: int = 1_000_000, salts: int = 32) -> DataFrame:
     """(keys, pos, x): mean of the samples within ``width`` deviations of the mean of their position.
 
+    A sample at exactly that distance counts. Deviations come from partial
+    results that merge in any order, so such a sample may miss by rounding;
+    ``ROUNDING`` is the room it has, in units of the numbers at hand.
     A single cycle comes out as it is: each sample is its position's mean. A
     position with missing samples only stays, without a value. Two passes of
     sums that merge: the moments of each position, then the sums of what is
@@ -44,7 +48,7 @@ def trimmed_mean(rows: DataFrame, keys: list[str], width: float = WIDTH, hot: in
     dealt = rows.join(large, same, "left").withColumn("_salt", F.when(F.col("_large"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")).otherwise(0)).drop("_large", *[f"_k_{c}" for c in by])
     copied = stats.withColumn("_s", F.explode(F.when(F.col("n") > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     held = dealt.join(copied, same & (F.col("_salt") == F.col("_s")))
-    near = (F.col("x") >= F.col("mu") - width * F.col("sigma")) & (F.col("x") <= F.col("mu") + width * F.col("sigma"))
+    near = F.abs(F.col("x") - F.col("mu")) <= width * F.col("sigma") + ROUNDING * (F.abs("mu") + F.abs("x"))
     parts = held.groupBy(*by, "_salt").agg(*[f(x).alias(n) for n, f, x in (("_s", F.sum, F.when(near, F.col("x"))), ("_c", F.count, F.when(near, F.col("x"))), ("_all", F.sum, F.col("x")), ("_n", F.count, F.col("x")))])
     # equal samples may all miss their mean by rounding
     return parts.groupBy(*by).agg(F.coalesce(F.try_divide(F.sum("_s"), F.sum("_c")), F.try_divide(F.sum("_all"), F.sum("_n"))).alias("x"))

@@ -125,3 +125,11 @@ def test_first_match_and_listed_names(spark, tmp_path):
     assert sorted((tuple(r) for r in joins.first_match(df, "f", ["s"]).collect()), key=str) == sorted([("a", 1, "y"), ("b", 2, None), (None, 5, "z")], key=str)
     (tmp_path / "order.csv").write_text("c, a,b\n")
     assert sorted(tuple(r) for r in files.read_listed_names(spark, f"{tmp_path}/order.csv").collect()) == [(0, "c"), (1, "a"), (2, "b")]
+
+
+def test_a_sample_at_the_edge_of_trimming_counts_in_any_order(spark):
+    # mean 25, deviation 8: 15 is at exactly 1.25 deviations; summed in these orders the deviation comes out smaller
+    orders = [(14, 32, 32, 33, 15, 24), (14, 33, 32, 32, 15, 24), (32, 32, 33, 24, 14, 15)]
+    rows = [(w, c, 0, float(x)) for w, xs in enumerate(orders) for c, x in enumerate(xs)]
+    out = mabp.trimmed_mean(spark.createDataFrame(rows, "win int, cyc int, pos int, x double").coalesce(1), ["win"]).collect()
+    assert sorted((r.win, r.x) for r in out) == [(w, pytest.approx(27.2)) for w in range(len(orders))]
