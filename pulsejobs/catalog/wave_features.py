@@ -81,17 +81,16 @@ def fea7(spark, sf_dir):
 
 @query("fea4_median_cycle")
 def fea4(spark, sf_dir):
-    df = _waves(spark, sf_dir)
-    df = df.withColumn("z", features.aligned_cycles("ppg", ["ppg"], "pks", "dia_notches")).withColumn("c", features.normed_cycles(F.col("z")["ppg"]))
-    return long_form(df.withColumn("m", features.median_cycle("c")).where("m IS NOT NULL"), ["trial"], ["m"])
+    df = _waves(spark, sf_dir).withColumn("z", features.aligned_cycles("ppg", ["ppg"], "pks", "dia_notches"))
+    return long_form(df.withColumn("m", features.median_cycle(F.col("z")["ppg"], raw=True)).where("m IS NOT NULL"), ["trial"], ["m"])
 
 
 @query("fea8_slope_deviation")
 def fea8(spark, sf_dir):
-    df = _waves(spark, sf_dir).withColumn("z", features.aligned_cycles("ppg", ["ppg"], "pks", "dia_notches")).withColumn("c", features.normed_cycles(F.col("z")["ppg"]))
-    df = features.slope_deviation(df, "c").where("usdc IS NOT NULL")
-    one = lambda c: df.select("trial", F.lit(c).alias("curve"), F.posexplode(c).alias("i", "x"))
-    return one("usdc").union(one("dsdc")).select("trial", "curve", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
+    df = _waves(spark, sf_dir).withColumn("c", features.aligned_cycles("ppg", ["ppg"], "pks", "dia_notches")["ppg"])
+    df = features.slope_deviation(df, "c", raw=True).where("usdc IS NOT NULL")
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("curve"), F.col(c).alias("x")) for c in ("usdc", "dsdc")])).alias("z")
+    return df.select("trial", both).select("trial", "z.curve", F.posexplode("z.x").alias("i", "x")).select("trial", "curve", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
 
 
 def _smooth_cycles(spark, sf_dir):

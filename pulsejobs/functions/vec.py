@@ -1,8 +1,8 @@
 """Numpy kernels on Arrow batches of equal-length windows: linear maps, spectra, splines, multi-scale maxima, alignment.
 
-Each is a pandas UDF; Spark does the partitioning. Rows of a batch are stacked
-by length, so a kernel runs once for each length and batch. Null arrays give
-null.
+Each is an Arrow UDF; Spark does the partitioning. Rows of a slice of a batch
+are stacked by length, so a kernel runs once for each length and slice. Null
+arrays give null.
 """
 
 from __future__ import annotations
@@ -12,16 +12,43 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Types as objects: a worker that imports this module has no session to parse names.
 DOUBLES = T.ArrayType(T.DoubleType())
 
 
+#: Rows of an Arrow batch that a kernel has as Python objects at a time. A batch itself may have ten thousand.
+SLICE = 256
+
+
+def in_slices(f: Callable[..., pd.Series], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """f over slices of the columns of a batch; only one slice at a time is more than Arrow memory."""
+    out = []
+    for start in range(0, len(columns[0]), SLICE):
+        made = f(*[c.slice(start, SLICE).to_pandas() for c in columns])
+        out.append(pa.Array.from_pandas(made, mask=made.isnull().to_numpy(), type=kind))
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
 def kernel_udf(kind: T.DataType) -> Callable:
-    """A pandas UDF that the optimizer leaves where it stands: moved into a lambda of another column it could not run."""
-    return lambda f: F.pandas_udf(kind)(f).asNondeterministic()
+    """An Arrow UDF of a function on pandas Series that the optimizer leaves where it stands: moved into a lambda of another column it could not run.
+
+    The function sees a batch in slices, so what a worker holds does not grow
+    with the rows of a batch times the size of what a kernel makes of a row.
+    """
+    arrow_kind = to_arrow_type(kind)
+
+    def make(f: Callable[..., pd.Series]) -> Callable:
+        def apply(*columns: pa.Array) -> pa.Array:
+            return in_slices(f, arrow_kind, *columns)
+
+        return F.arrow_udf(apply, kind).asNondeterministic()
+
+    return make
 
 
 def by_length(rows: pd.Series, kernel: Callable[[np.ndarray, np.ndarray], list]) -> pd.Series:
@@ -284,6 +311,23 @@ def fourier_resampled(x: np.ndarray, m: int) -> np.ndarray:
     return np.fft.irfft(out, m, axis=1) * (m / n)
 
 
+def normed(cycles: pd.Series, length: int, eps: float = 1e-6) -> list[np.ndarray | None]:
+    """For each list its cycles at ``length`` samples and scaled to [0, 1], stacked; the cycles of a slice are resampled by length. Empty cycles go."""
+    out: list[np.ndarray | None] = []
+    stacks: dict[int, list[tuple[int, int, object]]] = {}
+    for row, cs in enumerate(cycles):
+        held = [c for c in cs if len(c)] if cs is not None else None
+        out.append(None if held is None else np.empty((len(held), length)))
+        for place, c in enumerate(held or ()):
+            stacks.setdefault(len(c), []).append((row, place, c))
+    for members in stacks.values():
+        made = fourier_resampled(np.stack([np.asarray(c, float) for *_, c in members]), length)
+        low, high = made.min(axis=1, keepdims=True), made.max(axis=1, keepdims=True)
+        for (row, place, _), scaled in zip(members, (made - low) / (high - low + eps), strict=True):
+            out[row][place] = scaled
+    return out
+
+
 def median_normed(length: int, eps: float = 1e-6):
     """Median, position by position, of the cycles of a list at ``length`` samples and scaled to [0, 1]; null without a cycle.
 
@@ -293,18 +337,47 @@ def median_normed(length: int, eps: float = 1e-6):
 
     @kernel_udf(DOUBLES)
     def apply(cycles: pd.Series) -> pd.Series:
-        held: list[list] = [[] for _ in range(len(cycles))]
-        stacks: dict[int, list[tuple[int, object]]] = {}
-        for row, cs in enumerate(cycles):
-            for c in cs if cs is not None else ():
-                if len(c):
-                    stacks.setdefault(len(c), []).append((row, c))
-        for members in stacks.values():
-            made = fourier_resampled(np.stack([np.asarray(c, float) for _, c in members]), length)
-            low, high = made.min(axis=1, keepdims=True), made.max(axis=1, keepdims=True)
-            for (row, _), scaled in zip(members, (made - low) / (high - low + eps), strict=True):
-                held[row].append(scaled)
-        return pd.Series([np.median(np.stack(h), axis=0) if h else None for h in held])
+        return pd.Series([np.median(h, axis=0) if h is not None and len(h) else None for h in normed(cycles, length, eps)])
+
+    return apply
+
+
+def deviations(c: np.ndarray) -> np.ndarray:
+    """Distance of each sample from the line between the first and the last of its row, in the form of the published curve."""
+    last = c.shape[1] - 1
+    first, rise = c[:, :1], c[:, -1:] - c[:, :1]
+    return (c * rise * np.arange(last + 1) - c * last + first * last) / np.sqrt(rise * rise + last * last)
+
+
+def block_means(curves: np.ndarray, width: int = 3) -> np.ndarray:
+    """Means of consecutive blocks that end before the last sample."""
+    n = (curves.shape[1] - 1) // width
+    return curves[:, : n * width].reshape(len(curves), n, width).sum(axis=2) / width
+
+
+def slope_curves(length: int, raw: bool):
+    """[rise, fall]: blocks of deviations of each cycle up to its largest sample, at length/4, and from it, at 3 length/4, as means over the cycles of a list; null without a cycle.
+
+    ``raw`` cycles are resampled and scaled first, in the same kernel.
+    """
+
+    @kernel_udf(T.ArrayType(DOUBLES))
+    def apply(cycles: pd.Series) -> pd.Series:
+        held = normed(cycles, length) if raw else cycles
+        stacks: dict[tuple[int, int], list[tuple[int, int, np.ndarray]]] = {}
+        curves: list[list] = []
+        for row, cs in enumerate(held):
+            curves.append([None] * (len(cs) if cs is not None else 0))
+            for place, c in enumerate(cs if cs is not None else ()):
+                c = np.asarray(c, float)
+                stacks.setdefault((len(c), int(c.argmax())), []).append((row, place, c))
+        for (_, top), members in stacks.items():
+            x = np.stack([c for *_, c in members])
+            up = block_means(deviations(fourier_resampled(x[:, : top + 1], length // 4)))
+            down = block_means(deviations(fourier_resampled(x[:, top:], length // 4 * 3)))
+            for (row, place, _), u, d in zip(members, up, down, strict=True):
+                curves[row][place] = (u, d)
+        return pd.Series([[sum(side) / len(side) for side in zip(*both, strict=True)] if both else None for both in curves])
 
     return apply
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.points import cycle_points
-from ..functions.vec import median_normed, median_of_each, resample_each, spectrum
+from ..functions.vec import median_normed, median_of_each, resample_each, slope_curves, spectrum
 from . import quality
 
 WAVES = ("ppg", "vpg", "apg", "ppg3", "ppg4")
@@ -32,9 +32,9 @@ def spaced_maxima(a: str | Column, distance: int) -> Column:
     return F.array_sort(kept)
 
 
-def spectrum_peaks(df: DataFrame, wave: str, distance: int = 28, first: int = 5, around: int = 6) -> DataFrame:
-    """Adds {wave}_fft_peaks, _fft_peaks_heights and _fft_peaks_neighbor_avgs: maxima in the first sixth of the spectrum beyond ``distance``."""
-    df = df.withColumn("_s", spectrum(wave))
+def spectrum_peaks(df: DataFrame, wave: str, distance: int = 28, first: int = 5, around: int = 6, held: str | None = None) -> DataFrame:
+    """Adds {wave}_fft_peaks, _fft_peaks_heights and _fft_peaks_neighbor_avgs: maxima in the first sixth of the spectrum beyond ``distance``. ``held`` is a column that has the spectrum already."""
+    df = df.withColumn("_s", F.col(held) if held else spectrum(wave))
     places = F.slice(F.filter(spaced_maxima(A.cut("_s", 0, F.floor(F.size("_s") / 6)), distance), lambda i: i > distance), 1, first)
     df = df.withColumn(f"{wave}_fft_peaks", places)
     return df.withColumns({f"{wave}_fft_peaks_heights": A.pick("_s", f"{wave}_fft_peaks"), f"{wave}_fft_peaks_neighbor_avgs": F.transform(f"{wave}_fft_peaks", lambda i: A.mean(A.cut("_s", i - around, i + around)))}).drop("_s")
@@ -81,9 +81,9 @@ def normed_cycles(cycles: Column, length: int = MEAN_LENGTH) -> Column:
     return F.transform(resample_each(cycles, F.lit(length)), lambda c: A.min_max(c, 1e-6))
 
 
-def median_cycle(cycles: str) -> Column:
-    """Median over the cycles, position by position; null without a cycle."""
-    return median_of_each(F.col(cycles))
+def median_cycle(cycles: str | Column, raw: bool = False) -> Column:
+    """Median over the cycles, position by position; null without a cycle. ``raw`` cycles are resampled and scaled by the same kernel."""
+    return (median_normed(MEAN_LENGTH) if raw else median_of_each)(A.col(cycles))
 
 
 def mean_near_max(a: str, around: int = 5) -> Column:
@@ -99,31 +99,12 @@ def density(a: str | Column, bins: int) -> Column:
     return A.let(at, share)
 
 
-def _blocks(curve: Column, stop: Column, width: int = 3) -> Column:
-    """Means of consecutive blocks that end before the last sample."""
-    starts = lambda v: F.filter(F.sequence(F.lit(0), stop - 1, F.lit(width)), lambda i: i + width < F.size(v))
-    return A.let(curve, lambda v: F.transform(starts(v), lambda i: A.mean(F.slice(v, i + 1, F.lit(width)))))
+def slope_deviation(df: DataFrame, cycles: str, length: int = MEAN_LENGTH, raw: bool = False) -> DataFrame:
+    """Adds usdc (6 values: rise up to the largest sample, at length/4) and dsdc (19: fall from it, at 3 length/4), means over the cycles.
 
-
-def _deviation(c: Column) -> Column:
-    """Distance of each sample from the line between the first and the last, in the form of the published curve."""
-    last = F.size(c) - 1
-    return A.let(A.at(c, last) - A.at(c, 0), lambda rise: F.transform(c, lambda x, i: (x * rise * i - x * last + A.at(c, 0) * last) / F.sqrt(rise * rise + last * last)))
-
-
-def _mean_of_lists(lists: Column, n: int) -> Column:
-    return A.let(lists, lambda vs: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: A.mean(F.transform(vs, lambda v: A.at(v, i)))))
-
-
-def slope_deviation(df: DataFrame, cycles: str, length: int = MEAN_LENGTH) -> DataFrame:
-    """Adds usdc (6 values: rise up to the largest sample, at length/4) and dsdc (19: fall from it, at 3 length/4), means over the cycles."""
-    df = df.withColumns({"_up": A.kept(F.transform(cycles, lambda c: A.cut(c, 0, A.argmax(c) + 1))), "_down": A.kept(F.transform(cycles, lambda c: A.cut(c, A.argmax(c), F.size(c))))})
-    df = df.withColumns({"_up": resample_each("_up", F.lit(length // 4)), "_down": resample_each("_down", F.lit(length // 4 * 3))})
-    u = F.transform("_up", lambda c: _blocks(_deviation(c), F.size(c) - 1))
-    d = F.transform("_down", lambda c: _blocks(_deviation(c), F.size(c)))
-    n_up, n_down = (length // 4 - 1) // 3, (length // 4 * 3 - 1) // 3
-    some = F.size(cycles) > 0
-    return df.withColumns({"usdc": F.when(some, _mean_of_lists(u, n_up)), "dsdc": F.when(some, _mean_of_lists(d, n_down))}).drop("_up", "_down")
+    ``raw`` cycles are brought to ``length`` samples in [0, 1] by the same kernel.
+    """
+    return df.withColumn("_curves", slope_curves(length, raw)(F.col(cycles))).withColumns({c: F.get("_curves", F.lit(i)) for i, c in enumerate(("usdc", "dsdc"))}).drop("_curves")
 
 
 def window_features(df: DataFrame, fs: float, pks: str = "pks", waves: tuple[str, ...] = WAVES) -> DataFrame:
@@ -132,14 +113,15 @@ def window_features(df: DataFrame, fs: float, pks: str = "pks", waves: tuple[str
     A window without an aligned cycle keeps its row, with missing features and
     ``no_cycle`` true.
     """
-    for w in waves:
-        df = spectrum_peaks(df, w)
     df = df.withColumn("p2p", beat_distance(pks)).withColumn("hr", F.try_divide(F.lit(60.0 * fs), F.col("p2p")))
     df = df.withColumns({"_peak": aligned_cycles(waves[0], list(waves), pks, "sys_peak"), "_notch": aligned_cycles(waves[0], list(waves), pks, "dia_notches")})
     df = df.withColumn("no_cycle", F.coalesce((F.size(F.col("_peak")[waves[0]]) == 0) | (F.size(F.col("_notch")[waves[0]]) == 0), F.lit(True)))
+    # all kernels side by side: one worker a task has them all
     shape = median_normed(MEAN_LENGTH)
-    df = df.withColumns({f"_m{k}_{w}": shape(F.col(f"_{k}")[w]) for k in ("peak", "notch") for w in waves})
-    df = df.withColumn(f"_notch_{waves[0]}", normed_cycles(F.col("_notch")[waves[0]]))
+    medians = {f"_m{k}_{w}": shape(F.col(f"_{k}")[w]) for k in ("peak", "notch") for w in waves}
+    df = df.withColumns({f"_s_{w}": spectrum(w) for w in waves} | medians | {"_curves": slope_curves(MEAN_LENGTH, True)(F.col("_notch")[waves[0]])})
+    for w in waves:
+        df = spectrum_peaks(df, w, held=f"_s_{w}")
     top = A.argmax(f"_mnotch_{waves[0]}")
     new = {f"{waves[0]}_mean_cycles_match_peak": F.col(f"_mpeak_{waves[0]}")}
     for w in waves:
@@ -150,7 +132,7 @@ def window_features(df: DataFrame, fs: float, pks: str = "pks", waves: tuple[str
             f"{w}_histogram_up": density(A.cut(f"_mnotch_{w}", 0, top), UP),
             f"{w}_histogram_down": density(A.cut(f"_mnotch_{w}", top, MEAN_LENGTH), DOWN),
         }
-    df = slope_deviation(df.withColumns(new), f"_notch_{waves[0]}")
+    df = df.withColumns(new | {c: F.get("_curves", F.lit(i)) for i, c in enumerate(("usdc", "dsdc"))})
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
