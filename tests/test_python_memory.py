@@ -30,3 +30,14 @@ def test_median_cycle_in_one_kernel(spark):
     for r in df.select(features.median_cycle("c", raw=True).alias("a"), features.median_cycle("n").alias("b")).collect():
         assert (r.a is None) == (r.b is None) and (r.a is None or r.a == pytest.approx(r.b))
     assert python_nodes(QUERIES["fea4_median_cycle"](spark, DATA)) == 1
+
+
+def test_slope_deviation_in_one_kernel(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [rng.normal(size=int(n)).tolist() for n in rng.integers(2, 9, i)]) for i in range(5)] + [(9, None)]
+    df = spark.createDataFrame(rows, "i int, c array<array<double>>").withColumn("n", features.normed_cycles(F.col("c")))
+    raw, scaled = ({r.i: r for r in features.slope_deviation(df, c, raw=c == "c").collect()} for c in "cn")
+    for i in raw:
+        for k, n in (("usdc", 6), ("dsdc", 19)):
+            assert raw[i][k] is scaled[i][k] is None if i in (0, 9) else raw[i][k] == pytest.approx(scaled[i][k]) and len(raw[i][k]) == n
+    assert python_nodes(QUERIES["fea8_slope_deviation"](spark, DATA)) == 1
