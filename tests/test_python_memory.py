@@ -41,3 +41,7 @@ def test_slope_deviation_in_one_kernel(spark):
         for k, n in (("usdc", 6), ("dsdc", 19)):
             assert raw[i][k] is scaled[i][k] is None if i in (0, 9) else raw[i][k] == pytest.approx(scaled[i][k]) and len(raw[i][k]) == n
     assert python_nodes(QUERIES["fea8_slope_deviation"](spark, DATA)) == 1
+
+
+def test_window_features_need_one_worker_a_task(spark):
+    assert python_nodes(QUERIES["fea_window_features"](spark, DATA)) == 1
