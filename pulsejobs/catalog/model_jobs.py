@@ -33,9 +33,20 @@ def scratch(spark) -> str:
     return _own[0]
 
 
+def _columns(label, features):
+    return ["patient", "trial", "fold", label, *features]
+
+
+def stored(spark, sf_dir, k, columns):
+    """The feature rows with their folds as a table partitioned by fold: they are joined once, and fits and predictions read files."""
+    path = f"{scratch(spark)}/rows-{uuid.uuid4().hex}"
+    folded(spark, sf_dir, k).select(*columns).write.partitionBy("fold").parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("mdl1_boosted_trees")
 def mdl1(spark, sf_dir):
-    found = models.cross_validated(folded(spark, sf_dir), K, "SP", FEATURES, "gbt", maxIter=5, maxDepth=3, seed=1)
+    found = models.cross_validated(stored(spark, sf_dir, K, _columns("SP", FEATURES)), K, "SP", FEATURES, "gbt", maxIter=5, maxDepth=3, seed=1)
     return metrics.summary(found, ["target", "mode", "fold"])
 
 
@@ -54,7 +65,7 @@ SELECT '{label}' AS target, mode, run::INT AS fold, round(avg(abs(pred - {label}
 @query("mdl1_stump", _stump_sql("SP"))
 def mdl1_stump(spark, sf_dir):
     """One tree of one split on features of few values, for which every split is looked at: SQL finds the same by sums over the values."""
-    rows = folded(spark, sf_dir).select("patient", "trial", "fold", "SP", *[F.expr(e).cast("double").alias(n) for n, e in _STUMP_FEATURES.items()])
+    rows = stored(spark, sf_dir, K, _columns("SP", [F.expr(e).cast("double").alias(n) for n, e in _STUMP_FEATURES.items()]))
     found = models.cross_validated(rows, K, "SP", list(_STUMP_FEATURES), "gbt", maxIter=1, maxDepth=1, maxBins=64, seed=1)
     return metrics.summary(found, ["target", "mode", "fold"])
 
@@ -62,7 +73,7 @@ def mdl1_stump(spark, sf_dir):
 @query("mdl2_stump", _stump_sql("DP"))
 def mdl2_stump(spark, sf_dir):
     """A forest of one tree of one split, on all rows and all features: the same exact split for the other label."""
-    rows = folded(spark, sf_dir).select("patient", "trial", "fold", "DP", *[F.expr(e).cast("double").alias(n) for n, e in _STUMP_FEATURES.items()])
+    rows = stored(spark, sf_dir, K, _columns("DP", [F.expr(e).cast("double").alias(n) for n, e in _STUMP_FEATURES.items()]))
     found = models.cross_validated(rows, K, "DP", list(_STUMP_FEATURES), "rf", numTrees=1, maxDepth=1, maxBins=64, bootstrap=False, featureSubsetStrategy="all", seed=1)
     return metrics.summary(found, ["target", "mode", "fold"])
 
@@ -70,20 +81,20 @@ def mdl2_stump(spark, sf_dir):
 @query("mdl4_search")
 def mdl4(spark, sf_dir):
     """A search over two depths of a forest, scored on validation rows, best first (rows only: SQL has no forest)."""
-    found = models.search(folded(spark, sf_dir, 3), 3, "SP", FEATURES, "rf", {"maxDepth": [1, 4], "numTrees": [3], "seed": [1]})
+    found = models.search(stored(spark, sf_dir, 3, _columns("SP", FEATURES)), 3, "SP", FEATURES, "rf", {"maxDepth": [1, 4], "numTrees": [3], "seed": [1]})
     return spark.createDataFrame([(i, p["maxDepth"], p["numTrees"], e) for i, (e, p) in enumerate(found)], "place int, maxDepth int, numTrees int, mae double")
 
 
 @query("mdl2_random_forest")
 def mdl2(spark, sf_dir):
-    found = models.cross_validated(folded(spark, sf_dir), K, "DP", FEATURES, "rf", numTrees=5, maxDepth=4, seed=1)
+    found = models.cross_validated(stored(spark, sf_dir, K, _columns("DP", FEATURES)), K, "DP", FEATURES, "rf", numTrees=5, maxDepth=4, seed=1)
     return metrics.summary(found, ["target", "mode", "fold"])
 
 
 @query("mdl5_score_stored_models")
 def mdl5(spark, sf_dir):
     """Models of all rotations are stored, loaded, and each scores the fold that it did not see."""
-    rows = folded(spark, sf_dir, 3)
+    rows = stored(spark, sf_dir, 3, _columns("SP", FEATURES))
     path = f"{scratch(spark)}/mdl5-{uuid.uuid4().hex}"
     models.cross_validated(rows, 3, "SP", FEATURES, "rf", save_to=path, numTrees=3, maxDepth=3, seed=1)
     return models.score_stored(rows, 3, "SP", FEATURES, path).groupBy("fold").agg(F.count("*").alias("rows"), F.round(F.avg(F.abs(F.col("pred") - F.col("label"))), 3).alias("mae"))
