@@ -13,7 +13,7 @@ class Seen(Exception):
     pass
 
 
-@pytest.mark.parametrize("name, operator", [("mdl4_search", "search"), ("mdl2_random_forest", "cross_validated"), ("mdl2_stump", "cross_validated"), ("mdl1_stump", "cross_validated"), ("mdl1_boosted_trees", "cross_validated")])
+@pytest.mark.parametrize("name, operator", [("mdl4_search", "search"), ("mdl5_score_stored_models", "cross_validated"), ("mdl2_random_forest", "cross_validated"), ("mdl2_stump", "cross_validated"), ("mdl1_stump", "cross_validated"), ("mdl1_boosted_trees", "cross_validated")])
 def test_models_read_stored_rows(spark, monkeypatch, name, operator):
     def look(rows, *_, **__):
         raise Seen(rows._jdf.queryExecution().executedPlan().toString(), rows.count(), rows.select("fold").distinct().count())
