@@ -14,7 +14,7 @@ from ..operators import metrics, models, splits
 from ..operators.segment import WindowSpec, windows
 from ..sources import adapters, files
 from . import WINDOWS, query, r6, r6s
-from .tables import _RUNS, K, folded
+from .tables import _RUNS, SEED, K
 
 FEATURES = ["f1", "f2", "f3", "f4"]
 _own: list[str] = []
@@ -34,13 +34,19 @@ def scratch(spark) -> str:
 
 
 def _columns(label, features):
-    return ["patient", "trial", "fold", label, *features]
+    return ["patient", "trial", label, *features]
 
 
 def stored(spark, sf_dir, k, columns):
-    """The feature rows with their folds as a table partitioned by fold: they are joined once, and fits and predictions read files."""
+    """The feature rows with their folds as a table partitioned by fold.
+
+    Orders and line items are joined once, into files: the patients that are
+    dealt into folds, their counts and the rows of the folds are read from these.
+    Fits and predictions read the table by fold.
+    """
     path = f"{scratch(spark)}/rows-{uuid.uuid4().hex}"
-    folded(spark, sf_dir, k).select(*columns).write.partitionBy("fold").parquet(path)
+    adapters.feature_rows(spark, sf_dir).select(*columns).write.parquet(f"{path}-joined")
+    splits.with_folds(spark.read.parquet(f"{path}-joined"), k, SEED).write.partitionBy("fold").parquet(path)
     return spark.read.parquet(path)
 
 
