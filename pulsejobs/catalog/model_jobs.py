@@ -72,7 +72,7 @@ SELECT '{label}' AS target, mode, run::INT AS fold, round(avg(abs(pred - {label}
 def mdl1_stump(spark, sf_dir):
     """One tree of one split on features of few values, for which every split is looked at: SQL finds the same by sums over the values."""
     rows = stored(spark, sf_dir, K, _columns("SP", [F.expr(e).cast("double").alias(n) for n, e in _STUMP_FEATURES.items()]))
-    found = models.cross_validated(rows, K, "SP", list(_STUMP_FEATURES), "gbt", maxIter=1, maxDepth=1, maxBins=64, seed=1)
+    found = models.cross_validated(rows, K, "SP", list(_STUMP_FEATURES), "gbt", grouped=True, maxIter=1, maxDepth=1, maxBins=64, seed=1)
     return metrics.summary(found, ["target", "mode", "fold"])
 
 
