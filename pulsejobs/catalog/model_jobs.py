@@ -80,7 +80,7 @@ def mdl1_stump(spark, sf_dir):
 def mdl2_stump(spark, sf_dir):
     """A forest of one tree of one split, on all rows and all features: the same exact split for the other label."""
     rows = stored(spark, sf_dir, K, _columns("DP", [F.expr(e).cast("double").alias(n) for n, e in _STUMP_FEATURES.items()]))
-    found = models.cross_validated(rows, K, "DP", list(_STUMP_FEATURES), "rf", numTrees=1, maxDepth=1, maxBins=64, bootstrap=False, featureSubsetStrategy="all", seed=1)
+    found = models.cross_validated(rows, K, "DP", list(_STUMP_FEATURES), "rf", grouped=True, numTrees=1, maxDepth=1, maxBins=64, bootstrap=False, featureSubsetStrategy="all", seed=1)
     return metrics.summary(found, ["target", "mode", "fold"])
 
 

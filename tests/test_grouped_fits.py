@@ -22,7 +22,7 @@ def rare(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["mdl1_stump"])
+@pytest.mark.parametrize("name", ["mdl1_stump", "mdl2_stump"])
 def test_a_stump_splits_at_a_rare_value(spark, rare, name):
     db = duckdb.connect()
     for t in ("orders", "lineitem"):
