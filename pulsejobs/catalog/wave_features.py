@@ -12,7 +12,7 @@ from .windows import _E, _extrema
 
 
 def _waves(spark, sf_dir):
-    df = _extrema(adapters.wide_windows(spark, sf_dir)).withColumnRenamed("signal", "ppg")
+    df = adapters.wide_windows(spark, sf_dir).withColumnRenamed("signal", "ppg").withColumn("pks", A.maxima("ppg"))
     return df.withColumns(signals.derivatives("ppg"))
 
 
@@ -50,10 +50,10 @@ def fea3(spark, sf_dir):
 
 @query("fea_window_features")
 def fea_window(spark, sf_dir):
-    """Spectrum, rate, aligned-cycle, histogram and slope features of all five waves (rows only)."""
-    w = features.window_features(_waves(spark, sf_dir), 8)
-    lists = {f"{x}_{n}": 5 if n.endswith("up") else 10 for x in features.WAVES for n in ("histogram_up", "histogram_down")} | {"usdc": 6, "dsdc": 19}
-    w = features.spread(w, lists)
+    """Spectrum, rate, aligned-cycle, histogram and slope features of all five waves, each value of their lists a column (rows only)."""
+    w = features.window_features(_waves(spark, sf_dir), 8, distance=2, around=3)
+    peaks = {f"{x}_fft_{n}": 5 for x in features.WAVES for n in ("peaks", "peaks_heights", "peaks_neighbor_avgs")}
+    w = features.spread(w, features.template_lists() | peaks)
     return _scalars(w.select("patient", "trial", *[f.name for f in w.schema if f.dataType.typeName() in ("double", "integer", "boolean")]))
 
 

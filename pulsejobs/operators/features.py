@@ -107,11 +107,12 @@ def slope_deviation(df: DataFrame, cycles: str, length: int = MEAN_LENGTH, raw:
     return df.withColumn("_curves", slope_curves(length, raw)(F.col(cycles))).withColumns({c: F.get("_curves", F.lit(i)) for i, c in enumerate(("usdc", "dsdc"))}).drop("_curves")
 
 
-def window_features(df: DataFrame, fs: float, pks: str = "pks", waves: tuple[str, ...] = WAVES) -> DataFrame:
+def window_features(df: DataFrame, fs: float, pks: str = "pks", waves: tuple[str, ...] = WAVES, distance: int = 28, around: int = 6) -> DataFrame:
     """Spectrum, rate, aligned-cycle, histogram and slope features of the five waves (columns named as in WAVES); lists stay lists.
 
     A window without an aligned cycle keeps its row, with missing features and
-    ``no_cycle`` true.
+    ``no_cycle`` true. ``distance`` and ``around`` are those of spectrum_peaks():
+    windows of fewer than 373 samples have no peak beyond the usual distance.
     """
     df = df.withColumn("p2p", beat_distance(pks)).withColumn("hr", F.try_divide(F.lit(60.0 * fs), F.col("p2p")))
     df = df.withColumns({"_peak": aligned_cycles(waves[0], list(waves), pks, "sys_peak"), "_notch": aligned_cycles(waves[0], list(waves), pks, "dia_notches")})
@@ -121,7 +122,7 @@ def window_features(df: DataFrame, fs: float, pks: str = "pks", waves: tuple[str
     medians = {f"_m{k}_{w}": shape(F.col(f"_{k}")[w]) for k in ("peak", "notch") for w in waves}
     df = df.withColumns({f"_s_{w}": spectrum(w) for w in waves} | medians | {"_curves": slope_curves(MEAN_LENGTH, True)(F.col("_notch")[waves[0]])})
     for w in waves:
-        df = spectrum_peaks(df, w, held=f"_s_{w}")
+        df = spectrum_peaks(df, w, distance, around=around, held=f"_s_{w}")
     top = A.argmax(f"_mnotch_{waves[0]}")
     new = {f"{waves[0]}_mean_cycles_match_peak": F.col(f"_mpeak_{waves[0]}")}
     for w in waves:

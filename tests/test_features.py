@@ -181,3 +181,20 @@ def test_baseline_is_a_spline_through_the_valleys(spark):
     assert np.allclose(r[0].baseline, base, atol=1e-7)
     assert np.allclose(r[0].s, [v - (w - level) for v, w in zip(x, base, strict=True)], atol=1e-7)
     assert r[1].baseline is None
+
+
+def test_window_features_query_hands_on_spectra_and_mean_cycle(spark):
+    from pulsejobs.catalog import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    rows = QUERIES["fea_window_features"](spark, data).collect()
+    names = ("peaks", "peaks_heights", "peaks_neighbor_avgs")
+    at = lambda r, w, i: tuple(r[f"{w}_fft_{n}_{i}"] for n in names)
+    want = {(r.trial, r.i): (r.ppg_fft_peaks, pytest.approx(r.ppg_fft_peaks_heights, abs=2e-6), pytest.approx(r.ppg_fft_peaks_neighbor_avgs, abs=2e-6)) for r in QUERIES["fea1_spectrum_peaks"](spark, data).collect()}
+    assert want and {(r.trial, i): at(r, "ppg", i) for r in rows for i in range(5) if at(r, "ppg", i)[0] is not None} == want
+    assert all(any(at(r, w, 0)[0] is not None for r in rows) for w in features.WAVES)
+    whole = [r for r in rows if not r.no_cycle]
+    assert whole
+    for r in whole:
+        mean = [r[f"ppg_mean_cycles_match_peak_{i}"] for i in range(features.MEAN_LENGTH)]
+        assert mean[r.ppg_min] == pytest.approx(min(mean), abs=2e-6)
